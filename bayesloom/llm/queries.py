@@ -26,7 +26,14 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(token_shards(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op5_token_shards": op5_token_shards,
 }
 
