@@ -26,6 +26,12 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(token_shards(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -33,6 +39,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op5_token_shards": op5_token_shards,
 }
