@@ -39,6 +39,8 @@ KEY = struct.Struct(">BQI")
 ENTRY = struct.Struct(f"<{KEY.size}sQII")
 FOOTER = struct.Struct("<QQIQIQQI8s")
 BLOCK_BYTES = 1 << 16
+#: Text that is encoded at once.
+ENCODE_BYTES = 2 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -190,7 +192,8 @@ def write_shards(docs: DataFrame, vocabulary: str, uri: str, end_id: int | None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, first, last, ordinal, sink = TaskContext.get().partitionId(), None, None, None, 0, None
         path = f"{uri}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-        for part in chunks(batches):
+        for part in chunks(batches, ENCODE_BYTES):
+            pa.default_memory_pool().release_unused()
             ids, at = encoder(vocabulary).encode(text_column(part))
             if writer is None:
                 fs, file = filesystem(path)

@@ -28,7 +28,7 @@ def byte_letters() -> dict[int, int]:
 class WordEncoder:
     """Ids of whole texts. At most ``max_words`` distinct words are remembered; then the memory starts anew."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         import json
 
         self.full = Tokenizer.from_file(path)
