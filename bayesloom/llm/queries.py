@@ -44,10 +44,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import removal_digests
+
+    return removal_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op5_token_shards": op5_token_shards,
 }
 
