@@ -138,3 +138,68 @@ def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Ite
 
 def told_names(lists: list[bytes] | None) -> np.ndarray:
     return np.unique(unsix(b"".join(lists))) if lists else np.zeros(0, np.uint64)
+
+
+FIRSTS = "bucket int, payload binary"
+_firsts = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+_holders = pa.schema([("doc", pa.int64()), ("names", pa.binary()), ("owners", pa.binary())])
+
+
+def sent_first(docs: np.ndarray, names: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows that one piece sends to learn each name's first document: each (document, name) once."""
+    if not len(names):
+        return
+    names = short(names)
+    pairs = np.unique(np.stack([names, docs.view(np.uint64) ^ np.uint64(1 << 63)], 1), axis=0)
+    names, docs = pairs[:, 0], (pairs[:, 1] ^ np.uint64(1 << 63)).view(np.int64)
+    bucket = ((names >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+    order = np.lexsort((docs, bucket))
+    names, docs, bucket = names[order], docs[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for b in np.unique(bucket).tolist():
+        own = slice(cuts[b], cuts[b + 1])
+        rows.append((b, _pack(docs[own].view(np.uint64), names[own], np.zeros(cuts[b + 1] - cuts[b], bool))))
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _firsts, strict=True)], schema=_firsts)
+
+
+def _tell_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(parts: list[bytes]) -> pa.RecordBatch | None:
+        if not parts:
+            return None
+        keys, names, _ = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+        docs = keys.view(np.int64)
+        order = np.lexsort((docs, names))
+        names, docs = names[order], docs[order]
+        new = np.concatenate([[True], names[1:] != names[:-1]])
+        run = np.cumsum(new) - 1
+        owner = docs[new][run]
+        shared = (np.bincount(run, docs != owner) > 0)[run]
+        names, docs, owner = names[shared], docs[shared], owner[shared]
+        if not len(names):
+            return None
+        order = np.argsort(docs, kind="stable")
+        own, counts = np.unique(docs, return_counts=True)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        lists = [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((size * ends).astype(np.int32).tobytes()), pa.py_buffer(data)]) for size, data in ((6, _six(names[order])), (8, owner[order].astype("<i8").tobytes()))]
+        return pa.RecordBatch.from_arrays([pa.array(own), *lists], schema=_holders)
+
+    parts: list[bytes] = []
+    last = None
+    for batch in batches:
+        for bucket, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last:
+                if (out := told(parts)) is not None:
+                    yield out
+                parts, last = [], bucket
+            parts.append(payload)
+    if (out := told(parts)) is not None:
+        yield out
+
+
+def first_holders(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int) -> DataFrame:
+    """(doc, told): for each document lists of (6-byte names, 8-byte first document) of its names that others hold too."""
+    n = min(buckets, 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.mapInArrow(send, FIRSTS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    told = dealt.mapInArrow(_tell_first, "doc bigint, names binary, owners binary")
+    return told.groupBy("doc").agg(F.collect_list(F.struct("names", "owners")).alias("told"))
