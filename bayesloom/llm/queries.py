@@ -56,12 +56,19 @@ def op10_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=50)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_repeated_words": op10_repeated_words,
+    "op4_fingerprints": op4_fingerprints,
     "op5_token_shards": op5_token_shards,
 }
 
