@@ -80,6 +80,11 @@ class WordEncoder:
         if slow:
             for k, e in zip(slow_at, self.full.encode_batch_fast(slow, add_special_tokens=False), strict=True):
                 got[k] = e.ids
+        self.remember(words, got)
+        if len(self.pieces) > self.max_words:
+            self.pieces = {}
+
+    def remember(self, words: list[str], got: list[list[int]]) -> None:
         n, counts = len(self.index), np.fromiter(map(len, got), np.int32, len(got))
         total = int(counts.sum())
         while self.used + total > len(self.ids):
@@ -91,12 +96,14 @@ class WordEncoder:
         self.counts[n : n + len(got)] = counts
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += total
-        if len(self.pieces) > self.max_words:
-            self.pieces = {}
+
+    def segments(self, texts: pa.Array) -> pa.Array:
+        """Lists of strings that the vocabulary encodes independently of each other."""
+        return pc.ascii_split_whitespace(texts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets into them) of a large_string array without nulls."""
-        lists = pc.ascii_split_whitespace(texts)
+        lists = self.segments(texts)
         coded = lists.flatten().dictionary_encode()
         words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.index) + len(words) > self.max_words:
