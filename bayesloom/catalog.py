@@ -1,11 +1,26 @@
-"""Every query of the engine with the DuckDB SQL that gives the same rows."""
+"""Every query of the engine with the DuckDB SQL that gives the same rows.
+
+Documents are split by id modulo 5: 0 is the test part, 1 is held out for calibration, 2 to 4 train.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import coerce, maths
+from .functions.tokenizers import ChainTokenizer, NGramTokenizer, RegexTokenizer, WordTokenizer
+from .operators import calibrate, metrics, recommend, score, train, views
+from .operators.model import Model
+from .operators.tag import Tagger, TagSettings
+from .plans.engine import Service
+from .sources import payload
+from .sources.registry import Registry
+from .streaming import trainer
 
 
 @dataclass(frozen=True)
@@ -15,3 +30,658 @@ class Query:
 
 
 CATALOG: dict[str, Query] = {}
+STOP = ["the", "and", "de", "la", "der", "die", "que", "of", "to"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        CATALOG[f.__name__] = Query(f, sql)
+        return f
+
+    return add
+
+
+# What the queries read.
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _part(docs: DataFrame, op: Callable[[Column], Column]) -> DataFrame:
+    return docs.where(op(F.pmod(F.col("doc_id"), F.lit(5))) & F.col("lang").isNotNull())
+
+
+def train_log(spark: SparkSession, d: str) -> DataFrame:
+    return train.training_log(_part(table(spark, d, "documents"), lambda p: p >= 2), F.col("lang"), WordTokenizer().column(F.col("text")))
+
+
+def split(spark: SparkSession, d: str, part: int) -> DataFrame:
+    return _part(table(spark, d, "documents"), lambda p: p == part).select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), F.col("lang").alias("label"))
+
+
+def model(spark: SparkSession, d: str, **settings) -> Model:
+    return Model.fit(train_log(spark, d), **settings)
+
+
+def tokens_of(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    return docs.select(F.col(key), F.posexplode(tokens).alias("pos", "token"))
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# The same in SQL.
+
+WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2)"
+
+
+def unnested(key: str, tokens: str, source: str) -> str:
+    return f"SELECT {key}, CAST(unnest(range(len(ts))) AS INTEGER) AS pos, unnest(ts) AS token FROM (SELECT {key}, {tokens} AS ts FROM {source})"
+
+
+STATS = f"""train AS (SELECT doc_id AS seq, lang AS category, {WORDS} AS tokens FROM documents WHERE doc_id % 5 >= 2 AND lang IS NOT NULL),"""
+FOLD = """ex AS (SELECT seq, category, unnest(tokens) AS token FROM train),
+cells AS (SELECT category, token, count(*) AS cnt, count(DISTINCT seq) AS doc_cnt FROM ex GROUP BY ALL),
+cats AS (SELECT category, CAST(row_number() OVER (ORDER BY min(seq), category) AS INTEGER) AS cat_order, count(*) AS doc_count, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens FROM train GROUP BY category),
+vocab AS (SELECT token, CAST(sum(doc_cnt) AS BIGINT) AS df, CAST(sum(cnt) AS BIGINT) AS g FROM cells GROUP BY token),
+sc AS (SELECT (SELECT CAST(sum(doc_count) AS BIGINT) FROM cats) AS n, (SELECT CAST(sum(total_tokens) AS BIGINT) FROM cats) AS gt, (SELECT count(*) FROM vocab) AS v)"""
+BASE = f"WITH {STATS} {FOLD}"
+
+
+def scored(kind: str = "mnb", part: int = 0, tfidf: bool = True, alpha: float = 1.0, base: str = BASE, docs: str | None = None) -> str:
+    """CTEs up to ``ls(doc_id, category, cat_order, log_score)``."""
+    docs = docs or f"SELECT doc_id, lang AS label, {WORDS} AS tokens FROM documents WHERE doc_id % 5 = {part} AND lang IS NOT NULL"
+    head = f"{base}, td AS ({docs}), q AS (SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest(tokens) AS token FROM td) GROUP BY ALL)"
+    w = "(1 + ln(f)) * (ln((n + 1) / (df + 1)) + 1)" if tfidf else "f"
+    if kind == "mnb":
+        term, extra, out = f"{w} * ln((coalesce(x.cnt, 0) + {alpha}) / (c.total_tokens + {alpha} * v))", "", "ln(c.doc_count / n) + coalesce(s, 0)"
+    elif kind == "bnb":
+        p = lambda x: f"(({x} + {alpha}) / (c.doc_count + 2 * {alpha}))"
+        term = f"ln({p('coalesce(x.doc_cnt, 0)')}) - ln(1 - {p('coalesce(x.doc_cnt, 0)')})"
+        extra = f", mass AS (SELECT c.category, sum(ln(1 - {p('coalesce(x.doc_cnt, 0)')})) AS mass FROM vocab CROSS JOIN cats c LEFT JOIN cells x ON x.token = vocab.token AND x.category = c.category GROUP BY ALL)"
+        out = "ln(c.doc_count / n) + (SELECT mass FROM mass WHERE mass.category = c.category) + coalesce(s, 0)"
+    else:
+        weight = lambda: f"ln((vocab.g - coalesce(x.cnt, 0) + {alpha}) / (gt - c.total_tokens + {alpha} * v))"
+        term = f"f * {weight()}"
+        extra = f", norm AS (SELECT c.category, sum(abs({weight()})) AS norm FROM vocab CROSS JOIN cats c CROSS JOIN sc LEFT JOIN cells x ON x.token = vocab.token AND x.category = c.category GROUP BY ALL)"
+        out = "-coalesce(s, 0) / (SELECT norm FROM norm WHERE norm.category = c.category)"
+    sums = f"sums AS (SELECT q.doc_id, c.category, sum({term}) AS s FROM q JOIN vocab ON vocab.token = q.token CROSS JOIN cats c CROSS JOIN sc LEFT JOIN cells x ON x.token = q.token AND x.category = c.category GROUP BY ALL)"
+    return f"{head}{extra}, {sums}, ls AS (SELECT td.doc_id, c.category, c.cat_order, {out} AS log_score FROM td CROSS JOIN cats c CROSS JOIN sc LEFT JOIN sums ON sums.doc_id = td.doc_id AND sums.category = c.category)"
+
+
+def softmaxed(ctes: str, temperature: float = 1.0) -> str:
+    return f"{ctes}, sm AS (SELECT doc_id, category, cat_order, e / sum(e) OVER (PARTITION BY doc_id) AS score FROM (SELECT *, exp((log_score - max(log_score) OVER (PARTITION BY doc_id)) / {temperature}) AS e FROM ls)), best AS (SELECT doc_id, category, score FROM sm QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cat_order) = 1)"
+
+
+LS = "SELECT doc_id, category, round(log_score, 4) AS log_score FROM ls"
+
+
+def log_score_rows(m: Model, spark: SparkSession, d: str) -> DataFrame:
+    return score.log_scores(m, split(spark, d, 0)).select("doc_id", "category", r("log_score", 4).alias("log_score"))
+
+
+def best_rows(m: Model, spark: SparkSession, d: str) -> DataFrame:
+    return score.classify(m, split(spark, d, 0)).select("doc_id", "category", r("score").alias("score"))
+
+
+BEST = "SELECT doc_id, category, round(score, 6) AS score FROM best"
+
+# Tokenizers.
+
+
+@query(unnested("doc_id", WORDS, "documents"))
+def tokens_word(spark, d):
+    return tokens_of(table(spark, d, "documents"), "doc_id", WordTokenizer().column(F.col("text")))
+
+
+@query(unnested("doc_id", r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 3 AND NOT list_contains(" + str(STOP) + ", t))", "documents"))
+def tokens_word_stop(spark, d):
+    return tokens_of(table(spark, d, "documents"), "doc_id", WordTokenizer(3, STOP).column(F.col("text")))
+
+
+@query(unnested("conv_id, turn", r"list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda t: t <> ''), lambda t: lower(t))", "conversations"))
+def tokens_regex(spark, d):
+    tokens = RegexTokenizer(r"/[\p{L}\p{N}]+/u").column(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(tokens).alias("pos", "token"))
+
+
+@query(unnested("page_id", r"list_filter(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: t <> '')", "pages"))
+def tokens_regex_group(spark, d):
+    return tokens_of(table(spark, d, "pages"), "page_id", RegexTokenizer("<([a-zA-Z][a-zA-Z0-9]*)", lowercase=False).column(F.col("html")))
+
+
+CLEAN = r"trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g'))"
+
+
+def char_sql(n: int, pad: bool) -> str:
+    full = f"list_transform(range(1, greatest(length(s) - {n} + 2, 1)), lambda i: substring(s, CAST(i AS INTEGER), {n}))"
+    if not pad:
+        return f"CASE WHEN length(s) >= {n} THEN {full} ELSE [] END"
+    lead = f"list_transform(range(1, {n}), lambda i: rpad(substring(s, 1, CAST(i AS INTEGER)), {n}, ' '))"
+    trail = f"list_transform(range(1, {n}), lambda i: lpad(substring(s, CAST(length(s) - {n} + 1 + i AS INTEGER), CAST({n} - i AS INTEGER)), {n}, ' '))"
+    return f"CASE WHEN length(s) >= {n} THEN list_concat(list_concat({lead}, {full}), {trail}) WHEN length(s) > 0 THEN [rpad(s, {n}, ' ')] ELSE [] END"
+
+
+BENCH = f"(SELECT item_id, {CLEAN} AS s, {WORDS} AS w, text FROM benchmark)"
+WORD2 = "CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: array_to_string(list_slice(w, i, i + 1), ' ')) ELSE [] END"
+
+
+@query(unnested("item_id", char_sql(3, True), BENCH))
+def tokens_char_ngram(spark, d):
+    return tokens_of(table(spark, d, "benchmark"), "item_id", NGramTokenizer(3).column(F.col("text")))
+
+
+@query(unnested("item_id", char_sql(4, False), BENCH))
+def tokens_char_ngram_nopad(spark, d):
+    return tokens_of(table(spark, d, "benchmark"), "item_id", NGramTokenizer(4, pad=False).column(F.col("text")))
+
+
+@query(unnested("item_id", WORD2, BENCH))
+def tokens_word_ngram(spark, d):
+    return tokens_of(table(spark, d, "benchmark"), "item_id", NGramTokenizer(2, characters=False).column(F.col("text")))
+
+
+@query(unnested("item_id", f"list_concat(w, {char_sql(3, False)})", BENCH))
+def tokens_chain(spark, d):
+    return tokens_of(table(spark, d, "benchmark"), "item_id", ChainTokenizer([WordTokenizer(), NGramTokenizer(3, pad=False)]).column(F.col("text")))
+
+
+# Statistics.
+
+
+@query(f"SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest({WORDS}) AS token FROM documents) GROUP BY ALL")
+def doc_term_frequency(spark, d):
+    tokens = table(spark, d, "documents").select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
+    return score.term_counts(tokens).where("f > 0")
+
+
+@query(f"{BASE} SELECT token, df, g FROM vocab")
+def document_frequency(spark, d):
+    return views.vocabulary(train.cells(train_log(spark, d)))
+
+
+@query(f"{BASE} SELECT n, gt AS g_total, v FROM sc")
+def vocab_scalars(spark, d):
+    return model(spark, d).scalars()
+
+
+@query(f"{BASE} SELECT * FROM cats")
+def category_stats(spark, d):
+    return train.categories(train_log(spark, d))
+
+
+CELLS = f"{BASE} SELECT category, token, cnt, doc_cnt FROM cells"
+
+
+@query(CELLS)
+def token_cells(spark, d):
+    return train.cells(train_log(spark, d))
+
+
+@query(f"{BASE} SELECT category, count(*) AS vocabulary_size FROM cells GROUP BY category")
+def category_vocabulary_size(spark, d):
+    return views.category_sizes(train.cells(train_log(spark, d)))
+
+
+@query(f"{scored()} SELECT doc_id, token, round((1 + ln(f)) * (ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM q JOIN vocab USING (token) CROSS JOIN sc")
+def tfidf_weights(spark, d):
+    m = model(spark, d)
+    known = score.term_counts(split(spark, d, 0)).join(views.vocabulary(m.cells), "token").crossJoin(F.broadcast(m.scalars()))
+    return known.select("doc_id", "token", r(maths.tfidf(F.col("f"), F.col("n"), F.col("df"))).alias("weight"))
+
+
+HIST = {
+    "d": "SELECT 'd' AS fam, category, doc_cnt AS val, count(*) AS cnt FROM cells GROUP BY ALL",
+    "g": "SELECT 'g' AS fam, '' AS category, g AS val, count(*) AS cnt FROM vocab GROUP BY ALL",
+    "a": "SELECT 'a' AS fam, category, g AS val, count(*) AS cnt FROM cells JOIN vocab USING (token) GROUP BY ALL",
+    "k": "SELECT 'k' AS fam, category, g - cells.cnt AS val, count(*) AS cnt FROM cells JOIN vocab USING (token) GROUP BY category, g - cells.cnt",
+}
+
+
+def _hist(fam: str):
+    def build(spark, d):
+        return views.histogram(train.cells(train_log(spark, d)), (fam,))
+
+    CATALOG[f"hist_{fam}"] = Query(build, f"{BASE} {HIST[fam]}")
+
+
+for _fam in HIST:
+    _hist(_fam)
+
+
+@query(f"{BASE} SELECT c.category, vocab.g - coalesce(x.cnt, 0) AS val, count(*) AS cnt FROM vocab CROSS JOIN cats c LEFT JOIN cells x ON x.token = vocab.token AND x.category = c.category GROUP BY ALL")
+def complement_counts(spark, d):
+    m = model(spark, d)
+    return views.complement_counts(m.cells, m.categories)
+
+
+@query(f"{BASE} SELECT 'd' || doc_cnt || ':' || category AS key, 'd' AS fam, category, doc_cnt AS val FROM cells GROUP BY ALL UNION ALL SELECT 'g' || g, 'g', '', g FROM vocab GROUP BY ALL")
+def histogram_keys(spark, d):
+    h = views.histogram(train.cells(train_log(spark, d)), ("d", "g")).select(views.encode_key().alias("key"))
+    return h.select("key", views.decode_key().alias("k")).select("key", "k.*")
+
+
+@query(f"{BASE} {' UNION ALL '.join(HIST.values())}")
+def histogram_maintained(spark, d):
+    log = train_log(spark, d)
+    first, batch = log.where("seq % 2 = 0"), log.where("seq % 2 = 1")
+    before, after = train.cells(first), train.cells(log)
+    return trainer.maintain(before, after, views.histogram(before), batch)
+
+
+# Scoring.
+
+
+@query(f"{scored()} {LS}")
+def mnb_log_scores(spark, d):
+    return log_score_rows(model(spark, d), spark, d)
+
+
+@query(f"{scored(tfidf=False)} {LS}")
+def mnb_log_scores_raw_tf(spark, d):
+    return log_score_rows(model(spark, d, use_tfidf=False), spark, d)
+
+
+@query(f"{scored(alpha=0.25)} {LS}")
+def mnb_log_scores_alpha(spark, d):
+    return log_score_rows(model(spark, d, alpha=0.25), spark, d)
+
+
+@query(f"{softmaxed(scored())} SELECT doc_id, category, round(score, 6) AS score FROM sm")
+def mnb_scores(spark, d):
+    return score.scores(model(spark, d), split(spark, d, 0)).select("doc_id", "category", r("score").alias("score"))
+
+
+@query(f"{softmaxed(scored())} {BEST}")
+def mnb_classify(spark, d):
+    return best_rows(model(spark, d), spark, d)
+
+
+SPAM_STATS = f"WITH train AS (SELECT doc_id AS seq, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS category, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 >= 2), {FOLD}"
+
+
+@query(f"{softmaxed(scored(base=SPAM_STATS))} SELECT doc_id, category = 'spam' AS is_spam FROM best")
+def is_spam(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("doc_id % 5 >= 2")
+    log = train.training_log(docs, F.when(F.col("toxic") == 1, "spam").otherwise("ham"), WordTokenizer().column(F.col("text")))
+    return score.is_spam(Model.fit(log), split(spark, d, 0))
+
+
+ROLE_STATS = f"WITH train AS (SELECT conv_id * 1000 + turn AS seq, role AS category, {WORDS} AS tokens FROM conversations WHERE conv_id % 5 <> 0 AND role IS NOT NULL), {FOLD}"
+ROLE_DOCS = f"SELECT conv_id * 1000 + turn AS doc_id, role AS label, {WORDS} AS tokens FROM conversations WHERE conv_id % 5 = 0"
+
+
+@query(f"{scored('cnb', base=ROLE_STATS, docs=ROLE_DOCS)} {LS}")
+def cnb_roles(spark, d):
+    turns = table(spark, d, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    log = train.training_log(turns.where("conv_id % 5 <> 0 and role is not null"), F.col("role"), WordTokenizer().column(F.col("text")))
+    test = turns.where("conv_id % 5 = 0").select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
+    found = score.log_scores(Model.fit(log, kind="complement-naive-bayes"), test)
+    return found.select("doc_id", "category", r("log_score", 4).alias("log_score"))
+
+
+@query(f"{scored('bnb')} SELECT category, round(mass, 4) AS mass FROM mass")
+def bnb_absent_mass(spark, d):
+    return score.absent_mass(model(spark, d)).select("category", r("mass", 4).alias("mass"))
+
+
+@query(f"{scored('bnb')} {LS}")
+def bnb_log_scores(spark, d):
+    return log_score_rows(model(spark, d, kind="bernoulli-naive-bayes"), spark, d)
+
+
+@query(f"{softmaxed(scored('bnb'))} {BEST}")
+def bnb_classify(spark, d):
+    return best_rows(model(spark, d, kind="bernoulli-naive-bayes"), spark, d)
+
+
+@query(f"{scored('cnb')} SELECT category, round(norm, 4) AS norm FROM norm")
+def cnb_norms(spark, d):
+    return score.complement_norms(model(spark, d)).select("category", r("norm", 4).alias("norm"))
+
+
+@query(f"{scored('cnb')} SELECT doc_id, category, round(log_score, 6) AS log_score FROM ls")
+def cnb_log_scores(spark, d):
+    m = model(spark, d, kind="complement-naive-bayes")
+    return score.log_scores(m, split(spark, d, 0)).select("doc_id", "category", r("log_score").alias("log_score"))
+
+
+@query(f"{softmaxed(scored('cnb'))} {BEST}")
+def cnb_classify(spark, d):
+    return best_rows(model(spark, d, kind="complement-naive-bayes"), spark, d)
+
+
+# Withdrawal.
+
+LESS = STATS.replace("doc_id % 5 >= 2", "doc_id % 5 >= 3")
+
+
+def signed_log(spark, d) -> DataFrame:
+    log = train_log(spark, d)
+    return log.unionByName(log.where("seq % 5 = 2").withColumn("sign", F.lit(-1)).withColumn("seq", F.col("seq") + 10**12))
+
+
+@query(f"WITH {LESS} {FOLD} SELECT category, token, cnt, doc_cnt FROM cells")
+def signed_fold_cells(spark, d):
+    return train.cells(signed_log(spark, d))
+
+
+@query(f"WITH {LESS} {FOLD} SELECT category, token, cnt, doc_cnt FROM cells")
+def replayed_cells(spark, d):
+    return train.replay(signed_log(spark, d))
+
+
+@query(f"{scored(base=f'WITH {LESS} {FOLD}')} {LS}")
+def untrain_equals_retrain(spark, d):
+    return log_score_rows(Model.fit(signed_log(spark, d)), spark, d)
+
+
+# Tagging.
+
+TAGS = "list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)"
+TAG_STATS = f"WITH train AS (SELECT doc_id AS seq, unnest(list_concat(['*'], {TAGS})) AS category, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 >= 2), {FOLD}"
+
+
+def tag_ctes(part: int = 0, probability: str = "1 / (1 + exp(-log_odds))") -> str:
+    docs = f"SELECT doc_id, {TAGS} AS labels, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = {part}"
+    return f"""{TAG_STATS}, td AS ({docs}), q AS (SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest(tokens) AS token FROM td) GROUP BY ALL),
+bk AS (SELECT doc_count AS nb, total_tokens AS tb FROM cats WHERE category = '*'), lb AS (SELECT * FROM cats WHERE category <> '*'),
+st AS (SELECT q.doc_id, c.category, sum((1 + ln(f)) * (ln((nb + 1) / (b.doc_cnt + 1)) + 1) * (ln((coalesce(x.cnt, 0) + 1) / (c.total_tokens + v)) - ln((b.cnt - coalesce(x.cnt, 0) + 1) / (tb - c.total_tokens + v)))) AS s
+ FROM q JOIN cells b ON b.token = q.token AND b.category = '*' CROSS JOIN lb c CROSS JOIN bk CROSS JOIN sc LEFT JOIN cells x ON x.token = q.token AND x.category = c.category GROUP BY ALL),
+lo AS (SELECT td.doc_id, td.labels, c.category AS label, c.cat_order AS label_order, ln((c.doc_count + 1) / (nb - c.doc_count + 1)) + coalesce(s, 0) AS log_odds FROM td CROSS JOIN lb c CROSS JOIN bk LEFT JOIN st ON st.doc_id = td.doc_id AND st.category = c.category),
+pr AS (SELECT *, {probability} AS probability FROM lo)"""
+
+
+def tagger(spark, d) -> Tagger:
+    return Tagger.fit(Tagger.log(tagged(spark, d).where("doc_id % 5 >= 2"), F.col("labels"), WordTokenizer().column(F.col("text"))), TagSettings(0.5, 1))
+
+
+def tagged(spark, d) -> DataFrame:
+    labels = F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("labels", labels)
+
+
+def tag_docs(spark, d, part: int = 0) -> DataFrame:
+    return tagged(spark, d).where(F.pmod(F.col("doc_id"), F.lit(5)) == part).select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), "labels")
+
+
+@query(f"{tag_ctes()} SELECT doc_id, label, round(log_odds, 4) AS log_odds FROM pr")
+def tag_log_odds(spark, d):
+    return tagger(spark, d).log_odds(tag_docs(spark, d)).select("doc_id", "label", r("log_odds", 4).alias("log_odds"))
+
+
+@query(f"{tag_ctes()} SELECT doc_id, label, round(probability, 6) AS probability FROM pr")
+def tag_probabilities(spark, d):
+    return tagger(spark, d).probabilities(tag_docs(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
+
+
+@query(f"{tag_ctes()} SELECT doc_id, label, round(probability, 6) AS probability FROM pr WHERE probability >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, label_order) <= 1")
+def tag_topk(spark, d):
+    return tagger(spark, d).tag(tag_docs(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
+
+
+# Recommendation.
+
+PART_WORDS = WORDS.replace("text", "p_name || ' ' || p_type")
+PART_STATS = f"WITH train AS (SELECT p_partkey AS seq, CASE WHEN p_size > 25 THEN 'liked' ELSE 'ignored' END AS category, {PART_WORDS} AS tokens FROM part), {FOLD}"
+PROBES = f"SELECT p_brand || '|' || p_type AS doc_id, {WORDS} AS tokens FROM (SELECT DISTINCT b.p_brand, t.p_type, trim(b.p_brand) || ' ' || trim(t.p_type) AS text FROM part b CROSS JOIN (SELECT DISTINCT p_type FROM part) t)"
+
+
+@query(f"{softmaxed(scored(base=PART_STATS, docs=PROBES))} SELECT split_part(doc_id, '|', 1) AS ctx_id, split_part(doc_id, '|', 2) AS candidate, round(score, 6) AS score FROM sm WHERE category = 'liked'")
+def recommend_rank(spark, d):
+    part = table(spark, d, "part")
+    log = train.training_log(part, F.when(F.col("p_size") > 25, "liked").otherwise("ignored"), WordTokenizer().column(F.concat_ws(" ", "p_name", "p_type")), "p_partkey")
+    types = part.agg(F.sort_array(F.collect_set("p_type")).alias("candidates"))
+    contexts = part.select(F.col("p_brand").alias("ctx_id")).distinct().select("ctx_id", F.array("ctx_id").alias("context")).crossJoin(F.broadcast(types))
+    return recommend.recommend(Model.fit(log), contexts).select("ctx_id", "candidate", r("score").alias("score"))
+
+
+# Metrics.
+
+PAIRS = f"{softmaxed(scored('cnb'))}, pairs AS (SELECT td.label AS expected, best.category AS predicted FROM td JOIN best USING (doc_id)), labs AS (SELECT expected AS l FROM pairs UNION SELECT predicted FROM pairs), cm AS (SELECT a.l AS expected, b.l AS predicted, (SELECT count(*) FROM pairs p WHERE p.expected = a.l AND p.predicted = b.l) AS n FROM labs a CROSS JOIN labs b), pl AS (SELECT l AS label, CASE WHEN pr = 0 THEN 'nan'::DOUBLE ELSE tp / pr END AS precision, CASE WHEN ex = 0 THEN 'nan'::DOUBLE ELSE tp / ex END AS recall FROM (SELECT l, (SELECT sum(n) FROM cm WHERE expected = l AND predicted = l) AS tp, (SELECT sum(n) FROM cm WHERE predicted = l) AS pr, (SELECT sum(n) FROM cm WHERE expected = l) AS ex FROM labs)), f AS (SELECT *, CASE WHEN isnan(precision) OR isnan(recall) THEN 'nan'::DOUBLE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pl)"
+
+
+def pairs(spark, d) -> DataFrame:
+    test = split(spark, d, 0)
+    found = score.classify(model(spark, d, kind="complement-naive-bayes"), test)
+    return test.select("doc_id", F.col("label").alias("expected")).join(found, "doc_id").select("expected", F.col("category").alias("predicted"))
+
+
+@query(f"{PAIRS} SELECT * FROM cm")
+def confusion_matrix(spark, d):
+    return metrics.confusion(pairs(spark, d))
+
+
+@query(f"{PAIRS} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
+def metrics_per_label(spark, d):
+    return metrics.per_label(metrics.confusion(pairs(spark, d))).select("label", *(r(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+_acc = "(SELECT sum(CASE WHEN expected = predicted THEN n ELSE 0 END) / sum(n) FROM cm)"
+
+
+@query(f"{PAIRS} SELECT round({_acc}, 6) AS accuracy, round(avg(CASE WHEN isnan(precision) THEN 0 ELSE precision END), 6) AS macro_precision, round(avg(CASE WHEN isnan(recall) THEN 0 ELSE recall END), 6) AS macro_recall, round(avg(CASE WHEN isnan(f1) THEN 0 ELSE f1 END), 6) AS macro_f1, round({_acc}, 6) AS micro_precision, round({_acc}, 6) AS micro_recall, round({_acc}, 6) AS micro_f1 FROM f")
+def metrics_macro_micro(spark, d):
+    out = metrics.overall(metrics.confusion(pairs(spark, d)))
+    return out.select(*(r(c).alias(c) for c in out.columns))
+
+
+OUTCOMES = f"{tag_ctes()}, oc AS (SELECT probability AS p, list_contains(labels, label) AS y FROM pr)"
+
+
+def outcomes(spark, d) -> DataFrame:
+    test = tag_docs(spark, d)
+    p = tagger(spark, d).probabilities(test)
+    return p.join(test.select("doc_id", "labels"), "doc_id").select(F.col("probability").alias("p"), F.array_contains("labels", F.col("label")).alias("y"))
+
+
+@query(f"{OUTCOMES} SELECT round(avg(-ln(greatest(CASE WHEN y THEN p ELSE 1 - p END, 1e-300))), 4) AS log_loss FROM oc")
+def log_loss(spark, d):
+    return outcomes(spark, d).agg(r(metrics.binary_log_loss(F.col("p"), F.col("y")), 4).alias("log_loss"))
+
+
+@query(f"{OUTCOMES} SELECT round(avg(power(p - CASE WHEN y THEN 1 ELSE 0 END, 2)), 6) AS brier FROM oc")
+def brier(spark, d):
+    return outcomes(spark, d).agg(r(metrics.brier(F.col("p"), F.col("y"))).alias("brier"))
+
+
+ECE = "SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM (SELECT count(*) AS n, avg(p) AS p, avg(CASE WHEN y THEN 1.0 ELSE 0.0 END) AS y FROM oc GROUP BY least(9, greatest(0, floor(p * 10))))"
+
+
+@query(f"{OUTCOMES} {ECE}")
+def ece(spark, d):
+    return metrics.calibration_error(outcomes(spark, d)).select(r("ece").alias("ece"))
+
+
+DIST = softmaxed(scored("cnb"))
+
+
+@query(f"{DIST} SELECT round(avg(-ln(greatest(coalesce(score, 0), 1e-300))), 6) AS log_loss FROM td LEFT JOIN sm ON sm.doc_id = td.doc_id AND sm.category = td.label")
+def distribution_log_loss(spark, d):
+    test = split(spark, d, 0)
+    return metrics.distribution_log_loss(score.scores(model(spark, d, kind="complement-naive-bayes"), test), test).select(r("log_loss").alias("log_loss"))
+
+
+@query(f"{DIST}, oc AS (SELECT score AS p, category = label AS y FROM td JOIN best USING (doc_id)) {ECE}")
+def distribution_ece(spark, d):
+    test = split(spark, d, 0)
+    return metrics.distribution_calibration_error(score.scores(model(spark, d, kind="complement-naive-bayes"), test), test.select("doc_id", "label")).select(r("ece").alias("ece"))
+
+
+# Calibration.
+
+GRID = [0.01, 0.1, 0.5, 1.0, 2.0, 10.0, 100.0]
+
+
+def held_vectors(spark, d) -> DataFrame:
+    held = split(spark, d, 1)
+    return calibrate.vectors(score.log_scores(model(spark, d, kind="complement-naive-bayes"), held), held)
+
+
+@query(f"{scored('cnb', part=1)}, own AS (SELECT ls.doc_id, max(log_score) AS top, max(CASE WHEN category = label THEN log_score END) AS own FROM ls JOIN td USING (doc_id) GROUP BY ls.doc_id), g AS (SELECT unnest({GRID}::DOUBLE[]) AS temperature) SELECT temperature, round(avg(nll), 6) AS nll FROM (SELECT temperature, least(ln(total) - (own - top) / temperature, -ln(1e-300)) AS nll FROM (SELECT temperature, own.doc_id, any_value(own.own) AS own, any_value(own.top) AS top, sum(exp((log_score - own.top) / temperature)) AS total FROM own JOIN ls ON ls.doc_id = own.doc_id CROSS JOIN g WHERE own.own IS NOT NULL GROUP BY temperature, own.doc_id)) GROUP BY temperature")
+def temperature_grid_nll(spark, d):
+    return calibrate.grid_nll(held_vectors(spark, d), GRID).select("temperature", r("nll").alias("nll"))
+
+
+@query(f"{softmaxed(scored('cnb'), 0.5)} SELECT doc_id, category, round(score, 6) AS score FROM sm")
+def temperature_apply(spark, d):
+    m = model(spark, d, kind="complement-naive-bayes", temperature=0.5)
+    return score.scores(m, split(spark, d, 0)).select("doc_id", "category", r("score").alias("score"))
+
+
+@query()
+def temperature_fit(spark, d):
+    held = split(spark, d, 1)
+    t = calibrate.fit_temperature(score.log_scores(model(spark, d, kind="complement-naive-bayes"), held), held)
+    return spark.createDataFrame([(t.value, t.samples)], "temperature double, samples bigint")
+
+
+def platt_values(spark, d) -> DataFrame:
+    held = tag_docs(spark, d, 1)
+    odds = tagger(spark, d).log_odds(held)
+    return odds.join(held.select("doc_id", "labels"), "doc_id").select("label", (F.col("log_odds") / 100).alias("value"), F.array_contains("labels", F.col("label")).alias("positive"))
+
+
+@query()
+def platt_fit(spark, d):
+    return calibrate.fit_platt(platt_values(spark, d))
+
+
+@query(f"{tag_ctes(1)}, v AS (SELECT label, log_odds / 100 AS value, list_contains(labels, label) AS y FROM pr), t AS (SELECT *, 0.7 * value - 0.1 AS z, CASE WHEN y THEN (sum(y::INT) OVER w + 1) / (sum(y::INT) OVER w + 2) ELSE 1 / (sum(1 - y::INT) OVER w + 2) END AS t FROM v WINDOW w AS (PARTITION BY label)) SELECT label, round(sum(greatest(z, 0) - z * t + ln(1 + exp(-abs(z)))), 4) AS loss, round(sum((1 / (1 + exp(-z)) - t) * value), 4) AS g_slope, round(sum(1 / (1 + exp(-z)) - t), 4) AS g_intercept FROM t GROUP BY label")
+def platt_gradient(spark, d):
+    g = calibrate.platt_gradient(platt_values(spark, d), 0.7, -0.1)
+    return g.select("label", *(r(c, 4).alias(c) for c in ("loss", "g_slope", "g_intercept")))
+
+
+# Storage, streams, requests.
+
+
+def _folder(spark: SparkSession) -> str:
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/bayesloom-{uuid.uuid4().hex}"
+
+
+@query(CELLS)
+def payload_roundtrip(spark, d):
+    return payload.cells_of(payload.export(model(spark, d, name="langs")))
+
+
+@query(f"{BASE} SELECT category, cat_order, doc_count, total_tokens FROM cats")
+def payload_categories(spark, d):
+    return payload.load(payload.export(model(spark, d, name="langs"))).categories.select("category", "cat_order", "doc_count", "total_tokens")
+
+
+@query(CELLS)
+def model_convert(spark, d):
+    registry = Registry(spark, _folder(spark))
+    payload.convert(payload.export(model(spark, d, name="langs")), registry, "langs")
+    return registry.load("langs").cells
+
+
+@query(f"{scored()} {LS}")
+def registry_log_scores(spark, d):
+    registry = Registry(spark, _folder(spark))
+    registry.save(model(spark, d, name="langs"))
+    return log_score_rows(registry.load("langs"), spark, d)
+
+
+def _to_log(docs: DataFrame) -> DataFrame:
+    return train.training_log(_part(docs, lambda p: p >= 2), F.col("lang"), WordTokenizer().column(F.col("text")))
+
+
+def _stream_source(spark: SparkSession, d: str) -> tuple[str, object]:
+    """A folder that the file source can watch, and its schema."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    path = f"{_folder(spark)}/source"
+    docs.write.parquet(path)
+    return path, docs.schema
+
+
+@query(CELLS)
+def stream_train_cells(spark, d):
+    path, schema = _stream_source(spark, d)
+    return trainer.stream_cells(spark, path, schema, _to_log, f"{_folder(spark)}/checkpoint")
+
+
+@query(CELLS)
+def stream_registry_cells(spark, d):
+    path, schema = _stream_source(spark, d)
+    registry = Registry(spark, _folder(spark))
+    stream = _to_log(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
+    trainer.train_stream(stream, registry, "langs", f"{_folder(spark)}/checkpoint").awaitTermination()
+    return registry.load("langs").cells
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    test = _part(table(spark, d, "documents"), lambda p: p == 0)
+    return test.select(F.col("doc_id").alias("req_id"), F.lit("classify").alias("action"), "text", F.lit(None).cast("string").alias("category"), none.alias("context"), none.alias("candidates"))
+
+
+@query(f"{softmaxed(scored())} SELECT best.doc_id AS req_id, CASE WHEN strlen(text) > 4096 THEN 413 ELSE 200 END AS status, CASE WHEN strlen(text) > 4096 THEN NULL ELSE category END AS category FROM best JOIN documents ON documents.doc_id = best.doc_id")
+def service_classify(spark, d):
+    out = Service(model(spark, d), max_text_bytes=4096).respond(requests(spark, d))
+    return out.select("req_id", "status", F.get_json_object("response", "$.category").alias("category"))
+
+
+@query(f"{tag_ctes()} SELECT doc_id AS req_id, count(*) FILTER (WHERE probability >= 0.5) AS tags FROM pr GROUP BY doc_id")
+def service_tag(spark, d):
+    t = Tagger(tagger(spark, d).model, TagSettings(0.5, 0))
+    docs = tagged(spark, d).where("doc_id % 5 = 0").select(F.col("doc_id").alias("req_id"), F.lit("tag").alias("action"), "text")
+    none = F.lit(None).cast("array<string>")
+    out = Service(t.model, t, max_text_bytes=0).respond(docs.withColumns({"category": F.lit(None).cast("string"), "context": none, "candidates": none}))
+    tags = F.from_json(F.get_json_object("response", "$.tags"), "map<string,double>")
+    return out.select("req_id", F.size(tags).cast("bigint").alias("tags"))
+
+
+@query(f"{softmaxed(scored(base=PART_STATS, docs=PROBES))} SELECT split_part(doc_id, '|', 1) AS brand, count(*) AS candidates, round(max(score), 6) AS best FROM sm WHERE category = 'liked' GROUP BY ALL")
+def service_recommend(spark, d):
+    part = table(spark, d, "part")
+    log = train.training_log(part, F.when(F.col("p_size") > 25, "liked").otherwise("ignored"), WordTokenizer().column(F.concat_ws(" ", "p_name", "p_type")), "p_partkey")
+    types = part.agg(F.sort_array(F.collect_set("p_type")).alias("candidates"))
+    brands = part.select(F.col("p_brand").alias("brand")).distinct().withColumn("req_id", F.xxhash64("brand"))
+    asks = brands.select("req_id", F.lit("recommend").alias("action"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("category"), F.array("brand").alias("context")).crossJoin(F.broadcast(types))
+    out = Service(Model.fit(log), max_candidates=0).respond(asks).join(brands, "req_id")
+    scores = F.from_json(F.get_json_object("response", "$.scores"), "map<string,double>")
+    return out.select("brand", F.size(scores).cast("bigint").alias("candidates"), r(F.array_max(F.map_values(scores))).alias("best"))
+
+
+# Scalar functions.
+
+
+def _values(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("event_id", (F.col("value") / 10 - 5).alias("a"), (F.col("user_id") % 7 - 60).cast("double").alias("b"))
+
+
+VALUES = "(SELECT event_id, value / 10 - 5 AS a, CAST(user_id % 7 - 60 AS DOUBLE) AS b FROM events)"
+
+
+@query(f"SELECT event_id, round(CASE WHEN greatest(a, b) - least(a, b) > 50 THEN greatest(a, b) ELSE greatest(a, b) + ln(1 + exp(least(a, b) - greatest(a, b))) END, 6) AS v FROM {VALUES}")
+def log_add(spark, d):
+    return _values(spark, d).select("event_id", r(maths.log_add(F.col("a"), F.col("b"))).alias("v"))
+
+
+@query(f"SELECT b, round(max(a) + ln(sum(exp(a - m))), 6) AS v FROM (SELECT b, a, max(a) OVER (PARTITION BY b) AS m FROM {VALUES}) GROUP BY b")
+def log_sum(spark, d):
+    return _values(spark, d).groupBy("b").agg(r(maths.log_sum(F.col("a"))).alias("v"))
+
+
+@query(f"SELECT event_id, CASE WHEN a >= 0 THEN NULL ELSE round(ln(1 - exp(a)), 6) END AS v FROM {VALUES}")
+def log_complement(spark, d):
+    v = maths.log_complement(F.col("a"))
+    return _values(spark, d).select("event_id", F.when(v == float("-inf"), None).otherwise(r(v)).alias("v"))
+
+
+@query(f"SELECT event_id, round(1 / (1 + exp(-a)), 6) AS v FROM {VALUES}")
+def sigmoid(spark, d):
+    return _values(spark, d).select("event_id", r(maths.sigmoid(F.col("a"))).alias("v"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(event_type AS BIGINT), 7) AS i, value AS f, CASE WHEN event_type IN ('', '0') THEN false ELSE true END AS b FROM events")
+def payload_coercions(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", coerce.to_int(F.col("event_type"), 7).alias("i"), coerce.to_float(F.col("value")).alias("f"), coerce.to_bool(F.col("event_type")).alias("b"))
