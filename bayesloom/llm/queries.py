@@ -32,6 +32,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import classify
+
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -70,6 +76,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_repeated_bytes": op9_repeated_bytes,
