@@ -74,6 +74,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .tokencounts import section_counts, thirds
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return section_counts(docs, vocabulary("byte_bpe_50k.json"), thirds(F.col("text")), rule="most")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_words": op10_repeated_words,
     "op4_fingerprints": op4_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_token_counts": op7_token_counts,
     "op5_token_shards": op5_token_shards,
 }
 

@@ -28,6 +28,8 @@ def byte_letters() -> dict[int, int]:
 class WordEncoder:
     """Ids of whole texts. At most ``max_words`` distinct words are remembered; then the memory starts anew."""
 
+    dtype = np.uint32
+
     def __init__(self, path: str, max_words: int = 250_000):
         import json
 
@@ -88,10 +90,10 @@ class WordEncoder:
         n, counts = len(self.index), np.fromiter(map(len, got), np.int32, len(got))
         total = int(counts.sum())
         while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + (1 << 14), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + (1 << 14), self.dtype)])
         while n + len(got) > len(self.starts):
             self.starts, self.counts = (np.concatenate([a, np.zeros(len(a) + (1 << 12), a.dtype)]) for a in (self.starts, self.counts))
-        self.ids[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter((i for g in got for i in g), self.dtype, total)
         self.starts[n : n + len(got)] = self.used + np.cumsum(counts, dtype=np.int64) - counts
         self.counts[n : n + len(got)] = counts
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
