@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, wi
 last gives the tokens' digests. Between stages the documents are written as Parquet in the shared folder and read again.
 
 1. Language: texts without a letter, and those whose language is less likely than MIN_SCORE, go.
-2. SimHash: of each group of near-duplicates (at most 2 differing bits of 64, over five-word shingles) the document of
-   the smallest id stays (of equal ids or null ids one row).
+2. SimHash: of each group of near-duplicates (similarity of 0.8 or more over five-word shingles) the document of the
+   smallest id stays (of equal ids or null ids one row).
 3. Suffix sampling: bytes of strings of 400 bytes that occur elsewhere too are taken out of the texts.
 4. Decontamination: documents that overlap with a benchmark item go.
 5. SentencePiece: the kept texts are encoded and decoded.
@@ -30,13 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    fps = common.checkpointed(simhash.fingerprints(keyed.select(F.col("row").alias("doc_id"), "text"), 5).withColumnRenamed("doc_id", "row").distinct())
-    groups = simhash.grouped(fps.withColumnRenamed("row", "doc_id")).select(F.col("doc_id").alias("row"), "component_id")
-    ids = keyed.select("row", "doc_id").distinct().join(groups, "row")
-    kept = ids.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select(F.col("row").alias("kept_row"))
-    chosen = docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("kept_row")).select(*docs.columns, "kept_row")
-    return chosen.dropDuplicates(["kept_row"]).drop("kept_row")
+    groups = common.checkpointed(simhash.similar(docs))
+    ids = docs.select(F.xxhash64("text").alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("own"))
+    first = F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own"))
+    kept = ids.join(groups, "row").groupBy("component").agg(first.alias("kept")).select("kept")
+    chosen = docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("kept"))
+    return chosen.dropDuplicates(["kept"]).drop("kept")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
