@@ -55,29 +55,37 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, unsix(data[at : at + 6 * n]), np.unpackbits(np.frombuffer(data, np.uint8, -1, at + 6 * n))[:n].astype(bool)
 
 
-def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows that one piece of text sends: (document key, name) of each place, and which places are asked for."""
+def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray | None = None, mode: str = "twice") -> Iterator[pa.RecordBatch]:
+    """The rows that one piece of text sends: (document key, name) of each place; ``asked`` marks places for two modes.
+
+    twice: every place learns whether its name occurs twice. answer: the same, but only asked places are told.
+    heard: every place learns whether its name is asked for anywhere; all places are sent on.
+    """
     if not len(names):
         return
     names, keys = short(names), keys & np.uint64(KEY_MASK)
-    order = np.lexsort((keys, names))
-    names, keys = names[order], keys[order]
-    first = np.concatenate([[True], names[1:] != names[:-1]])
-    run = np.cumsum(first) - 1
-    many = np.bincount(run) > 1
+    mark = np.ones(len(names), bool) if asked is None else asked
+    order = np.lexsort((~mark, keys, names))
+    names, keys, mark = names[order], keys[order], mark[order]
     rows: list[tuple[int, bool, bytes]] = []
-    again = many[run]
-    if again.any():
-        pairs = np.unique(np.stack([keys[again], names[again]], 1), axis=0)
-        rows.append((int(pairs[0, 0]) % buckets, True, _pack(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))))
-    multi = many if asked is None else np.bincount(run, asked[order]) > 0
-    names, keys = names[first], keys[first]
+    if mode == "heard":
+        first = np.concatenate([[True], (names[1:] != names[:-1]) | (keys[1:] != keys[:-1])])
+        names, keys, mark = names[first], keys[first], mark[first]
+    else:
+        first = np.concatenate([[True], names[1:] != names[:-1]])
+        run = np.cumsum(first) - 1
+        many = np.bincount(run) > 1
+        again = many[run] & mark
+        if again.any():
+            pairs = np.unique(np.stack([keys[again], names[again]], 1), axis=0)
+            rows.append((int(pairs[0, 0]) % buckets, True, _pack(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))))
+        names, keys, mark = names[first], keys[first], (many if mode == "twice" else mark[first] & ~many)
     bucket = ((names >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
         own = slice(cuts[b], cuts[b + 1])
         order = np.argsort(keys[own], kind="stable")
-        rows.append((b, False, _pack(keys[own][order], names[own][order], multi[own][order])))
+        rows.append((b, False, _pack(keys[own][order], names[own][order], mark[own][order])))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _packed, strict=True)], schema=_packed)
 
 
@@ -90,7 +98,7 @@ def _rows(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), lists], schema=_told)
 
 
-def _tell(batches: Iterator[pa.RecordBatch], asked: bool) -> Iterator[pa.RecordBatch]:
+def _tell(batches: Iterator[pa.RecordBatch], mode: str) -> Iterator[pa.RecordBatch]:
     def told(parts: list[bytes]) -> pa.RecordBatch | None:
         if not parts:
             return None
@@ -99,10 +107,12 @@ def _tell(batches: Iterator[pa.RecordBatch], asked: bool) -> Iterator[pa.RecordB
         ordered = names[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         run = np.cumsum(first) - 1
-        twice = np.bincount(run, multi[order]) > 0
-        if not asked:
-            twice |= np.bincount(run) > 1
-        chosen = order[twice[run]]
+        marked = np.bincount(run, multi[order]) > 0
+        several = np.bincount(run) > 1
+        told_runs = {"twice": several | marked, "answer": several, "heard": marked}[mode]
+        chosen = order[told_runs[run]]
+        if mode == "answer":
+            chosen = chosen[multi[chosen]]
         return _rows(keys[chosen], names[chosen]) if len(chosen) else None
 
     parts: list[bytes] = []
@@ -126,14 +136,11 @@ def bucket_count(names: float) -> int:
     return int(min(1 << 20, max(4, -(-names // BUCKET_NAMES))))
 
 
-def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int, asked: bool = False) -> DataFrame:
-    """(dkey, told): for each document key lists of 6-byte names that occur at least twice. ``send`` yields ``sent`` rows.
-
-    With ``asked``, it is told those names instead that somebody asked for (and those that occur twice in its piece).
-    """
+def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int, mode: str = "twice") -> DataFrame:
+    """(dkey, told): for each document key lists of the 6-byte names that it is told of. ``send`` yields ``sent`` rows of the mode."""
     n = min(buckets, 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = rows.mapInArrow(send, PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda batches: _tell(batches, asked), "dkey bigint, names binary").groupBy("dkey").agg(F.collect_list("names").alias("told"))
+    return dealt.mapInArrow(lambda batches: _tell(batches, mode), "dkey bigint, names binary").groupBy("dkey").agg(F.collect_list("names").alias("told"))
 
 
 def told_names(lists: list[bytes] | None) -> np.ndarray:

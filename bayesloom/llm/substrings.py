@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, checkpointed, chunks, flat, text_column, word_spans
+from .common import LETTER, Rolling, checkpointed, chunks, flat, release, text_column, word_spans
 from .exchange import KEY_MASK, bucket_count, first_holders, sent, sent_first, shared_names, short, told_names, unsix
 from .suffixes import _ints, _runs, pieces, positions
 
@@ -191,6 +191,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     joined = rows.join(first, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == first["dkey"]).join(copies.hint("merge"), ["k1", "k2"], "left_anti")
     held = checkpointed(joined.select("text", "k1", "k2", "doc", "told").mapInArrow(locate, "k1 bigint, k2 bigint, doc bigint, z binary, at binary"))
+    del first, joined
+    release(docs.sparkSession)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts, piece in pieces(batches, "z"):

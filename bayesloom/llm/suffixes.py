@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, checkpointed, chunks, flat, ragged, text_column
+from .common import LETTER, Rolling, checkpointed, chunks, flat, ragged, release, text_column
 from .exchange import KEY_MASK, bucket_count, sent, shared_names, short, told_names
 
 LENGTH = 400
@@ -150,6 +150,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_key = lambda told, df: df.join(told, df["k1"].bitwiseAND(F.lit(KEY_MASK)) == told["dkey"], "left")
     joined = rows.join(first, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == first["dkey"]).select("text", "k1", "k2", "told")
     held = checkpointed(joined.mapInArrow(locate, "k1 bigint, k2 bigint, z binary, at binary"))
+    del first, joined
+    release(docs.sparkSession)
     left = held.agg(F.sum(F.octet_length("at")) / 8).first()[0] or 0
     some = bucket_count(left)
 
@@ -186,6 +188,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     settled = checkpointed(by_key(second, held).select("k1", "k2", "z", "at", "told").mapInArrow(settle, "k1 bigint, k2 bigint, z binary, at binary, sure binary, open binary"))
 
+    del second
+    release(docs.sparkSession)
+
     def send_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, piece in pieces(batches, "z"):
             doc, at = places(part.column(2))
@@ -195,9 +200,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             opened = np.cumsum(opened)
             here = piece.offsets[doc] + at
             near = opened[here + 1] > opened[np.maximum(here - v + 1, piece.offsets[doc])]
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, tuple_bytes), some, near)
+            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, tuple_bytes), some, near, "heard")
 
-    partners = shared_names(settled.select("k1", "z", "at", "open"), send_asked, some, asked=True)
+    partners = shared_names(settled.select("k1", "z", "at", "open"), send_asked, some, "heard")
 
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, piece in pieces(batches, "z"):
@@ -205,26 +210,24 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             names = short(piece.names(doc, at, tuple_bytes))
             cuts, told = np.searchsorted(doc, np.arange(part.num_rows + 1)), part.column(5).to_pylist()
             settled_at, open_at = part.column(3).to_pylist(), part.column(4).to_pylist()
-            rows, found = [], []
+            rows, found, asks = [], [], []
             for k in range(part.num_rows):
                 own, n = slice(cuts[k], cuts[k + 1]), int(piece.sizes[k]) - length + 1
                 here = at[own][np.isin(names[own], told_names(told[k]))]
                 near = np.zeros(n + 1, np.int64)
                 np.add.at(near, np.clip(here - v + 1, 0, n), 1)
                 np.add.at(near, np.minimum(here + 1, n), -1)
-                wanted = np.cumsum(near)[:-1] > 0
-                for cell, put in ((settled_at[k], None), (open_at[k], True)):
-                    own_at = positions(pa.array([cell], pa.binary()))[1]
-                    mask = np.zeros(n, bool)
-                    mask[own_at] = True
-                    wanted = wanted | mask if put else wanted & mask
-                wanted = np.flatnonzero(wanted)
+                near, ours, asking = np.cumsum(near)[:-1] > 0, np.zeros(n, bool), np.zeros(n, bool)
+                ours[positions(pa.array([settled_at[k]], pa.binary()))[1]] = True
+                asking[positions(pa.array([open_at[k]], pa.binary()))[1]] = True
+                wanted = np.flatnonzero(asking | (near & ours))
                 rows.append(np.full(len(wanted), k))
                 found.append(wanted)
+                asks.append(asking[wanted])
             doc, at = np.concatenate(rows), np.concatenate(found)
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), many)
+            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), many, np.concatenate(asks), "answer")
 
-    third = shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many)
+    third = shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many, "answer")
     result = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.binary()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
