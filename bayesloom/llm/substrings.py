@@ -189,9 +189,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             take = pa.array([o[0] for o in out], pa.int32())
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in (1, 2, 3)), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], schema=packed)
 
-    joined = rows.join(first, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == first["dkey"]).join(copies.hint("merge"), ["k1", "k2"], "left_anti")
+    gone = copies.groupBy(F.col("k1").bitwiseAND(F.lit(KEY_MASK)).alias("dkey")).agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
+    told = first.join(gone, "dkey", "left")  # small rows, so that the texts are moved once
+    joined = rows.join(told, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == told["dkey"])
+    joined = joined.where(~F.coalesce(F.array_contains("gone", F.struct(rows["k1"].alias("k1"), rows["k2"].alias("k2"))), F.lit(False)))
     held = checkpointed(joined.select("text", "k1", "k2", "doc", "told").mapInArrow(locate, "k1 bigint, k2 bigint, doc bigint, z binary, at binary"))
-    del first, joined
+    del first, gone, told, joined
     release(docs.sparkSession)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
