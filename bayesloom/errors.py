@@ -5,7 +5,7 @@ from __future__ import annotations
 #: What each code means; {} takes the details.
 CODES = {
     "alpha_invalid": "alpha must be a finite number above zero: {}",
-    "kind_mismatch": "a model of kind {} can't be used as {}",
+    "kind_mismatch": "a model of the first kind can't be used as the second: {}",
     "format_newer": "format version {} is newer than this library reads",
     "format_invalid": "the payload isn't a model: {}",
     "mode_mismatch": "a model in token layout can't be read as a payload: {}",
