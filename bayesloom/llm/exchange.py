@@ -22,6 +22,7 @@ KEY_MASK = (1 << 40) - 1
 BUCKET_NAMES = 1_000_000
 PACKED = "bucket int, local boolean, payload binary"
 _packed = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("payload", pa.binary())])
+_answers = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
 _told = pa.schema([("dkey", pa.int64()), ("names", pa.binary())])
 
 
@@ -89,47 +90,77 @@ def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray |
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _packed, strict=True)], schema=_packed)
 
 
-def _rows(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    """(dkey, its names) rows of entries in any order."""
-    order = np.argsort(keys, kind="stable")
-    own, counts = np.unique(keys, return_counts=True)
-    offsets = np.concatenate([[0], 6 * np.cumsum(counts)]).astype(np.int32)
-    lists = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_six(names[order]))])
-    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), lists], schema=_told)
+def _answered(keys: np.ndarray, names: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Answers packed by shard of the documents' keys."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((keys, shard))
+    keys, names, shard = keys[order], names[order], shard[order]
+    own = np.unique(shard)
+    cuts = [*np.searchsorted(shard, own).tolist(), len(shard)]
+    none = lambda n: np.zeros(n, bool)
+    packed = [_pack(keys[s:e], names[s:e], none(e - s)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], schema=_answers)
+
+
+def _tell(batches: Iterator[pa.RecordBatch], mode: str, shards: int) -> Iterator[pa.RecordBatch]:
+    def told(parts: list[bytes], local: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = [_unpack(p)[:2] for p in local]
+        if parts:
+            keys, names, multi = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+            order = np.argsort(names, kind="stable")
+            ordered = names[order]
+            first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            run = np.cumsum(first) - 1
+            marked = np.bincount(run, multi[order]) > 0
+            several = np.bincount(run) > 1
+            told_runs = {"twice": several | marked, "answer": several, "heard": marked}[mode]
+            chosen = order[told_runs[run]]
+            if mode == "answer":
+                chosen = chosen[multi[chosen]]
+            found.append((keys[chosen], names[chosen]))
+        keys, names = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
+        if len(keys):
+            yield _answered(keys, names, shards)
 
+    parts: list[bytes] = []
+    local: list[bytes] = []
+    last, size = None, 0
+    for batch in batches:
+        for bucket, is_local, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last or size > 1 << 26 and is_local:  # answers of pieces may go out at any time
+                yield from told(parts if bucket != last else [], local)
+                parts, local, size = ([], [], 0) if bucket != last else (parts, [], 0)
+                last = bucket
+            (local if is_local else parts).append(payload)
+            size += len(payload) * is_local
+    yield from told(parts, local)
 
-def _tell(batches: Iterator[pa.RecordBatch], mode: str) -> Iterator[pa.RecordBatch]:
-    def told(parts: list[bytes]) -> pa.RecordBatch | None:
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by shard: a row for each document with all names that it is told of."""
+
+    def merged(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not parts:
-            return None
-        keys, names, multi = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
-        order = np.argsort(names, kind="stable")
-        ordered = names[order]
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        run = np.cumsum(first) - 1
-        marked = np.bincount(run, multi[order]) > 0
-        several = np.bincount(run) > 1
-        told_runs = {"twice": several | marked, "answer": several, "heard": marked}[mode]
-        chosen = order[told_runs[run]]
-        if mode == "answer":
-            chosen = chosen[multi[chosen]]
-        return _rows(keys[chosen], names[chosen]) if len(chosen) else None
+            return
+        keys, names = (np.concatenate(x) for x in zip(*(_unpack(p)[:2] for p in parts), strict=True))
+        order = np.lexsort((names, keys))
+        keys, names = keys[order], names[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])])
+        keys, names = keys[new], names[new]
+        own, counts = np.unique(keys, return_counts=True)
+        offsets = np.concatenate([[0], 6 * np.cumsum(counts)]).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_six(names))])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), lists], schema=_told)
 
     parts: list[bytes] = []
     last = None
     for batch in batches:
-        for bucket, local, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != last:
-                if (out := told(parts)) is not None:
-                    yield out
-                parts, last = [], bucket
-            if local:
-                keys, names, _ = _unpack(payload)
-                yield _rows(keys, names)
-            else:
-                parts.append(payload)
-    if (out := told(parts)) is not None:
-        yield out
+        for shard, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != last:
+                yield from merged(parts)
+                parts, last = [], shard
+            parts.append(payload)
+    yield from merged(parts)
 
 
 def bucket_count(names: float) -> int:
@@ -140,7 +171,9 @@ def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Ite
     """(dkey, told): for each document key lists of the 6-byte names that it is told of. ``send`` yields ``sent`` rows of the mode."""
     n = min(buckets, 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = rows.mapInArrow(send, PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda batches: _tell(batches, mode), "dkey bigint, names binary").groupBy("dkey").agg(F.collect_list("names").alias("told"))
+    answers = dealt.mapInArrow(lambda batches: _tell(batches, mode, buckets), "shard int, payload binary")
+    merged = answers.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "dkey bigint, names binary")
+    return merged.select("dkey", F.array("names").alias("told"))
 
 
 def told_names(lists: list[bytes] | None) -> np.ndarray:
