@@ -125,7 +125,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys = part.column(1).to_numpy().view(np.uint64)
             yield from sent(keys[doc], piece.names(doc, at, tuple_bytes), many)
 
-    first = shared_names(rows.select("text", "k1"), send_samples, many)
+    first = checkpointed(shared_names(rows.select("text", "k1"), send_samples, many))
+    release(docs.sparkSession)
     packed = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("z", pa.binary()), ("at", pa.binary())])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             doc, at = np.concatenate(rows), np.concatenate(found)
             yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), many, np.concatenate(asks), "answer")
 
-    third = shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many, "answer")
+    third = checkpointed(shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many, "answer"))
+    del partners
+    release(docs.sparkSession)
     result = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.binary()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
