@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII characters of the lower-cased te
 consecutive words: only positions marked 1 enter its hash, so a substituted word under a 0 doesn't hide a hit. Every seed
 of every document is looked up among the benchmark's. Around a hit both word sequences are laid side by side, and the
 longest stretch with at least ``identity`` equal words is taken; it counts if it has ``min_words`` words, or all words
-of a shorter item. Items with fewer words than a mask spans have one seed: all their words.
+of a shorter item. No overlap that counts is without a hit: ``complete`` proves it for MASKS at any length, other limits
+get lighter seeds, and items of fewer than ``min_words`` words get the masks of ``short_masks`` at their length.
 
 The benchmark's words and seeds are broadcast in blocks of at most ``block_words`` words; each block is one pass over
 the documents, so the broadcast is bounded whatever the benchmark holds.
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import LETTER, Rolling, chunks, flat, mix, text_column
 
-#: Fixed masks. Any two substitutions within 13 words leave at least one of their windows unhurt but for rare layouts.
-MASKS = ("11101100111", "1101010110101", "111010010111")
+#: Fixed masks. Every stretch of 13 or more words, 80% equal, holds a window that none of its substitutions hurts.
+MASKS = ("11101111", "11010010111", "111110011", "1100100010111", "1110101001001", "1101111001")
 MIN_WORDS = 13
 IDENTITY = 0.8
 BLOCK_WORDS = 2_000_000
@@ -38,6 +40,59 @@ INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _factors = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
+def gains(identity: float) -> tuple[int, int]:
+    """What an equal word adds to a stretch and an unequal one takes, in thousandths; a stretch counts from 0 on."""
+    return round((1 - identity) * 1000), round(identity * 1000)
+
+
+def complete(masks: tuple[str, ...], min_words: int = MIN_WORDS, identity: float = IDENTITY) -> bool:
+    """Whether every stretch of ``min_words`` or more words that counts (its ends are equal words) has a hit.
+
+    The states are the last words, equal or not, of stretches without a hit; for each the greatest sum is followed word by
+    word. From ``min_words`` on a state that an earlier length reached with as much needs no second look.
+    """
+    up, down = gains(identity)
+    states = np.arange(1 << max(map(len, masks)))
+    hit = np.zeros(len(states), bool)
+    for mask in masks:
+        hit |= (states & int(mask, 2)) == int(mask, 2)
+    none = np.iinfo(np.int64).min // 2
+    now, top = np.full(len(states), none), np.full(len(states), none)
+    now[1] = up
+    if hit[1]:
+        return True
+    for n in range(1, 1000):
+        if n > 1:
+            after = np.full(len(states), none)
+            for equal, gain in ((0, -down), (1, up)):
+                np.maximum.at(after, (states << 1 | equal) & (len(states) - 1), np.where(now > none, now + gain, none))
+            after[hit] = none
+            now = after
+        if n >= min_words:
+            if now[1::2].max() >= 0:
+                return False
+            now = np.where(now > top, now, none)
+            top = np.maximum(top, now)
+            if now.max() == none:
+                return True
+    return False
+
+
+@lru_cache
+def long_masks(min_words: int = MIN_WORDS, identity: float = IDENTITY) -> tuple[str, ...]:
+    """MASKS, or for limits that they don't cover the longest seed of consecutive words that does."""
+    return next(m for m in (MASKS, *(("1" * k,) for k in range(12, 0, -1))) if complete(m, min_words, identity))
+
+
+@lru_cache
+def short_masks(n: int, identity: float = IDENTITY) -> tuple[str, ...]:
+    """Masks over all n words of a short item: whichever inner words are unequal, one of them passes over all of those."""
+    wrong = max(0, min(n - 2, n * gains(identity)[0] // 1000))
+    groups = np.array_split(np.arange(1, n - 1), wrong + 2)
+    hidden = [set(np.concatenate(g).tolist()) if g else set() for g in combinations(groups, wrong)]
+    return tuple(sorted({"".join("01"[k not in h] for k in range(n)) for h in hidden}))
+
+
 @dataclass
 class Words:
     """The words of several texts: their hashes, and how many words come before each text."""
@@ -73,18 +128,16 @@ class Words:
 class Seeds:
     """The benchmark's words and its seeds by mask, sorted, with a bit table in front."""
 
-    def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...] = MASKS):
+    def __init__(self, ids: list, texts: list[str], min_words: int = MIN_WORDS, identity: float = IDENTITY):
         self.ids, self.words = ids, Words.of(pa.array(texts, pa.large_string()))
         sizes = np.diff(self.words.before)
         self.item = np.repeat(np.arange(len(ids)), sizes)
         self.tables = []
-        span = min(map(len, masks))
-        short = {"1" * int(n) for n in sizes if 0 < n < span}
-        for mask in (*masks, *sorted(short)):
+        short = sorted({int(n) for n in sizes if 0 < n < min_words})
+        for mask, size in [*((m, 0) for m in long_masks(min_words, identity)), *((m, n) for n in short for m in short_masks(n, identity))]:
             h, at = self.words.seeds(mask)
-            if mask in short:
-                keep = sizes[self.item[at]] == len(mask)
-                h, at = h[keep], at[keep]
+            keep = sizes[self.item[at]] == size if size else sizes[self.item[at]] >= min_words
+            h, at = h[keep], at[keep]
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[h >> np.uint64(44)] = True
@@ -160,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     for k in range(blocks):
         rows = dealt.where(F.col("block") == k).select("item_id", "text").collect()  # about block_words words
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        shared = spark.sparkContext.broadcast(Seeds([r[0] for r in rows], [r[1] for r in rows]))
+        shared = spark.sparkContext.broadcast(Seeds([r[0] for r in rows], [r[1] for r in rows], min_words, identity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches):

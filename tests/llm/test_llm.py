@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -285,6 +286,42 @@ def test_decontamination(spark):
     assert decontaminate.longest(np.array([1, 0, 0, 1, 1, 1, 1, 0, 1, 1, 0, 0], bool), 0.8) == (3, 10)
 
 
+def layouts(n, wrong):
+    """Every way in which ``wrong`` inner words of n differ."""
+    for hurt in combinations(range(1, n - 1), wrong):
+        yield "".join("01"[k not in hurt] for k in range(n))
+
+
+@pytest.mark.parametrize(("n", "wrong"), [(n, n // 5) for n in (*range(1, 22), 25)])
+def test_decontamination_seeds_by_enumeration(n, wrong):
+    masks = decontaminate.short_masks(n) if n < 13 else decontaminate.long_masks()
+    for lay in layouts(n, wrong):
+        equal = int(lay, 2)
+        assert any(equal >> k & int(m, 2) == int(m, 2) for m in masks for k in range(n - len(m) + 1)), lay
+
+
+def test_decontamination_seeds_at_any_length():
+    assert decontaminate.complete(decontaminate.MASKS)
+    assert not decontaminate.complete(("11101100111", "1101010110101", "111010010111"))  # 26 of 55 layouts of 13 words
+    for limits in ((8, 0.8), (13, 0.6), (20, 0.9), (3, 0.5)):
+        assert decontaminate.complete(decontaminate.long_masks(*limits), *limits)
+
+
+def test_decontamination_light_changes(spark):
+    """All layouts of 13 and short words that the rule allows are found in whole texts."""
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (5, 8, 12, 13, 15)}
+    texts, want = [], set()
+    for n, words in items.items():
+        for lay in layouts(n, n // 5):
+            want.add((len(texts), n))
+            texts.append("before " + " ".join(w if c == "1" else "zzz" for w, c in zip(words, lay, strict=True)) + " after")
+        worse = [w if k % 3 else "zzz" for k, w in enumerate(words)]
+        texts.append(" ".join(worse))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == want
+
+
 def removal_by_definition(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
