@@ -230,7 +230,7 @@ def grouped(fps: DataFrame) -> DataFrame:
 # Similarity of shingle sets, for stages that take a threshold instead of a radius.
 
 SLOTS, BANDS, ROWS = 256, 16, 3
-#: Over this radius of SimHash two texts aren't compared further (at a similarity of 0.8 the mean is 10, the deviation 3).
+#: Within this radius of SimHash a high estimate links two texts; over it the shingle sets decide on every likely pair.
 WIDE = 20
 #: Texts of one bucket that are compared in one task; larger buckets are compared by pairs of such parts.
 TILE_TEXTS = 4096
@@ -239,10 +239,10 @@ _multipliers = _rng.integers(1, 1 << 63, SLOTS // 2, np.uint64) << np.uint64(1)
 
 
 def signature(text: str | None, n: int) -> tuple[int, np.ndarray]:
-    """(SimHash of all shingles, minimum of the set of shingles under each of SLOTS hash functions)."""
+    """(SimHash of the set of shingles, its minimum under each of SLOTS hash functions)."""
     joined, starts, ends = shingles(text or "", n)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    h = np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts)))
     if not len(h):
         return 0, np.zeros(SLOTS, np.uint32)
     ones, least = np.zeros(64, np.int64), np.full((SLOTS // 2, 2), 0xFFFFFFFF, np.uint32)
@@ -256,20 +256,27 @@ def signature(text: str | None, n: int) -> tuple[int, np.ndarray]:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]), least.ravel()
 
 
+def _equal_slots(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many slots of each signature equal those of ``one``; eight are counted at once."""
+    lanes = (sigs == one).view(np.uint64).sum(1)
+    return lanes.view(np.uint8).reshape(-1, 8).sum(1, dtype=np.int64)
+
+
 def _similar_links(fps: np.ndarray, sigs: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     """(place of the first of each text's component by estimates of ``high`` or more, pairs between components from ``low`` on)."""
     slots = lambda j: int(np.ceil(SLOTS * (j + (1 - j) / 256)))
     sure, maybe, sliced, root = slots(high), slots(low), BitPlanes(fps), np.arange(len(fps))
     open_pairs = []
     for q in range(len(fps)):
-        near = np.flatnonzero(np.unpackbits(sliced.within(fps[q : q + 1], WIDE)[0].view(np.uint8), bitorder="little"))
-        near = near[(near > q) & (root[near] != root[q])] if q else near[near > q]
-        alike = (sigs[near] == sigs[q]).sum(1)
-        for j in near[alike >= sure].tolist():
+        later = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
+        near = np.unpackbits(sliced.within(fps[q : q + 1], WIDE)[0].view(np.uint8), bitorder="little")[later].astype(bool)
+        alike = _equal_slots(sigs[later], sigs[q])
+        linking = near & (alike >= sure)
+        for j in later[linking].tolist():
             if root[j] != root[q]:
                 one, two = sorted((root[j], root[q]))
                 root[root == two] = one
-        between = near[(alike >= maybe) & (alike < sure)]
+        between = later[(alike >= maybe) & ~linking]
         open_pairs.append(np.stack([np.full(len(between), q), between], 1))
     pairs = np.concatenate(open_pairs)
     return root, pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
@@ -307,9 +314,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin:
     """(row, component) of each distinct text, row = xxhash64(text): components of texts of that similarity.
 
     Texts meet in buckets of equal minima (16 bands of 3: two texts of similarity 0.8 miss each other once in 100,000),
-    are compared there by bit-sliced SimHash, and those within the wide radius by their 256-slot signatures, which
-    estimate the Jaccard similarity of the shingle sets with a deviation of 0.025. Over ``margin`` above the threshold the
-    estimate decides; within ``margin`` on either side the shingle sets themselves do.
+    are compared there by their 256-slot signatures, which estimate the Jaccard similarity of the shingle sets with a
+    deviation of 0.025, and by bit-sliced SimHash of the sets. Over ``margin`` above the threshold the estimate decides if
+    the SimHashes are within the wide radius too; within ``margin`` on either side, and over the radius, the shingle sets
+    themselves do.
     """
     texts = docs.select(F.xxhash64("text").alias("row"), "text")
     schema = pa.schema([("row", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])

@@ -292,6 +292,32 @@ def layouts(n, wrong):
         yield "".join("01"[k not in hurt] for k in range(n))
 
 
+def parts_by(spark, texts, **options):
+    """The components of ``simhash.similar`` as a list, in the order of the texts."""
+    rows = docs_of(spark, texts).select("doc_id", F.xxhash64("text").alias("hash"))
+    got = {r["doc_id"]: r["component"] for r in rows.join(simhash.similar(docs_of(spark, texts), **options), F.col("hash") == F.col("row")).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_similar_repeated_lines(spark):
+    """A line said many times over changes the set of shingles little, and so the verdict not at all."""
+    texts = []
+    for k in range(12):
+        body, line = prose(100 + k, 300), prose(500 + k, 10 if k % 2 else 6)
+        texts += [f"{body}\n{line}", "\n".join([body, *[line] * 41])]
+    got = parts_by(spark, texts)
+    assert all(a == b for a, b in zip(got[::2], got[1::2], strict=True))
+    assert len(set(got)) == 12
+
+
+def test_similar_over_the_radius(monkeypatch):
+    """Pairs of many equal minima stay open for the exact comparison whatever their SimHashes say."""
+    sigs = np.zeros((3, simhash.SLOTS), np.uint8)
+    sigs[2, :200] = 1
+    root, pairs = simhash._similar_links(np.array([0, 2**64 - 1, 0], np.uint64), sigs, 0.73, 0.87)
+    assert root.tolist() == [0, 1, 2] and pairs.tolist() == [[0, 1]]
+
+
 @pytest.mark.parametrize(("n", "wrong"), [(n, n // 5) for n in (*range(1, 22), 25)])
 def test_decontamination_seeds_by_enumeration(n, wrong):
     masks = decontaminate.short_masks(n) if n < 13 else decontaminate.long_masks()
