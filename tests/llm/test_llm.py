@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -314,10 +315,23 @@ def test_similar_over_the_radius(monkeypatch):
     """Pairs of many equal minima stay open for the exact comparison whatever their SimHashes say."""
     sigs = np.zeros((3, simhash.SLOTS), np.uint8)
     sigs[2, :200] = 1
-    root, pairs = simhash._similar_links(np.array([0, 2**64 - 1, 0], np.uint64), sigs, 0.73, 0.87)
+    root, pairs = simhash._similar_links(np.array([0, 2**64 - 1, 0], np.uint64), sigs, 188, 223)
     assert root.tolist() == [0, 1, 2] and pairs.tolist() == [[0, 1]]
 
 
+def test_similar_limits():
+    """The estimate alone drops, or links, a pair at the threshold once in 100,000 at most; nearer pairs stay open."""
+    maybe, sure = simhash.limits(0.8, 1e-5)
+    p = 0.8 + 0.2 / 256
+    tail = lambda ks: sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in ks)
+    assert tail(range(maybe)) <= 1e-5 < tail(range(maybe + 1)) and tail(range(sure, 257)) <= 1e-5 < tail(range(sure - 1, 257))
+    for equal, still in ((maybe - 1, 0), (maybe, 1), (187, 1), (224, 1), (sure - 1, 1), (sure, 0)):
+        sigs = np.zeros((2, simhash.SLOTS), np.uint8)
+        sigs[1, equal:] = 1
+        root, pairs = simhash._similar_links(np.array([5, 7], np.uint64), sigs, maybe, sure)
+        assert len(pairs) == still and (root[1] == 0) == (equal >= sure)
+
+
 @pytest.mark.parametrize(("n", "wrong"), [(n, n // 5) for n in (*range(1, 22), 25)])
 def test_decontamination_seeds_by_enumeration(n, wrong):
     masks = decontaminate.short_masks(n) if n < 13 else decontaminate.long_masks()
