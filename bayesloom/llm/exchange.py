@@ -1,7 +1,7 @@
 """Which names occur more than once, asked for packed arrays of names instead of rows.
 
-A task sends, for each piece of text, its names (48 bits of a 64-bit hash) to buckets by name, each with the 40-bit key
-of its document. A bucket answers each document with those of its names that occur at least twice anywhere. A name that
+A task sends, for each piece of text, its names (48 bits of a 64-bit hash, or all 64 where the answer is a verdict) to
+buckets by name, each with the 40-bit key of its document. A bucket answers each document with those of its names that occur at least twice anywhere. A name that
 occurs twice within a piece is answered at once, and only one of its places is sent on, so that a name that a third of
 all documents hold comes to its bucket once a piece, not once a document. The number of buckets follows the input, so
 a bucket's size does not. Keys and names are hashes: a document may be told a name too many, never one too few, and
@@ -26,37 +26,42 @@ _answers = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
 _told = pa.schema([("dkey", pa.int64()), ("names", pa.binary())])
 
 
-def short(names: np.ndarray) -> np.ndarray:
-    """The 48 bits of a name that are sent."""
-    return names >> np.uint64(16)
+def short(names: np.ndarray, size: int = 6) -> np.ndarray:
+    """The ``size`` bytes of a name that are sent."""
+    return names >> np.uint64(64 - 8 * size)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _six(x: np.ndarray, size: int = 6) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unsix(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def unsix(data: bytes, size: int = 6) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
 
 
-def _pack(keys: np.ndarray, names: np.ndarray, multi: np.ndarray) -> bytes:
+def _bucket(names: np.ndarray, buckets: int, size: int = 6) -> np.ndarray:
+    """The bucket by the first 24 bits of a name."""
+    return ((names >> np.uint64(8 * size - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+
+
+def _pack(keys: np.ndarray, names: np.ndarray, multi: np.ndarray, size: int = 6) -> bytes:
     """Entries sorted by key: n, keys, counts, names, flags."""
     own, counts = np.unique(keys, return_counts=True)
     flags = np.packbits(multi).tobytes()
-    return np.array([len(own), len(names)], "<u4").tobytes() + own.astype("<u8").tobytes() + counts.astype("<u4").tobytes() + _six(names) + flags
+    return np.array([len(own), len(names)], "<u4").tobytes() + own.astype("<u8").tobytes() + counts.astype("<u4").tobytes() + _six(names, size) + flags
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(data: bytes, size: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k, n = np.frombuffer(data, "<u4", 2).tolist()
     at = 8 + 8 * k
     keys = np.repeat(np.frombuffer(data, "<u8", k, 8), np.frombuffer(data, "<u4", k, at))
     at += 4 * k
-    return keys, unsix(data[at : at + 6 * n]), np.unpackbits(np.frombuffer(data, np.uint8, -1, at + 6 * n))[:n].astype(bool)
+    return keys, unsix(data[at : at + size * n], size), np.unpackbits(np.frombuffer(data, np.uint8, -1, at + size * n))[:n].astype(bool)
 
 
-def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray | None = None, mode: str = "twice") -> Iterator[pa.RecordBatch]:
+def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray | None = None, mode: str = "twice", size: int = 6) -> Iterator[pa.RecordBatch]:
     """The rows that one piece of text sends: (document key, name) of each place; ``asked`` marks places for two modes.
 
     twice: every place learns whether its name occurs twice. answer: the same, but only asked places are told.
@@ -64,7 +69,7 @@ def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray |
     """
     if not len(names):
         return
-    names, keys = short(names), keys & np.uint64(KEY_MASK)
+    names, keys = short(names, size), keys & np.uint64(KEY_MASK)
     mark = np.ones(len(names), bool) if asked is None else asked
     order = np.lexsort((~mark, keys, names))
     names, keys, mark = names[order], keys[order], mark[order]
@@ -79,18 +84,18 @@ def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray |
         again = many[run] & mark
         if again.any():
             pairs = np.unique(np.stack([keys[again], names[again]], 1), axis=0)
-            rows.append((int(pairs[0, 0]) % buckets, True, _pack(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))))
+            rows.append((int(pairs[0, 0]) % buckets, True, _pack(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool), size)))
         names, keys, mark = names[first], keys[first], (many if mode == "twice" else mark[first] & ~many)
-    bucket = ((names >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+    bucket = _bucket(names, buckets, size)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
         own = slice(cuts[b], cuts[b + 1])
         order = np.argsort(keys[own], kind="stable")
-        rows.append((b, False, _pack(keys[own][order], names[own][order], mark[own][order])))
+        rows.append((b, False, _pack(keys[own][order], names[own][order], mark[own][order], size)))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _packed, strict=True)], schema=_packed)
 
 
-def _answered(keys: np.ndarray, names: np.ndarray, shards: int) -> pa.RecordBatch:
+def _answered(keys: np.ndarray, names: np.ndarray, shards: int, size: int) -> pa.RecordBatch:
     """Answers packed by shard of the documents' keys."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((keys, shard))
@@ -98,15 +103,15 @@ def _answered(keys: np.ndarray, names: np.ndarray, shards: int) -> pa.RecordBatc
     own = np.unique(shard)
     cuts = [*np.searchsorted(shard, own).tolist(), len(shard)]
     none = lambda n: np.zeros(n, bool)
-    packed = [_pack(keys[s:e], names[s:e], none(e - s)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    packed = [_pack(keys[s:e], names[s:e], none(e - s), size) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], schema=_answers)
 
 
-def _tell(batches: Iterator[pa.RecordBatch], mode: str, shards: int) -> Iterator[pa.RecordBatch]:
+def _tell(batches: Iterator[pa.RecordBatch], mode: str, shards: int, width: int) -> Iterator[pa.RecordBatch]:
     def told(parts: list[bytes], local: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = [_unpack(p)[:2] for p in local]
+        found = [_unpack(p, width)[:2] for p in local]
         if parts:
-            keys, names, multi = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+            keys, names, multi = (np.concatenate(x) for x in zip(*(_unpack(p, width) for p in parts), strict=True))
             order = np.argsort(names, kind="stable")
             ordered = names[order]
             first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -120,7 +125,7 @@ def _tell(batches: Iterator[pa.RecordBatch], mode: str, shards: int) -> Iterator
             found.append((keys[chosen], names[chosen]))
         keys, names = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
         if len(keys):
-            yield _answered(keys, names, shards)
+            yield _answered(keys, names, shards, width)
 
     parts: list[bytes] = []
     local: list[bytes] = []
@@ -136,20 +141,20 @@ def _tell(batches: Iterator[pa.RecordBatch], mode: str, shards: int) -> Iterator
     yield from told(parts, local)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Sorted by shard: a row for each document with all names that it is told of."""
 
     def merged(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        keys, names = (np.concatenate(x) for x in zip(*(_unpack(p)[:2] for p in parts), strict=True))
+        keys, names = (np.concatenate(x) for x in zip(*(_unpack(p, size)[:2] for p in parts), strict=True))
         order = np.lexsort((names, keys))
         keys, names = keys[order], names[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])])
         keys, names = keys[new], names[new]
         own, counts = np.unique(keys, return_counts=True)
-        offsets = np.concatenate([[0], 6 * np.cumsum(counts)]).astype(np.int32)
-        lists = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_six(names))])
+        offsets = np.concatenate([[0], size * np.cumsum(counts)]).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_six(names, size))])
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), lists], schema=_told)
 
     parts: list[bytes] = []
@@ -167,17 +172,17 @@ def bucket_count(names: float) -> int:
     return int(min(1 << 20, max(4, -(-names // BUCKET_NAMES))))
 
 
-def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int, mode: str = "twice") -> DataFrame:
-    """(dkey, told): for each document key lists of the 6-byte names that it is told of. ``send`` yields ``sent`` rows of the mode."""
+def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int, mode: str = "twice", size: int = 6) -> DataFrame:
+    """(dkey, told): for each document key lists of the names that it is told of. ``send`` yields ``sent`` rows of the mode and size."""
     n = min(buckets, 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = rows.mapInArrow(send, PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(lambda batches: _tell(batches, mode, buckets), "shard int, payload binary")
-    merged = answers.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "dkey bigint, names binary")
+    answers = dealt.mapInArrow(lambda batches: _tell(batches, mode, buckets, size), "shard int, payload binary")
+    merged = answers.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _merge(batches, size), "dkey bigint, names binary")
     return merged.select("dkey", F.array("names").alias("told"))
 
 
-def told_names(lists: list[bytes] | None) -> np.ndarray:
-    return np.unique(unsix(b"".join(lists))) if lists else np.zeros(0, np.uint64)
+def told_names(lists: list[bytes] | None, size: int = 6) -> np.ndarray:
+    return np.unique(unsix(b"".join(lists), size)) if lists else np.zeros(0, np.uint64)
 
 
 FIRSTS = "bucket int, payload binary"

@@ -13,7 +13,7 @@ A suffix array over difference-cover samples, cut off at the length that matters
    with those settled ones that share a sampled tuple with an open one, which may be its only partners.
 4. Compare adjacent prefixes: equal neighbours begin a repeated string, and the bytes of all such strings are removed.
 
-The order among names is that of 64-bit hashes (of which 48 bits are sent), not of letters: equal prefixes are
+The order among names is that of 64-bit hashes (of which 48 bits are sent in steps that only find candidates), not of letters: equal prefixes are
 neighbours in either order, and only equality is asked for. A full suffix array of the corpus (8 bytes a position) would
 not fit a few times the input on disk; the samples of step 1 take half a byte for each byte of text.
 
@@ -35,6 +35,8 @@ from .common import LETTER, Rolling, checkpointed, chunks, flat, ragged, release
 from .exchange import KEY_MASK, bucket_count, sent, shared_names, short, told_names
 
 LENGTH = 400
+#: Bytes of the names that verdicts rest on (steps 2 and 4); candidates are found by 6 (steps 1 and 3).
+VERDICT = 8
 #: Period of the cover for long strings, and the residues whose orbits under doubling make it up.
 PERIOD, SEEDS = 273, (1, 91, 117)
 
@@ -160,23 +162,23 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for part, _, piece in pieces(batches, "z"):
             doc, at = places(part.column(2))
             fits = at + long_bytes <= piece.sizes[doc]
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc[fits]], piece.names(doc[fits], at[fits], long_bytes), some)
+            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc[fits]], piece.names(doc[fits], at[fits], long_bytes), some, size=VERDICT)
 
-    second = shared_names(held.select("k1", "z", "at"), send_long, some)
+    second = shared_names(held.select("k1", "z", "at"), send_long, some, size=VERDICT)
     sure = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("z", pa.binary()), ("at", pa.binary()), ("sure", pa.binary()), ("open", pa.binary())])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, piece in pieces(batches, "z"):
             doc, at = places(part.column(3))
             fits = at + long_bytes <= piece.sizes[doc]
-            names = short(piece.names(doc, np.where(fits, at, 0), np.where(fits, long_bytes, 0)))
+            names = short(piece.names(doc, np.where(fits, at, 0), np.where(fits, long_bytes, 0)), VERDICT)
             cuts, told = np.searchsorted(doc, np.arange(part.num_rows + 1)), part.column(4).to_pylist()
             known, asked = [], []
             for k in range(part.num_rows):
                 own = slice(cuts[k], cuts[k + 1])
                 here, n = at[own], int(piece.sizes[k]) - length + 1
                 good = np.zeros(n + 1, np.int64)
-                yes = here[fits[own] & np.isin(names[own], told_names(told[k]))]
+                yes = here[fits[own] & np.isin(names[own], told_names(told[k], VERDICT))]
                 np.add.at(good, yes, 1)
                 np.add.at(good, np.minimum(yes + v, n), -1)
                 maybe = np.zeros(n + 1, np.int64)
@@ -226,9 +228,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 found.append(wanted)
                 asks.append(asking[wanted])
             doc, at = np.concatenate(rows), np.concatenate(found)
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), many, np.concatenate(asks), "answer")
+            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), many, np.concatenate(asks), "answer", VERDICT)
 
-    third = checkpointed(shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many, "answer"))
+    third = checkpointed(shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many, "answer", VERDICT))
     del partners
     release(docs.sparkSession)
     result = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.binary()), ("kept", pa.binary())])
@@ -236,12 +238,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts, piece in pieces(batches, "z"):
             doc, at = positions(part.column(4))
-            names = short(piece.names(doc, at, length))
+            names = short(piece.names(doc, at, length), VERDICT)
             cuts, told, known = np.searchsorted(doc, np.arange(part.num_rows + 1)), part.column(5).to_pylist(), part.column(3).to_pylist()
             out = []
             for k, text in enumerate(texts):
                 own = slice(cuts[k], cuts[k + 1])
-                begins = at[own][np.isin(names[own], told_names(told[k]))]
+                begins = at[own][np.isin(names[own], told_names(told[k], VERDICT))]
                 runs = np.frombuffer(known[k], "<i8").reshape(-1, 2)
                 gone = np.zeros(len(text) + 1, np.int64)
                 np.add.at(gone, np.concatenate([begins, runs[:, 0]]), 1)

@@ -403,6 +403,19 @@ def test_repeated_bytes(spark, length, words, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and len(got) == len(texts)
 
 
+@pytest.mark.parametrize("mode", ["twice", "answer"])
+def test_verdicts_tell_names_of_equal_first_bits_apart(mode):
+    """Two strings whose hashes differ only in the last 16 bits aren't repeats of each other."""
+    keys, names = np.array([1, 2, 3, 4], np.uint64), np.array([7 << 60 | 5 << 16 | 1, 7 << 60 | 5 << 16 | 2, 9 << 59 | 1, 9 << 59 | 1], np.uint64)
+    told = {}
+    for size in (6, suffixes.VERDICT):
+        sent = [b for k in range(4) for b in exchange.sent(keys[k : k + 1], names[k : k + 1], 1, np.ones(1, bool), mode, size)]
+        answers = exchange._tell(iter(sent), mode, 1, size)
+        told[size] = {k: exchange.told_names([n], size).tolist() for b in exchange._merge(answers, size) for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert set(told[6]) == {1, 2, 3, 4}
+    assert told[8] == {3: [9 << 59 | 1], 4: [9 << 59 | 1]}
+
+
 def test_repeated_bytes_same_rows(spark):
     t = prose(1, 100)
     got = suffixes.removal_digests(docs_of(spark, [t, t, "z"], [4, 4, None]), 50).collect()
