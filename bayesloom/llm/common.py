@@ -112,7 +112,7 @@ def powers(n: int, which: str = "up") -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
         step = np.uint64(BASE if which == "up" else pow(BASE, -1, 1 << 64))
-        full = np.full(max(n, 2 * len(have)), step, np.uint64)
+        full = np.full(max(n, len(have) + len(have) // 4), step, np.uint64)
         full[0] = 1
         _powers[which] = have = np.multiply.accumulate(full)
     return have[:n]

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from .common import chunks, ragged, text_column
-from .wordcache import WordEncoder
+from .common import chunks, flat, ragged, text_column
+from .wordcache import Memory, WordEncoder, encode_words
 
 MARK = "▁"
 #: Kinds of pieces and of models in the model format (fixed values).
@@ -126,7 +126,7 @@ def backend(spec: Spec) -> Tokenizer:
 class PieceEncoder(WordEncoder):
     """Ids of whole texts by segments, and back."""
 
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         with open(path, "rb") as f:
             self.spec = read_model(f.read())
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -139,14 +139,17 @@ class PieceEncoder(WordEncoder):
         self.out = np.frombuffer(b"".join(table), np.uint8)
         self.out_size = np.fromiter(map(len, table), np.int64, len(table))
         self.out_at = np.cumsum(self.out_size) - self.out_size
-        self.max_words = max_words
-        self.forget()
+        self.memory = Memory(max_words, np.uint32)
 
-    def segments(self, texts: pa.Array) -> pa.Array:
-        return pc.split_pattern(texts, " ")
+    def segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw, offsets = flat(texts)
+        blank = np.flatnonzero(raw == 0x20)
+        starts, ends = np.sort(np.concatenate([offsets[:-1], blank + 1])), np.sort(np.concatenate([blank, offsets[1:]]))
+        return raw, starts, ends, np.concatenate([[0], np.searchsorted(blank, offsets[1:]) + np.arange(1, len(offsets))])
 
-    def learn(self, words: list[str]) -> None:
-        self.remember(words, [e.ids for e in self.bare.encode_batch_fast([MARK + w for w in words], add_special_tokens=False)])
+    def learn(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        marked = [MARK + s.decode() for s in segments]
+        return encode_words(self.bare, marked)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))

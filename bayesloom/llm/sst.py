@@ -40,7 +40,7 @@ ENTRY = struct.Struct(f"<{KEY.size}sQII")
 FOOTER = struct.Struct("<QQIQIQQI8s")
 BLOCK_BYTES = 1 << 16
 #: Text that is encoded at once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 19
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 

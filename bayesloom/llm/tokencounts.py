@@ -26,9 +26,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import chunks, ragged, text_column
-from .wordcache import WordEncoder, byte_letters
+from .common import chunks, flat, text_column
+from .wordcache import Memory, WordEncoder, byte_letters, encode_words
 
 RULES = ("most", "start", "split")
 #: How the vocabulary cuts a text into pieces (a fixed public pattern).
@@ -38,61 +39,48 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 class SpanEncoder(WordEncoder):
     """Ids and character spans of whole texts. A remembered token is id | start << 20 | end << 42 within its piece."""
 
-    dtype = np.uint64
-
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
-        self.model, self.pattern = self.full.model, regex.compile(PIECES)
-        self.letters, self.max_words = byte_letters(), max_words
-        if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(1)
-        self.forget()
-
-    def forget(self, but: list[str] | None = None) -> None:
-        super().forget(but)
-        self.ids = self.ids.astype(self.dtype)
-
-    def segments(self, texts: pa.Array) -> pa.Array:
-        found = [self.pattern.findall(t) for t in texts.to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-        return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array([p for f in found for p in f], pa.large_string()))
-
-    def learn(self, words: list[str]) -> None:
-        got = []
-        for w in words:
-            plain = w.isascii()
-            tokens = self.model.tokenize((w.encode().decode("latin-1")).translate(self.letters))
-            ends = np.cumsum([len(t.value) for t in tokens])
-            starts = np.concatenate([[0], ends[:-1]])
-            if not plain:  # byte offsets to those of the characters that hold them
-                char = np.repeat(np.arange(len(w)), [len(c.encode()) for c in w])
-                starts, ends = char[starts], char[ends - 1] + 1
-            got.append([t.id | int(s) << 20 | int(e) << 42 for t, s, e in zip(tokens, starts, ends, strict=True)])
-        self.remember(words, got)
+        cut = self.full.pre_tokenizer
+        if not isinstance(cut, ByteLevel) or cut.add_prefix_space or not cut.use_regex or self.full.normalizer is not None:
+            raise ValueError("the vocabulary must cut texts by the byte-level pattern, without a normaliser or a blank put in front")
+        if self.full.get_vocab_size(with_added_tokens=True) > 1 << 20:
+            raise ValueError("the vocabulary has ids over 20 bits")
+        self.bare, self.pattern, self.letters = Tokenizer(self.full.model), regex.compile(PIECES), byte_letters()
+        vocabulary = self.full.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter of a token stands for a byte
+        self.memory = Memory(max_words, np.uint64)
+
+    def segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw, offsets = flat(texts)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character that holds each byte
+        first = np.append(np.flatnonzero(np.diff(char, prepend=-1)), len(raw))  # and where each begins
+        pieces = [self.pattern.findall(t) for t in texts.to_pylist()]
+        ends = first[np.cumsum(np.fromiter((len(p) for found in pieces for p in found), np.int64))]
+        return raw, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends, np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])
+
+    def learn(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = encode_words(self.bare, [s.decode("latin-1").translate(self.letters) for s in segments])
+        raw = np.frombuffer(b"".join(segments), np.uint8)
+        ends = np.cumsum(self.bytes_of[ids])
+        char = np.cumsum((raw & 0xC0) != 0x80)
+        base = np.repeat(np.concatenate([[0], char[np.cumsum(list(map(len, segments)))[:-1] - 1]]), counts)
+        starts, ends = char[np.concatenate([[0], ends[:-1]])] - 1 - base, char[ends - 1] - base
+        return ids.astype(np.uint64) | starts.astype(np.uint64) << np.uint64(20) | ends.astype(np.uint64) << np.uint64(42), counts
 
     def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends, n + 1 offsets): characters are counted from each text's start."""
-        lists = self.segments(texts)
-        if (pc.max(pc.utf8_length(lists.flatten())).as_py() or 0) >= 1 << 22:  # a piece too long for the packed form
+        if (pc.max(pc.utf8_length(texts)).as_py() or 0) >= 1 << 22:  # a piece may be too long for the packed form
             encoded = self.full.encode_batch(texts.to_pylist(), add_special_tokens=False)
             spans = np.array([s for e in encoded for s in e.offsets], np.int64).reshape(-1, 2)
             return np.array([i for e in encoded for i in e.ids], np.int64), spans[:, 0], spans[:, 1], np.concatenate([[0], np.cumsum([len(e.ids) for e in encoded])])
-        coded = lists.flatten().dictionary_encode()
-        words, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.index) + len(words) > self.max_words:
-            self.forget(words)
-        if new := [w for w in words if w not in self.index]:
-            self.learn(new)
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[place] if words else np.zeros(0, np.int64)
-        chars = np.fromiter(map(len, words), np.int64, len(words))[place] if words else known
-        n = self.counts[known].astype(np.int64)
-        packed = self.ids[ragged(self.starts[known], n)]
-        before = np.cumsum(chars) - chars
-        at = lists.offsets.to_numpy()
-        own = np.diff(at)
-        begin = before - np.repeat(before[np.minimum(at[:-1], max(len(before) - 1, 0))], own) if len(before) else before
-        base = np.repeat(begin, n)
+        raw, begin, end, at = self.segments(texts)
+        packed, n = self.memory.all_ids(self.memory.look_up(raw, begin, end, self.learn))
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        base = chars[begin] - np.repeat(chars[np.append(begin, len(raw))[at[:-1]]], np.diff(at))
+        base = np.repeat(base, n)
         mask = np.uint64((1 << 22) - 1)
         ids = (packed & np.uint64((1 << 20) - 1)).astype(np.int64)
         starts = base + (packed >> np.uint64(20) & mask).astype(np.int64)
