@@ -30,7 +30,11 @@ CODES = {
     "action_unknown": "unknown action: {}",
     "parameter_invalid": "invalid parameter: {}",
     "storage_mode_invalid": "the storage mode must be 'payload' or 'token': {}",
-    "lengths_differ": "inputs have different lengths: {}",
+    "folder_missing": "spark.checkpoint.dir must name a folder that all executors share",
+    "payload_too_large": "the model has too many cells for one document: {}",
+    "kind_unknown": "no kind of model has this name: {}",
+    "unscorable": "no category can score the document",
+    "table_invalid": "not a usable table name: {}",
 }
 
 #: Response status for the codes that a request can cause.

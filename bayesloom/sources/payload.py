@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..errors import BayesError
 from ..functions import tokenizers
 from ..operators.model import FORMAT_VERSION, KINDS, Model
-from .registry import Registry
+from .registry import Registry, check_name
 
+#: Cells of a model that may become one document.
+MOST_CELLS = 5_000_000
 CATEGORY = "struct<name:string,documentCount:bigint,tokenCounts:map<string,bigint>,tokenDocumentCounts:map<string,bigint>,totalTokens:bigint>"
 SCHEMA = f"formatVersion int, kind string, name string, alpha double, useTfidf boolean, spamCategory string, tokenizer struct<class:string,config:string>, categories array<{CATEGORY}>, documentFrequency map<string,bigint>, totalDocuments bigint, calibration struct<temperature:double,samples:bigint>, extra string, tokenMode boolean"
 
@@ -28,8 +30,11 @@ def categories_of(model: Model) -> DataFrame:
     return c.select("cat_order", own.alias("category"))
 
 
-def export(model: Model) -> DataFrame:
-    """One row ``payload``: the JSON document."""
+def export(model: Model, most: int = MOST_CELLS) -> DataFrame:
+    """One row ``payload``: the JSON document. A model of more than ``most`` cells is refused: it would be one huge row."""
+    n = model.cells.count()
+    if n > most:
+        raise BayesError("payload_too_large", f"{n}, at most {most}")
     state = tokenizers.export(model.tokenizer)
     calibration = F.struct(F.lit(model.temperature).alias("temperature"), F.lit(model.temperature_samples).alias("samples")) if model.temperature else F.lit(None).cast("struct<temperature:double,samples:bigint>")
     cats = categories_of(model).agg(F.transform(F.array_sort(F.collect_list(F.struct("cat_order", "category")), lambda a, b: a["cat_order"] - b["cat_order"]), lambda c: c["category"]).alias("categories"))
@@ -75,6 +80,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
 
 
+def convert_all(payloads: DataFrame, registry: Registry) -> list[str]:
+    """Save every document's model in the registry under its own name; the names, in order. Documents without a name are refused."""
+    named = parse(payloads).select("payload", F.col("p.name").alias("name"))
+    names = sorted(r["name"] or "" for r in named.select("name").distinct().collect())  # a row a model
+    for name in names:
+        convert(named.where(F.col("name") == name).select("payload").limit(1), registry, check_name(name or None))
+    return names
+
+
 def convert(payloads: DataFrame, registry: Registry, name: str) -> int:
     """Save a document's model in the registry's tables."""
     return registry.save(load(payloads).with_(name=name))

@@ -1,21 +1,30 @@
-"""Models as versioned Parquet tables: each save writes a new generation and then flips a pointer.
+"""Models as versioned Parquet tables: each save writes tables of its own and then publishes them under the next number.
 
-Layout under the root: ``name/generation=N/{cells,categories,meta}`` and ``name/_CURRENT``, a small file with N. Readers
-follow the pointer, so they see one generation whole. A writer that finds the pointer moved since it read it is refused.
+Layout under the root: ``name/tables-ID/{cells,categories,meta,...}``, a folder for each save, and ``name/_CURRENT-N``, a
+small file with the ID of generation N. The file appears whole or not at all, and only once: of several writers that
+built on the same generation one publishes, the others are refused and may try again (``update``). Readers take the
+highest N, so they see one generation whole, whatever a lost writer has left behind.
 All file access goes through Hadoop's file systems, so the root may be any store that Spark can write.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BayesError
 from ..functions import tokenizers
 from ..operators.model import FORMAT_VERSION, Model
+from . import scratch
 
 #: The explicit schemas of a model's tables.
 CELLS = "category string, token string, cnt bigint, doc_cnt bigint"
@@ -73,59 +82,105 @@ class Registry:
         finally:
             stream.close()
 
-    def _write(self, text: str, *parts: str) -> None:
-        """Written beside the target and renamed over it."""
-        path, fs = self._path(*parts)
-        beside = self._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.new")
-        stream = fs.create(beside, True)
+    def _publish(self, name: str, number: int, text: str) -> bool:
+        """Whether ``_CURRENT-number`` was made; it is made with its text, and never over one that exists."""
+        beside, fs = self._path(name, f".new-{uuid.uuid4().hex}")
+        path, _ = self._path(name, f"_CURRENT-{number}")
+        stream = fs.create(beside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        fs.delete(path, False)
-        if not fs.rename(beside, path):
-            raise BayesError("generation_conflict", text)
+        try:
+            if fs.getScheme() != "file":
+                return bool(fs.rename(beside, path))  # false if the target exists
+            local = lambda p: self._jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
+            try:
+                self._jvm.java.nio.file.Files.createLink(local(path), local(beside))  # a local rename would replace the target
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+                return False
+            return True
+        finally:
+            fs.delete(beside, False)
+
+    def _generations(self, name: str) -> list[int]:
+        path, fs = self._path(check_name(name))
+        if not fs.exists(path):
+            return []
+        names = (str(f.getPath().getName()) for f in fs.listStatus(path))
+        return sorted(int(n[9:]) for n in names if n.startswith("_CURRENT-") and n[9:].isdigit())
 
     def generation(self, name: str) -> int:
         """The current generation, 0 if there is none."""
-        text = self._read(check_name(name), "_CURRENT")
-        return int(text) if text and text.strip().isdigit() else 0
+        return max(self._generations(name), default=0)
 
-    def save(self, model: Model, expected: int | None = None) -> int:
-        """Write ``model`` as the next generation; ``expected`` is the one that the caller built it on."""
+    def save(self, model: Model, expected: int | None = None, **tables: DataFrame) -> int:
+        """Write ``model`` as the next generation; ``expected`` is the one that the caller built it on. ``tables`` are more
+        of the model's tables by name, as ``histogram``."""
         name = check_name(model.name)
         now = self.generation(name)
         if expected is not None and expected != now:
             raise BayesError("generation_conflict", now)
-        new = now + 1
-        base = f"{self.root}/{name}/generation={new}"
-        model.cells.select("category", "token", "cnt", "doc_cnt").write.mode("overwrite").parquet(f"{base}/cells")
-        model.categories.write.mode("overwrite").parquet(f"{base}/categories")
+        new, own = now + 1, uuid.uuid4().hex
+        base = f"{self.root}/{name}/tables-{own}"
+        cells = model.cells.select("category", "token", "cnt", "doc_cnt")
+        cells.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{base}/cells")
+        model.categories.write.parquet(f"{base}/categories")
+        for table, rows in tables.items():
+            rows.write.parquet(f"{base}/{table}")
         state = tokenizers.export(model.tokenizer)
         row = (model.kind, name, FORMAT_VERSION, float(model.alpha), model.use_tfidf, model.spam_category, (state["class"], state["config"]), model.temperature, model.temperature_samples, json.dumps(model.extra), new)
         meta = self.spark.createDataFrame([row], META.rsplit(", ", 1)[0])
-        meta.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{base}/meta")
-        if self.generation(name) != now:
+        meta.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.parquet(f"{base}/meta")
+        if not self._publish(name, new, own):
+            folder, fs = self._path(name, f"tables-{own}")
+            fs.delete(folder, True)
             raise BayesError("generation_conflict", new)
-        self._write(str(new), name, "_CURRENT")
-        old, fs = self._path(name, f"generation={new - self.keep}")
-        fs.delete(old, True)
+        for old in [n for n in self._generations(name) if n <= new - self.keep]:
+            folder, fs = self._path(name, f"tables-{self._read(name, f'_CURRENT-{old}')}")
+            pointer, _ = self._path(name, f"_CURRENT-{old}")
+            fs.delete(pointer, False)
+            fs.delete(folder, True)
         return new
 
+    def update(self, name: str, change: Callable[[Model | None], Model], attempts: int = 5) -> int:
+        """Publish ``change(current model)``; when another writer was first, again from what it published, after a pause of
+        random length."""
+        for k in range(attempts):
+            at = self.generation(name)
+            try:
+                return self.save(change(self.load(name)).with_(name=name), expected=at)
+            except BayesError as e:
+                if e.code != "generation_conflict" or k + 1 == attempts:
+                    raise
+                time.sleep(random.uniform(0, 0.2 * 2**k))
+        raise BayesError("generation_conflict", name)
+
     def _table(self, name: str, table: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/generation={self.generation(name)}/{table}")
+        own = self._read(name, f"_CURRENT-{self.generation(name)}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/tables-{own}/{table}")
+
+    def has_table(self, name: str, table: str) -> bool:
+        path, fs = self._path(name, f"tables-{self._read(name, f'_CURRENT-{self.generation(name)}')}", table)
+        return bool(fs.exists(path))
 
     def load(self, name: str, kind: str | None = None) -> Model | None:
         """The model, or None if it is missing or its metadata can't be read; newer formats and other kinds are refused."""
         if not self.generation(check_name(name)):
             return None
-        meta = self._table(name, "meta", META).first()
+        try:
+            meta = self._table(name, "meta", META).first()
+        except (PySparkException, Py4JJavaError):  # missing or corrupt files
+            return None
         if meta is None:
             return None
         if (meta["format_version"] or 1) > FORMAT_VERSION:
             raise BayesError("format_newer", meta["format_version"])
         alpha = meta["alpha"] if meta["alpha"] and meta["alpha"] > 0 else 1.0
         model = Model(self._table(name, "cells", CELLS), self._table(name, "categories", CATEGORIES), meta["kind"], name, alpha, meta["use_tfidf"], meta["spam_category"], tokenizers.restore(meta["tokenizer"].asDict()), meta["temperature"], meta["temperature_samples"] or 0, json.loads(meta["extra"] or "{}"))
+        model.histogram = self.histogram(name)
         return model.as_kind(kind) if kind else model
 
     def exists(self, name: str) -> bool:
@@ -143,5 +198,16 @@ class Registry:
         return sorted(n for n in names if not n.startswith((".", "_")) and self.exists(n))
 
     def tokens(self, name: str, tokens: DataFrame) -> DataFrame:
-        """The cells of the given tokens: a join instead of batches of point reads."""
-        return self._table(name, "cells", CELLS).join(tokens.select("token").distinct(), "token", "left_semi")
+        """The cells of the given tokens: a join instead of batches of point reads. Cells are stored in order of the token,
+        and the bounds of the tokens asked for go to the scan, so that row groups outside them aren't read."""
+        asked = scratch.kept(tokens.select("token").distinct())
+        low, high = asked.agg(F.min("token"), F.max("token")).first()
+        cells = self._table(name, "cells", CELLS)
+        return cells.where(F.col("token").between(low, high) if low is not None else F.lit(False)).join(asked, "token", "left_semi")
+
+    def histogram(self, name: str, families: tuple[str, ...] = ()) -> DataFrame | None:
+        """The stored counts of counts, of some families if any are named; None if the model has none."""
+        if not self.generation(name) or not self.has_table(name, "histogram"):
+            return None
+        stored = self._table(name, "histogram", HISTOGRAM)
+        return stored.where(F.col("fam").isin(*families)) if families else stored
