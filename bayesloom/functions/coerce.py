@@ -21,9 +21,11 @@ def to_string(x: Column, default: str = "") -> Column:
 
 
 def to_bool(x: Column, default: bool = False) -> Column:
-    """False for null's default, '', '0', 0 and false; true for all else."""
-    s = F.lower(x.cast("string"))
-    return F.when(x.isNull(), F.lit(default)).otherwise(~s.isin("", "0", "0.0", "false"))
+    """The default for null; strings are false if empty or "0", numbers if zero, booleans as they are."""
+    s = x.cast("string")
+    text = s.isin("", "0")
+    number = s.try_cast("double") == 0
+    return F.when(x.isNull(), F.lit(default)).otherwise(~F.when(F.typeof(x) == "string", text).when(F.typeof(x) == "boolean", s == "false").otherwise(F.coalesce(number, F.lit(False))))
 
 
 def format_float(x: Column) -> Column:

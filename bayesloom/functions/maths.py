@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = 50.0
@@ -23,12 +25,20 @@ def log_add(a: Column, b: Column) -> Column:
     return F.when((high == inf()) | (low == inf(-1)) | (high - low > GAP), high).otherwise(high + F.log1p(F.exp(low - high)))
 
 
-def log_sum(x: Column) -> Column:
-    """An aggregate: ln of the sum of e^x, -infinity of nothing."""
-    top = F.max(x)
-    values = F.collect_list(x)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.when(v == inf(-1), 0.0).otherwise(F.exp(v - F.array_max(values))))
-    return F.when(top.isNull() | (top == inf(-1)), inf(-1)).when(top == inf(), inf()).otherwise(top + F.log(total))
+def log_sum(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys..., log_sum): ln of the sum of e^x by group; -infinity of nothing, infinity if one is.
+
+    The largest value of each group comes first, then the sum of what is left beside it: two sums with map-side combine.
+    """
+    tops = df.groupBy(*keys).agg(F.max(value).alias("_top"))
+    if keys:
+        joined = df.select(*keys, F.col(value).alias("_x")).join(tops.select(*(F.col(k).alias(f"_{k}") for k in keys), "_top"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)))
+    else:
+        joined = df.select(F.col(value).alias("_x")).crossJoin(F.broadcast(tops))
+    finite = F.abs("_top") < float("inf")
+    sums = joined.groupBy(*keys).agg(F.max("_top").alias("_top"), F.sum(F.when(finite, F.exp(F.col("_x") - F.col("_top")))).alias("_sum"))
+    top = F.col("_top")
+    return sums.select(*keys, F.when(top.isNull(), inf(-1)).when(F.abs(top) == float("inf"), top).otherwise(top + F.log("_sum")).alias("log_sum"))
 
 
 def log_complement(v: Column) -> Column:

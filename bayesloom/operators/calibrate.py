@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BayesError
@@ -36,20 +36,14 @@ class Temperature:
         return Temperature(float(state.get("temperature", 1.0)), int(state.get("samples", 0)))
 
 
-def usable(log_scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """(doc_id, log_score, own, top, s) rows of documents whose true label has a finite score."""
+def vectors(log_scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """(own, top, all): one row for each document whose true label has a finite score, its scores as an array (one a category)."""
     joined = log_scores.join(truth.select("doc_id", "label"), "doc_id")
-    w = Window.partitionBy("doc_id")
-    own = F.max(F.when(F.col("category") == F.col("label"), F.col("log_score"))).over(w)
-    rows = joined.withColumns({"own": own, "top": F.max("log_score").over(w)})
+    own = F.max(F.when(F.col("category") == F.col("label"), F.col("log_score")))
+    rows = joined.groupBy("doc_id").agg(own.alias("own"), F.max("log_score").alias("top"), F.collect_list("log_score").alias("all"))
     return rows.where(F.col("own").isNotNull() & (F.abs("own") < float("inf")))
 
 
-def vectors(log_scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """(own, top, all): one row a usable document, its scores as an array."""
-    return usable(log_scores, truth).groupBy("doc_id").agg(F.first("own").alias("own"), F.first("top").alias("top"), F.collect_list("log_score").alias("all"))
-
-
 def nll(t: Column) -> Column:
     """Negative log likelihood of one row of ``vectors`` at a temperature."""
     total = F.aggregate("all", F.lit(0.0), lambda acc, v: acc + F.when(v == float("-inf"), 0.0).otherwise(F.exp((v - F.col("top")) / t)))
@@ -67,7 +61,12 @@ def fit_temperature(log_scores: DataFrame, truth: DataFrame, points: int = 17, w
 
     The loss has one minimum over ln T, so narrowing keeps it.
     """
-    held = vectors(log_scores, truth).persist()
+    return fit_vectors(vectors(log_scores, truth), points, width)
+
+
+def fit_vectors(held: DataFrame, points: int = 17, width: float = 1e-6) -> Temperature:
+    """``fit_temperature`` of rows of ``vectors``."""
+    held = held.persist()
     try:
         n = held.count()
         if not n:
@@ -128,14 +127,21 @@ def fit_platt(values: DataFrame, steps: int = 100) -> DataFrame:
         rows.unpersist()
 
 
+def platt_losses(values: DataFrame, at: DataFrame) -> DataFrame:
+    """``at(label, slope, intercept, ...)`` with the ``loss`` on smoothed targets of ``values(label, value, positive)`` there."""
+    sides = values.groupBy("label").agg(F.sum(F.col("positive").cast("int")).alias("up"), F.sum(1 - F.col("positive").cast("int")).alias("down"))
+    t = F.when(F.col("positive"), (F.col("up") + 1) / (F.col("up") + 2)).otherwise(1 / (F.col("down") + 2))
+    z = F.col("slope") * F.col("value") + F.col("intercept")
+    loss = F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))
+    return values.join(sides, "label").join(at, "label").groupBy(*at.columns).agg(F.sum(loss).alias("loss"))
+
+
 def platt_gradient(values: DataFrame, slope: float, intercept: float) -> DataFrame:
     """(label, loss, g_slope, g_intercept) at fixed parameters on smoothed targets."""
-    w = Window.partitionBy("label")
-    up = F.sum(F.col("positive").cast("int")).over(w)
-    down = F.sum(1 - F.col("positive").cast("int")).over(w)
-    t = F.when(F.col("positive"), (up + 1) / (up + 2)).otherwise(1 / (down + 2))
+    sides = values.groupBy("label").agg(F.sum(F.col("positive").cast("int")).alias("up"), F.sum(1 - F.col("positive").cast("int")).alias("down"))
+    t = F.when(F.col("positive"), (F.col("up") + 1) / (F.col("up") + 2)).otherwise(1 / (F.col("down") + 2))
     z = slope * F.col("value") + intercept
-    rows = values.select("label", "value", t.alias("t"), z.alias("z"))
+    rows = values.join(sides, "label").select("label", "value", t.alias("t"), z.alias("z"))
     loss = F.greatest(F.col("z"), F.lit(0.0)) - F.col("z") * F.col("t") + F.log1p(F.exp(-F.abs("z")))
     return rows.groupBy("label").agg(F.sum(loss).alias("loss"), F.sum((sigmoid(F.col("z")) - F.col("t")) * F.col("value")).alias("g_slope"), F.sum(sigmoid(F.col("z")) - F.col("t")).alias("g_intercept"))
 

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BayesError
+from ..sources import scratch
 
 NAN = float("nan")
 
 
 def confusion(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(expected, predicted, n) for every pair of labels, zeros included; unknown labels stop it."""
+    counts = scratch.kept(pairs.groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n")))  # the pairs are read once
+    seen = counts.select(F.col("expected").alias("label")).unionAll(counts.select("predicted"))
     if labels is None:
-        labels = pairs.select(F.col("expected").alias("label")).unionAll(pairs.select("predicted")).distinct()
+        labels = seen.distinct()
     else:
-        seen = pairs.select(F.col("expected").alias("label")).unionAll(pairs.select("predicted"))
         unknown = seen.join(labels, "label", "left_anti").first()
         if unknown:
             raise BayesError("label_unknown", unknown[0])
     few = F.broadcast(labels.select("label"))
     grid = labels.select(F.col("label").alias("expected")).crossJoin(few.withColumnRenamed("label", "predicted"))
-    counts = pairs.groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["expected", "predicted"], "left").select("expected", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..errors import BayesError
 from ..functions.tokenizers import WordTokenizer
+from ..sources import scratch
 from . import train, views
 
-#: Kinds of models, and which of them may be loaded as which (fixed names).
+#: Kinds of models, and which of them may be loaded as which (fixed names); ``score.register_kind`` adds others.
 KINDS = {
     "naive-bayes": {"naive-bayes", "multinomial-naive-bayes"},
     "multinomial-naive-bayes": {"naive-bayes", "multinomial-naive-bayes"},
@@ -35,6 +36,7 @@ class Model:
     temperature: float | None = None
     temperature_samples: int = 0
     extra: dict = field(default_factory=dict)
+    histogram: DataFrame | None = None  # counts of counts (fam, category, val, cnt) that were stored with the model
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -47,12 +49,24 @@ class Model:
 
     @staticmethod
     def fit(log: DataFrame, **settings) -> Model:
-        """The model of a training log (seq, category, tokens, sign)."""
-        return Model(train.cells(log), train.categories(log), **settings)
+        """The model of a training log (seq, category, tokens, sign): read once, its counts written to the shared folder."""
+        return Model.of(scratch.kept(train.fold(log)), **settings)
+
+    @staticmethod
+    def of(folded: DataFrame, **settings) -> Model:
+        """The model of ``train.fold``'s rows."""
+        return Model(train.cells_of(folded), train.categories_of(folded), **settings)
 
     def with_(self, **settings) -> Model:
         return replace(self, **settings)
 
+    def counts(self, *families: str) -> DataFrame:
+        """The counts of counts of some families: the stored ones if the model has them all, else counted."""
+        stored = (self.extra.get("histogram") or {}).get("families", [])
+        if self.histogram is not None and set(families) <= set(stored):
+            return self.histogram.where(F.col("fam").isin(*families))
+        return views.histogram(self.cells, families)
+
     def as_kind(self, kind: str) -> Model:
         if kind not in KINDS[self.kind]:
             raise BayesError("kind_mismatch", f"{self.kind}, {kind}")
@@ -71,7 +85,7 @@ class Model:
 
     def grid(self) -> DataFrame:
         """The categories with the scalars beside them: a few rows, one a category."""
-        return self.categories.where("doc_count > 0").crossJoin(self.scalars())
+        return self.categories.where("doc_count > 0").crossJoin(F.broadcast(self.scalars()))
 
     def tokenize(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         return docs.select(F.col(key).alias("doc_id"), self.tokenizer.column(F.col(text)).alias("tokens"))

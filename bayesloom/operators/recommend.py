@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import BayesError
@@ -12,12 +12,23 @@ from .model import Model
 POSITIVE = "liked"
 
 
+#: What trimming takes off at both ends (fixed values).
+BLANKS = " \t\n\r\0\x0b"
+
+
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def probes(contexts: DataFrame) -> DataFrame:
-    """(ctx_id, candidate, position, text) of ``contexts(ctx_id, context, candidates)``: blanks and repeats dropped."""
-    each = contexts.select("ctx_id", "context", F.posexplode("candidates").alias("position", "candidate"))
-    kept = each.where(F.trim(F.col("candidate")) != "").groupBy("ctx_id", "candidate").agg(F.min("position").alias("position"), F.first("context").alias("context"))
-    text = F.concat_ws(" ", F.trim(F.array_join(F.coalesce("context", F.array().cast("array<string>")), " ")), F.trim("candidate"))
-    return kept.select("ctx_id", "candidate", "position", text.alias("text"))
+    """(ctx_id, candidate, position, text) of ``contexts(ctx_id, context, candidates)``: trimmed, blanks and repeats dropped.
+
+    Each row's own list is made distinct in place, so that nothing is shuffled.
+    """
+    own = F.array_distinct(F.filter(F.transform("candidates", trimmed), lambda c: c != ""))
+    each = contexts.select("ctx_id", "context", F.posexplode(own).alias("position", "candidate"))
+    context = trimmed(F.array_join(F.coalesce("context", F.array().cast("array<string>")), " "))
+    return each.select("ctx_id", "candidate", "position", trimmed(F.concat_ws(" ", context, "candidate")).alias("text"))
 
 
 def check(model: Model, contexts: DataFrame, positive: str) -> None:
@@ -28,7 +39,7 @@ def check(model: Model, contexts: DataFrame, positive: str) -> None:
         raise BayesError("untrained")
     if model.categories.where(F.col("category") == positive).isEmpty():
         raise BayesError("category_unknown", positive)
-    if contexts.where(~F.exists("candidates", lambda c: F.trim(c) != "")).limit(1).count():
+    if contexts.where(~F.exists("candidates", lambda c: trimmed(c) != "")).limit(1).count():
         raise BayesError("candidates_blank")
 
 
@@ -37,9 +48,8 @@ def recommend(model: Model, contexts: DataFrame, positive: str = POSITIVE, check
     if checked:
         check(model, contexts, positive)
     probe = probes(contexts)
-    key = F.struct("ctx_id", "position")
-    docs = probe.select(key.alias("doc_id"), model.tokenizer.column(F.col("text")).alias("tokens"))
-    found = score.scores(model, docs).where(F.col("category") == positive).select("doc_id", "score")
+    docs = probe.select(F.struct("ctx_id", "position", "candidate").alias("doc_id"), model.tokenizer.column(F.col("text")).alias("tokens"))
+    own = F.get(F.filter("scores", lambda s: s["category"] == positive), F.lit(0))["score"]
+    found = score.distributions(model, docs).select("doc_id.*", F.coalesce(own, F.lit(0.0)).alias("score"))
     order = Window.partitionBy("ctx_id").orderBy(F.desc("score"), "position")
-    joined = probe.join(found, key == found["doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return joined.select("ctx_id", "candidate", "score", F.row_number().over(order).alias("rank"))
+    return found.select("ctx_id", "candidate", "score", F.row_number().over(order).alias("rank"))

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..errors import BayesError
-from ..functions.maths import sigmoid, tfidf
+from ..functions.maths import idf, sigmoid, term_factor
 from . import score, views
 from .model import Model
-from .train import categories, cells
 
 BACKGROUND = "*"
+ODDS = "array<struct<label:string,label_order:int,log_odds:double>>"
 
 
 @dataclass
@@ -44,13 +45,13 @@ class Tagger:
     def log(docs: DataFrame, labels: Column, tokens: Column, sign: int = 1, background: str = BACKGROUND, seq: str = "doc_id") -> DataFrame:
         """The training log: one row for each distinct label and one for the background. Bad labels stop the job."""
         bad = F.exists(labels, lambda x: x.isNull() | (x == "") | (x == background))
-        checked = F.when(bad, F.raise_error(F.lit("labels must be non-empty and differ from the background"))).otherwise(F.array_distinct(labels))
+        checked = F.when(bad, F.raise_error(F.lit(str(BayesError("label_invalid", background))))).otherwise(F.array_distinct(labels))
         under = F.concat(F.array(F.lit(background)), F.coalesce(checked, F.array().cast("array<string>")))
         return docs.select(F.col(seq).cast("bigint").alias("seq"), F.explode(under).alias("category"), tokens.alias("tokens"), F.lit(sign).alias("sign"))
 
     @staticmethod
     def fit(log: DataFrame, settings: TagSettings | None = None, **model_settings) -> Tagger:
-        return Tagger(Model(cells(log), categories(log), **model_settings), settings or TagSettings())
+        return Tagger(Model.fit(log, **model_settings), settings or TagSettings())
 
     def labels(self) -> DataFrame:
         return self.model.categories.where((F.col("category") != self.settings.background) & (F.col("doc_count") > 0))
@@ -59,25 +60,41 @@ class Tagger:
     def is_trained(self) -> bool:
         return not self.labels().isEmpty()
 
+    def grid(self) -> list[Row]:
+        """The labels in order, a row each, with the background's counts and the vocabulary's size beside them."""
+        size = views.vocabulary(self.model.cells).agg(F.count(F.lit(1)).alias("v"))
+        rest = self.model.categories.where(F.col("category") == self.settings.background).select(F.col("doc_count").alias("n"), F.col("total_tokens").alias("t_all"))
+        return sorted(self.labels().crossJoin(rest).crossJoin(size).collect(), key=lambda r: r["cat_order"])
+
+    def vectors(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, odds) of ``docs(doc_id, tokens)``: (label, label_order, log_odds) of every label, in order."""
+        grid, step = self.grid(), score.CATEGORIES_AT_ONCE
+        parts = [self._part(docs, grid[k : k + step]) for k in range(0, len(grid), step)] or [docs.select("doc_id", F.array().cast(ODDS).alias("odds"))]
+        return reduce(lambda a, b: a.join(b.withColumnRenamed("odds", "more"), "doc_id").select("doc_id", F.concat("odds", "more").alias("odds")), parts)
+
+    def _part(self, docs: DataFrame, grid: list[Row]) -> DataFrame:
+        a, tfidf, cells = self.model.alpha, self.model.use_tfidf, self.model.cells
+        under = lambda c, x: F.coalesce(F.sum(F.when(F.col("category") == c, F.col(x))), F.lit(0))
+        every = [under(self.settings.background, "cnt").alias("all"), under(self.settings.background, "doc_cnt").alias("df")]
+        pivoted = cells.groupBy("token").agg(*every, *(under(r["category"], "cnt").alias(f"c{i}") for i, r in enumerate(grid))).where("df > 0")
+
+        def weight(i: int, r: Row) -> Column:
+            below, below_rest = r["total_tokens"] + a * r["v"], max(r["t_all"] - r["total_tokens"], 0) + a * r["v"]
+            if below <= 0 or below_rest <= 0:
+                return F.lit(0.0)
+            cnt = F.col(f"c{i}")
+            ratio = F.log((cnt + a) / below) - F.log((F.greatest(F.col("all") - cnt, F.lit(0)) + a) / below_rest)
+            return ratio * idf(F.lit(r["n"]), F.col("df")) if tfidf else ratio
+
+        weights = pivoted.select("token", *(weight(i, r).cast("double").alias(f"w{i}") for i, r in enumerate(grid)))
+        sums = score.weighted_sums(docs, weights, len(grid), term_factor if tfidf else lambda f: f.cast("double"))
+        start = [math.log((r["doc_count"] + 1) / (max(r["n"] - r["doc_count"], 0) + 1)) for r in grid]
+        made = (F.struct(F.lit(r["category"]).alias("label"), F.lit(r["cat_order"]).alias("label_order"), (F.lit(start[i]) + F.col("sums")[i]).alias("log_odds")) for i, r in enumerate(grid))
+        return sums.select("doc_id", F.array(*made).cast(ODDS).alias("odds"))
+
     def log_odds(self, docs: DataFrame) -> DataFrame:
         """(doc_id, label, label_order, log_odds) of ``docs(doc_id, tokens)`` for every label."""
-        a, back = self.model.alpha, self.settings.background
-        size = views.vocabulary(self.model.cells).agg(F.count(F.lit(1)).alias("v"))
-        rest = self.model.categories.where(F.col("category") == back).select(F.col("doc_count").alias("n"), F.col("total_tokens").alias("t_all"))
-        grid = self.labels().crossJoin(rest).crossJoin(size)
-        known = score.term_counts(docs).join(views.wide(self.model.cells), "token", "left").crossJoin(F.broadcast(grid))
-        own, every = F.element_at("by", F.col("category")), F.element_at("by", F.lit(back))
-        zero = F.lit(0).cast("bigint")
-        cnt, all_cnt = F.coalesce(own["cnt"], zero), F.coalesce(every["cnt"], zero)
-        df = F.coalesce(every["doc_cnt"], zero)
-        t_rest = F.greatest(F.col("t_all") - F.col("total_tokens"), F.lit(0))
-        below, below_rest = F.col("total_tokens") + a * F.col("v"), t_rest + a * F.col("v")
-        weight = tfidf(F.col("f"), F.col("n"), df) if self.model.use_tfidf else F.col("f").cast("double")
-        ratio = F.log((cnt + a) / below) - F.log((F.greatest(all_cnt - cnt, F.lit(0)) + a) / below_rest)
-        term = F.when((df > 0) & (below > 0) & (below_rest > 0), weight * ratio).otherwise(0.0)
-        n_rest = F.greatest(F.col("n") - F.col("doc_count"), F.lit(0))
-        start = F.log((F.col("doc_count") + 1) / (n_rest + 1))
-        return known.groupBy("doc_id", F.col("category").alias("label")).agg(F.first("cat_order").alias("label_order"), (F.first(start) + F.sum(term)).alias("log_odds"))
+        return self.vectors(docs).select("doc_id", F.explode("odds").alias("o")).select("doc_id", "o.*")
 
     def probabilities(self, docs: DataFrame) -> DataFrame:
         odds = self.log_odds(docs)

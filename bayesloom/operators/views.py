@@ -13,12 +13,6 @@ def vocabulary(cells: DataFrame) -> DataFrame:
     return cells.groupBy("token").agg(F.sum("doc_cnt").alias("df"), F.sum("cnt").alias("g")).where("df > 0")
 
 
-def wide(cells: DataFrame) -> DataFrame:
-    """(token, df, g, by): ``by`` maps a category to its (cnt, doc_cnt); one row a token."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("category", F.struct("cnt", "doc_cnt"))))
-    return cells.groupBy("token").agg(F.sum("doc_cnt").alias("df"), F.sum("cnt").alias("g"), pairs.alias("by")).where("df > 0")
-
-
 def scalars(cells: DataFrame, categories: DataFrame) -> DataFrame:
     """One row: documents, vocabulary size and tokens of the model."""
     size = vocabulary(cells).agg(F.count(F.lit(1)).alias("v"))
@@ -51,12 +45,11 @@ def histogram(cells: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def complement_counts(cells: DataFrame, categories: DataFrame) -> DataFrame:
-    """(category, val, cnt): for each category how many tokens have each count outside it (g - a + k, cells above 0)."""
-    hist = histogram(cells, ("g", "a", "k"))
+def complement_counts(hist: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category, val, cnt): for each category how many tokens have each count outside it (g - a + k of a histogram)."""
     names = F.broadcast(categories.select("category"))
     every = hist.where("fam = 'g'").select("val", "cnt").crossJoin(names).select("category", "val", "cnt")
-    own = hist.where("fam <> 'g'").select("category", "val", F.when(F.col("fam") == "a", -F.col("cnt")).otherwise(F.col("cnt")).alias("cnt"))
+    own = hist.where("fam in ('a', 'k')").select("category", "val", F.when(F.col("fam") == "a", -F.col("cnt")).otherwise(F.col("cnt")).alias("cnt"))
     return every.unionByName(own).groupBy("category", "val").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
 
 

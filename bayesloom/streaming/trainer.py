@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import train, views
 from ..operators.model import Model
+from ..sources import histograms, scratch
+from ..sources.registry import CELLS as registry_cells
 from ..sources.registry import Registry
 
 
@@ -44,28 +46,33 @@ def train_stream(log: DataFrame, registry: Registry, name: str, checkpoint: str,
         old, at = registry.load(name), registry.generation(name)
         if old is not None and old.extra.get("batch", -1) >= batch_id:
             return
+        tables = {}
         if old is None:
             model = Model.fit(batch, name=name, **settings)
         else:
-            model = old.with_(cells=fold(old.cells, signed(batch)), categories=fold_categories(old.categories, batch))
-        registry.save(model.with_(extra=model.extra | {"batch": batch_id}), expected=at)
+            log = scratch.kept(batch)
+            model = old.with_(cells=scratch.kept(fold(old.cells, signed(log))), categories=fold_categories(old.categories, log), histogram=None)
+            tables = histograms.follow(registry, old, model, log.select(F.explode("tokens").alias("token")))
+        registry.save(model.with_(extra=model.extra | {"batch": batch_id}), at, **tables)
 
     return log.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cells_stream(log: DataFrame) -> DataFrame:
-    """The streaming aggregation of a log stream (complete or update mode)."""
-    return train.deltas(log).groupBy("category", "token").agg(F.sum("n").alias("cnt"), F.sum("docs").alias("doc_cnt"))
+def cells_stream(log: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write every micro-batch's signed counts under ``folder``, a folder a batch: a batch that runs again replaces its own."""
 
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        signed(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return log.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def stream_cells(spark: SparkSession, path: str, schema, to_log, checkpoint: str) -> DataFrame:
-    """Cells of all files under ``path``, trained by a stream that reads them once and then stops."""
-    import uuid
 
-    table = f"cells_{uuid.uuid4().hex}"
+def stream_cells(spark: SparkSession, path: str, schema, to_log, folder: str) -> DataFrame:
+    """Cells of all files under ``path``, trained by a stream that reads them once and then stops."""
     stream = to_log(spark.readStream.schema(schema).parquet(path))
-    cells_stream(stream).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(table).where("cnt > 0")
+    cells_stream(stream, f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()
+    deltas = spark.read.schema(registry_cells).parquet(f"{folder}/deltas")
+    return deltas.groupBy("category", "token").agg(F.sum("cnt").alias("cnt"), F.sum("doc_cnt").alias("doc_cnt")).where("cnt > 0")
 
 
 def touched(cells: DataFrame, batch: DataFrame) -> DataFrame:
