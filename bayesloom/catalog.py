@@ -1,11 +1,12 @@
 """Every query of the engine with the DuckDB SQL that gives the same rows.
 
-Documents are split by id modulo 5: 0 is the test part, 1 is held out for calibration, 2 to 4 train.
+Queries count, train on and score whole tables. Those of calibration and metrics hold documents out, since that is what
+they measure: by id modulo 5, 0 is the test part, 1 is held out for the fit, 2 to 4 train.
 """
 
 from __future__ import annotations
 
-import tempfile
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from .operators import calibrate, metrics, recommend, score, train, views
 from .operators.model import Model
 from .operators.tag import Tagger, TagSettings
 from .plans.engine import Service
-from .sources import payload
+from .sources import payload, scratch
 from .sources.registry import Registry
 from .streaming import trainer
 
@@ -48,22 +49,29 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _part(docs: DataFrame, op: Callable[[Column], Column]) -> DataFrame:
-    return docs.where(op(F.pmod(F.col("doc_id"), F.lit(5))) & F.col("lang").isNotNull())
+def log_of(docs: DataFrame) -> DataFrame:
+    return train.training_log(docs.where(F.col("lang").isNotNull()), F.col("lang"), WordTokenizer().column(F.col("text")))
 
 
 def train_log(spark: SparkSession, d: str) -> DataFrame:
-    return train.training_log(_part(table(spark, d, "documents"), lambda p: p >= 2), F.col("lang"), WordTokenizer().column(F.col("text")))
-
-
-def split(spark: SparkSession, d: str, part: int) -> DataFrame:
-    return _part(table(spark, d, "documents"), lambda p: p == part).select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), F.col("lang").alias("label"))
+    return log_of(table(spark, d, "documents"))
 
 
 def model(spark: SparkSession, d: str, **settings) -> Model:
     return Model.fit(train_log(spark, d), **settings)
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
+
+
+def evaluated(spark: SparkSession, d: str, held: bool = False, **settings) -> tuple[Model, DataFrame]:
+    """A model of the training part, and the test part (or that held out for fitting) with its labels."""
+    learned, aside, test = train.train_test(table(spark, d, "documents"))
+    kept = (aside if held else test).where(F.col("lang").isNotNull())
+    return Model.fit(log_of(learned), **settings), kept.select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), F.col("lang").alias("label"))
+
+
 def tokens_of(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(key), F.posexplode(tokens).alias("pos", "token"))
 
@@ -81,18 +89,20 @@ def unnested(key: str, tokens: str, source: str) -> str:
     return f"SELECT {key}, CAST(unnest(range(len(ts))) AS INTEGER) AS pos, unnest(ts) AS token FROM (SELECT {key}, {tokens} AS ts FROM {source})"
 
 
-STATS = f"""train AS (SELECT doc_id AS seq, lang AS category, {WORDS} AS tokens FROM documents WHERE doc_id % 5 >= 2 AND lang IS NOT NULL),"""
+STATS = f"""train AS (SELECT doc_id AS seq, lang AS category, {WORDS} AS tokens FROM documents WHERE lang IS NOT NULL),"""
 FOLD = """ex AS (SELECT seq, category, unnest(tokens) AS token FROM train),
 cells AS (SELECT category, token, count(*) AS cnt, count(DISTINCT seq) AS doc_cnt FROM ex GROUP BY ALL),
 cats AS (SELECT category, CAST(row_number() OVER (ORDER BY min(seq), category) AS INTEGER) AS cat_order, count(*) AS doc_count, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens FROM train GROUP BY category),
 vocab AS (SELECT token, CAST(sum(doc_cnt) AS BIGINT) AS df, CAST(sum(cnt) AS BIGINT) AS g FROM cells GROUP BY token),
 sc AS (SELECT (SELECT CAST(sum(doc_count) AS BIGINT) FROM cats) AS n, (SELECT CAST(sum(total_tokens) AS BIGINT) FROM cats) AS gt, (SELECT count(*) FROM vocab) AS v)"""
 BASE = f"WITH {STATS} {FOLD}"
+LEARNED = BASE.replace("WHERE lang", "WHERE doc_id % 5 >= 2 AND lang")
 
 
-def scored(kind: str = "mnb", part: int = 0, tfidf: bool = True, alpha: float = 1.0, base: str = BASE, docs: str | None = None) -> str:
-    """CTEs up to ``ls(doc_id, category, cat_order, log_score)``."""
-    docs = docs or f"SELECT doc_id, lang AS label, {WORDS} AS tokens FROM documents WHERE doc_id % 5 = {part} AND lang IS NOT NULL"
+def scored(kind: str = "mnb", part: int | None = None, tfidf: bool = True, alpha: float = 1.0, base: str = BASE, docs: str | None = None) -> str:
+    """CTEs up to ``ls(doc_id, category, cat_order, log_score)``; ``part`` names one that was held out."""
+    docs = docs or f"SELECT doc_id, lang AS label, {WORDS} AS tokens FROM documents" + ("" if part is None else f" WHERE doc_id % 5 = {part} AND lang IS NOT NULL")
+    base = base if part is None else LEARNED
     head = f"{base}, td AS ({docs}), q AS (SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest(tokens) AS token FROM td) GROUP BY ALL)"
     w = "(1 + ln(f)) * (ln((n + 1) / (df + 1)) + 1)" if tfidf else "f"
     if kind == "mnb":
@@ -119,11 +129,11 @@ LS = "SELECT doc_id, category, round(log_score, 4) AS log_score FROM ls"
 
 
 def log_score_rows(m: Model, spark: SparkSession, d: str) -> DataFrame:
-    return score.log_scores(m, split(spark, d, 0)).select("doc_id", "category", r("log_score", 4).alias("log_score"))
+    return score.log_scores(m, documents(spark, d)).select("doc_id", "category", r("log_score", 4).alias("log_score"))
 
 
 def best_rows(m: Model, spark: SparkSession, d: str) -> DataFrame:
-    return score.classify(m, split(spark, d, 0)).select("doc_id", "category", r("score").alias("score"))
+    return score.classify(m, documents(spark, d)).select("doc_id", "category", r("score").alias("score"))
 
 
 BEST = "SELECT doc_id, category, round(score, 6) AS score FROM best"
@@ -193,8 +203,7 @@ def tokens_chain(spark, d):
 
 @query(f"SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest({WORDS}) AS token FROM documents) GROUP BY ALL")
 def doc_term_frequency(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
-    return score.term_counts(tokens).where("f > 0")
+    return score.term_counts(documents(spark, d)).where("f > 0")
 
 
 @query(f"{BASE} SELECT token, df, g FROM vocab")
@@ -228,7 +237,7 @@ def category_vocabulary_size(spark, d):
 @query(f"{scored()} SELECT doc_id, token, round((1 + ln(f)) * (ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM q JOIN vocab USING (token) CROSS JOIN sc")
 def tfidf_weights(spark, d):
     m = model(spark, d)
-    known = score.term_counts(split(spark, d, 0)).join(views.vocabulary(m.cells), "token").crossJoin(F.broadcast(m.scalars()))
+    known = score.term_counts(documents(spark, d)).join(views.vocabulary(m.cells), "token").crossJoin(F.broadcast(m.scalars()))
     return known.select("doc_id", "token", r(maths.tfidf(F.col("f"), F.col("n"), F.col("df"))).alias("weight"))
 
 
@@ -254,7 +263,7 @@ for _fam in HIST:
 @query(f"{BASE} SELECT c.category, vocab.g - coalesce(x.cnt, 0) AS val, count(*) AS cnt FROM vocab CROSS JOIN cats c LEFT JOIN cells x ON x.token = vocab.token AND x.category = c.category GROUP BY ALL")
 def complement_counts(spark, d):
     m = model(spark, d)
-    return views.complement_counts(m.cells, m.categories)
+    return views.complement_counts(m.counts("g", "a", "k"), m.categories)
 
 
 @query(f"{BASE} SELECT 'd' || doc_cnt || ':' || category AS key, 'd' AS fam, category, doc_cnt AS val FROM cells GROUP BY ALL UNION ALL SELECT 'g' || g, 'g', '', g FROM vocab GROUP BY ALL")
@@ -291,7 +300,7 @@ def mnb_log_scores_alpha(spark, d):
 
 @query(f"{softmaxed(scored())} SELECT doc_id, category, round(score, 6) AS score FROM sm")
 def mnb_scores(spark, d):
-    return score.scores(model(spark, d), split(spark, d, 0)).select("doc_id", "category", r("score").alias("score"))
+    return score.scores(model(spark, d), documents(spark, d)).select("doc_id", "category", r("score").alias("score"))
 
 
 @query(f"{softmaxed(scored())} {BEST}")
@@ -299,25 +308,25 @@ def mnb_classify(spark, d):
     return best_rows(model(spark, d), spark, d)
 
 
-SPAM_STATS = f"WITH train AS (SELECT doc_id AS seq, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS category, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 >= 2), {FOLD}"
+SPAM_STATS = f"WITH train AS (SELECT doc_id AS seq, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS category, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id)), {FOLD}"
 
 
 @query(f"{softmaxed(scored(base=SPAM_STATS))} SELECT doc_id, category = 'spam' AS is_spam FROM best")
 def is_spam(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("doc_id % 5 >= 2")
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     log = train.training_log(docs, F.when(F.col("toxic") == 1, "spam").otherwise("ham"), WordTokenizer().column(F.col("text")))
-    return score.is_spam(Model.fit(log), split(spark, d, 0))
+    return score.is_spam(Model.fit(log), documents(spark, d))
 
 
-ROLE_STATS = f"WITH train AS (SELECT conv_id * 1000 + turn AS seq, role AS category, {WORDS} AS tokens FROM conversations WHERE conv_id % 5 <> 0 AND role IS NOT NULL), {FOLD}"
-ROLE_DOCS = f"SELECT conv_id * 1000 + turn AS doc_id, role AS label, {WORDS} AS tokens FROM conversations WHERE conv_id % 5 = 0"
+ROLE_STATS = f"WITH train AS (SELECT conv_id * 1000 + turn AS seq, role AS category, {WORDS} AS tokens FROM conversations WHERE role IS NOT NULL), {FOLD}"
+ROLE_DOCS = f"SELECT conv_id * 1000 + turn AS doc_id, role AS label, {WORDS} AS tokens FROM conversations"
 
 
 @query(f"{scored('cnb', base=ROLE_STATS, docs=ROLE_DOCS)} {LS}")
 def cnb_roles(spark, d):
     turns = table(spark, d, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
-    log = train.training_log(turns.where("conv_id % 5 <> 0 and role is not null"), F.col("role"), WordTokenizer().column(F.col("text")))
-    test = turns.where("conv_id % 5 = 0").select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
+    log = train.training_log(turns.where("role is not null"), F.col("role"), WordTokenizer().column(F.col("text")))
+    test = turns.select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
     found = score.log_scores(Model.fit(log, kind="complement-naive-bayes"), test)
     return found.select("doc_id", "category", r("log_score", 4).alias("log_score"))
 
@@ -345,7 +354,7 @@ def cnb_norms(spark, d):
 @query(f"{scored('cnb')} SELECT doc_id, category, round(log_score, 6) AS log_score FROM ls")
 def cnb_log_scores(spark, d):
     m = model(spark, d, kind="complement-naive-bayes")
-    return score.log_scores(m, split(spark, d, 0)).select("doc_id", "category", r("log_score").alias("log_score"))
+    return score.log_scores(m, documents(spark, d)).select("doc_id", "category", r("log_score").alias("log_score"))
 
 
 @query(f"{softmaxed(scored('cnb'))} {BEST}")
@@ -355,10 +364,11 @@ def cnb_classify(spark, d):
 
 # Withdrawal.
 
-LESS = STATS.replace("doc_id % 5 >= 2", "doc_id % 5 >= 3")
+LESS = STATS.replace("WHERE lang", "WHERE doc_id % 5 <> 2 AND lang")
 
 
 def signed_log(spark, d) -> DataFrame:
+    """All documents, and a fifth of them withdrawn again."""
     log = train_log(spark, d)
     return log.unionByName(log.where("seq % 5 = 2").withColumn("sign", F.lit(-1)).withColumn("seq", F.col("seq") + 10**12))
 
@@ -381,12 +391,14 @@ def untrain_equals_retrain(spark, d):
 # Tagging.
 
 TAGS = "list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)"
-TAG_STATS = f"WITH train AS (SELECT doc_id AS seq, unnest(list_concat(['*'], {TAGS})) AS category, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 >= 2), {FOLD}"
+TAG_STATS = f"WITH train AS (SELECT doc_id AS seq, unnest(list_concat(['*'], {TAGS})) AS category, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id)), {FOLD}"
 
 
-def tag_ctes(part: int = 0, probability: str = "1 / (1 + exp(-log_odds))") -> str:
-    docs = f"SELECT doc_id, {TAGS} AS labels, {WORDS} AS tokens FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = {part}"
-    return f"""{TAG_STATS}, td AS ({docs}), q AS (SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest(tokens) AS token FROM td) GROUP BY ALL),
+def tag_ctes(part: int | None = None, probability: str = "1 / (1 + exp(-log_odds))") -> str:
+    docs, stats = f"SELECT doc_id, {TAGS} AS labels, {WORDS} AS tokens FROM documents LEFT JOIN labels USING (doc_id)", TAG_STATS
+    if part is not None:
+        docs, stats = f"{docs.replace('LEFT JOIN', 'JOIN')} WHERE doc_id % 5 = {part}", stats.replace("USING (doc_id))", "USING (doc_id) WHERE doc_id % 5 >= 2)")
+    return f"""{stats}, td AS ({docs}), q AS (SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest(tokens) AS token FROM td) GROUP BY ALL),
 bk AS (SELECT doc_count AS nb, total_tokens AS tb FROM cats WHERE category = '*'), lb AS (SELECT * FROM cats WHERE category <> '*'),
 st AS (SELECT q.doc_id, c.category, sum((1 + ln(f)) * (ln((nb + 1) / (b.doc_cnt + 1)) + 1) * (ln((coalesce(x.cnt, 0) + 1) / (c.total_tokens + v)) - ln((b.cnt - coalesce(x.cnt, 0) + 1) / (tb - c.total_tokens + v)))) AS s
  FROM q JOIN cells b ON b.token = q.token AND b.category = '*' CROSS JOIN lb c CROSS JOIN bk CROSS JOIN sc LEFT JOIN cells x ON x.token = q.token AND x.category = c.category GROUP BY ALL),
@@ -394,32 +406,38 @@ lo AS (SELECT td.doc_id, td.labels, c.category AS label, c.cat_order AS label_or
 pr AS (SELECT *, {probability} AS probability FROM lo)"""
 
 
-def tagger(spark, d) -> Tagger:
-    return Tagger.fit(Tagger.log(tagged(spark, d).where("doc_id % 5 >= 2"), F.col("labels"), WordTokenizer().column(F.col("text"))), TagSettings(0.5, 1))
-
-
 def tagged(spark, d) -> DataFrame:
     labels = F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("labels", labels)
 
 
-def tag_docs(spark, d, part: int = 0) -> DataFrame:
-    return tagged(spark, d).where(F.pmod(F.col("doc_id"), F.lit(5)) == part).select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), "labels")
+def tagger_of(docs: DataFrame, most: int = 1) -> Tagger:
+    return Tagger.fit(Tagger.log(docs, F.col("labels"), WordTokenizer().column(F.col("text"))), TagSettings(0.5, most))
+
+
+def tagger(spark, d, most: int = 1) -> Tagger:
+    return tagger_of(tagged(spark, d), most)
+
+
+def tags_evaluated(spark, d, held: bool = False) -> tuple[Tagger, DataFrame]:
+    """A tagger of the training part, and the test part (or that held out for fitting) with its labels."""
+    learned, aside, test = train.train_test(tagged(spark, d))
+    return tagger_of(learned), (aside if held else test).select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), "labels")
 
 
 @query(f"{tag_ctes()} SELECT doc_id, label, round(log_odds, 4) AS log_odds FROM pr")
 def tag_log_odds(spark, d):
-    return tagger(spark, d).log_odds(tag_docs(spark, d)).select("doc_id", "label", r("log_odds", 4).alias("log_odds"))
+    return tagger(spark, d).log_odds(documents(spark, d)).select("doc_id", "label", r("log_odds", 4).alias("log_odds"))
 
 
 @query(f"{tag_ctes()} SELECT doc_id, label, round(probability, 6) AS probability FROM pr")
 def tag_probabilities(spark, d):
-    return tagger(spark, d).probabilities(tag_docs(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
+    return tagger(spark, d).probabilities(documents(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
 
 
-@query(f"{tag_ctes()} SELECT doc_id, label, round(probability, 6) AS probability FROM pr WHERE probability >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, label_order) <= 1")
+@query(f"{tag_ctes()} SELECT doc_id, label, round(probability, 6) AS probability, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, label_order) AS INTEGER) AS rank FROM pr WHERE probability >= 0.5 QUALIFY rank <= 2")
 def tag_topk(spark, d):
-    return tagger(spark, d).tag(tag_docs(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
+    return tagger(spark, d, 2).tag(documents(spark, d)).select("doc_id", "label", r("probability").alias("probability"), "rank")
 
 
 # Recommendation.
@@ -429,23 +447,23 @@ PART_STATS = f"WITH train AS (SELECT p_partkey AS seq, CASE WHEN p_size > 25 THE
 PROBES = f"SELECT p_brand || '|' || p_type AS doc_id, {WORDS} AS tokens FROM (SELECT DISTINCT b.p_brand, t.p_type, trim(b.p_brand) || ' ' || trim(t.p_type) AS text FROM part b CROSS JOIN (SELECT DISTINCT p_type FROM part) t)"
 
 
-@query(f"{softmaxed(scored(base=PART_STATS, docs=PROBES))} SELECT split_part(doc_id, '|', 1) AS ctx_id, split_part(doc_id, '|', 2) AS candidate, round(score, 6) AS score FROM sm WHERE category = 'liked'")
+@query(f"{softmaxed(scored(base=PART_STATS, docs=PROBES))} SELECT split_part(doc_id, '|', 1) AS ctx_id, split_part(doc_id, '|', 2) AS candidate, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY split_part(doc_id, '|', 1) ORDER BY score DESC, split_part(doc_id, '|', 2)) AS INTEGER) AS rank FROM sm WHERE category = 'liked'")
 def recommend_rank(spark, d):
     part = table(spark, d, "part")
     log = train.training_log(part, F.when(F.col("p_size") > 25, "liked").otherwise("ignored"), WordTokenizer().column(F.concat_ws(" ", "p_name", "p_type")), "p_partkey")
     types = part.agg(F.sort_array(F.collect_set("p_type")).alias("candidates"))
     contexts = part.select(F.col("p_brand").alias("ctx_id")).distinct().select("ctx_id", F.array("ctx_id").alias("context")).crossJoin(F.broadcast(types))
-    return recommend.recommend(Model.fit(log), contexts).select("ctx_id", "candidate", r("score").alias("score"))
+    return recommend.recommend(Model.fit(log), contexts).select("ctx_id", "candidate", r("score").alias("score"), "rank")
 
 
 # Metrics.
 
-PAIRS = f"{softmaxed(scored('cnb'))}, pairs AS (SELECT td.label AS expected, best.category AS predicted FROM td JOIN best USING (doc_id)), labs AS (SELECT expected AS l FROM pairs UNION SELECT predicted FROM pairs), cm AS (SELECT a.l AS expected, b.l AS predicted, (SELECT count(*) FROM pairs p WHERE p.expected = a.l AND p.predicted = b.l) AS n FROM labs a CROSS JOIN labs b), pl AS (SELECT l AS label, CASE WHEN pr = 0 THEN 'nan'::DOUBLE ELSE tp / pr END AS precision, CASE WHEN ex = 0 THEN 'nan'::DOUBLE ELSE tp / ex END AS recall FROM (SELECT l, (SELECT sum(n) FROM cm WHERE expected = l AND predicted = l) AS tp, (SELECT sum(n) FROM cm WHERE predicted = l) AS pr, (SELECT sum(n) FROM cm WHERE expected = l) AS ex FROM labs)), f AS (SELECT *, CASE WHEN isnan(precision) OR isnan(recall) THEN 'nan'::DOUBLE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pl)"
+PAIRS = f"{softmaxed(scored('cnb', part=0))}, pairs AS (SELECT td.label AS expected, best.category AS predicted FROM td JOIN best USING (doc_id)), labs AS (SELECT expected AS l FROM pairs UNION SELECT predicted FROM pairs), cm AS (SELECT a.l AS expected, b.l AS predicted, (SELECT count(*) FROM pairs p WHERE p.expected = a.l AND p.predicted = b.l) AS n FROM labs a CROSS JOIN labs b), pl AS (SELECT l AS label, CASE WHEN pr = 0 THEN 'nan'::DOUBLE ELSE tp / pr END AS precision, CASE WHEN ex = 0 THEN 'nan'::DOUBLE ELSE tp / ex END AS recall FROM (SELECT l, (SELECT sum(n) FROM cm WHERE expected = l AND predicted = l) AS tp, (SELECT sum(n) FROM cm WHERE predicted = l) AS pr, (SELECT sum(n) FROM cm WHERE expected = l) AS ex FROM labs)), f AS (SELECT *, CASE WHEN isnan(precision) OR isnan(recall) THEN 'nan'::DOUBLE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pl)"
 
 
 def pairs(spark, d) -> DataFrame:
-    test = split(spark, d, 0)
-    found = score.classify(model(spark, d, kind="complement-naive-bayes"), test)
+    m, test = evaluated(spark, d, kind="complement-naive-bayes")
+    found = score.classify(m, test)
     return test.select("doc_id", F.col("label").alias("expected")).join(found, "doc_id").select("expected", F.col("category").alias("predicted"))
 
 
@@ -468,12 +486,12 @@ def metrics_macro_micro(spark, d):
     return out.select(*(r(c).alias(c) for c in out.columns))
 
 
-OUTCOMES = f"{tag_ctes()}, oc AS (SELECT probability AS p, list_contains(labels, label) AS y FROM pr)"
+OUTCOMES = f"{tag_ctes(0)}, oc AS (SELECT probability AS p, list_contains(labels, label) AS y FROM pr)"
 
 
 def outcomes(spark, d) -> DataFrame:
-    test = tag_docs(spark, d)
-    p = tagger(spark, d).probabilities(test)
+    t, test = tags_evaluated(spark, d)
+    p = t.probabilities(test)
     return p.join(test.select("doc_id", "labels"), "doc_id").select(F.col("probability").alias("p"), F.array_contains("labels", F.col("label")).alias("y"))
 
 
@@ -495,19 +513,19 @@ def ece(spark, d):
     return metrics.calibration_error(outcomes(spark, d)).select(r("ece").alias("ece"))
 
 
-DIST = softmaxed(scored("cnb"))
+DIST = softmaxed(scored("cnb", part=0))
 
 
 @query(f"{DIST} SELECT round(avg(-ln(greatest(coalesce(score, 0), 1e-300))), 6) AS log_loss FROM td LEFT JOIN sm ON sm.doc_id = td.doc_id AND sm.category = td.label")
 def distribution_log_loss(spark, d):
-    test = split(spark, d, 0)
-    return metrics.distribution_log_loss(score.scores(model(spark, d, kind="complement-naive-bayes"), test), test).select(r("log_loss").alias("log_loss"))
+    m, test = evaluated(spark, d, kind="complement-naive-bayes")
+    return metrics.distribution_log_loss(score.scores(m, test), test).select(r("log_loss").alias("log_loss"))
 
 
 @query(f"{DIST}, oc AS (SELECT score AS p, category = label AS y FROM td JOIN best USING (doc_id)) {ECE}")
 def distribution_ece(spark, d):
-    test = split(spark, d, 0)
-    return metrics.distribution_calibration_error(score.scores(model(spark, d, kind="complement-naive-bayes"), test), test.select("doc_id", "label")).select(r("ece").alias("ece"))
+    m, test = evaluated(spark, d, kind="complement-naive-bayes")
+    return metrics.distribution_calibration_error(score.scores(m, test), test.select("doc_id", "label")).select(r("ece").alias("ece"))
 
 
 # Calibration.
@@ -516,8 +534,8 @@ GRID = [0.01, 0.1, 0.5, 1.0, 2.0, 10.0, 100.0]
 
 
 def held_vectors(spark, d) -> DataFrame:
-    held = split(spark, d, 1)
-    return calibrate.vectors(score.log_scores(model(spark, d, kind="complement-naive-bayes"), held), held)
+    m, held = evaluated(spark, d, held=True, kind="complement-naive-bayes")
+    return calibrate.vectors(score.log_scores(m, held), held)
 
 
 @query(f"{scored('cnb', part=1)}, own AS (SELECT ls.doc_id, max(log_score) AS top, max(CASE WHEN category = label THEN log_score END) AS own FROM ls JOIN td USING (doc_id) GROUP BY ls.doc_id), g AS (SELECT unnest({GRID}::DOUBLE[]) AS temperature) SELECT temperature, round(avg(nll), 6) AS nll FROM (SELECT temperature, least(ln(total) - (own - top) / temperature, -ln(1e-300)) AS nll FROM (SELECT temperature, own.doc_id, any_value(own.own) AS own, any_value(own.top) AS top, sum(exp((log_score - own.top) / temperature)) AS total FROM own JOIN ls ON ls.doc_id = own.doc_id CROSS JOIN g WHERE own.own IS NOT NULL GROUP BY temperature, own.doc_id)) GROUP BY temperature")
@@ -528,25 +546,34 @@ def temperature_grid_nll(spark, d):
 @query(f"{softmaxed(scored('cnb'), 0.5)} SELECT doc_id, category, round(score, 6) AS score FROM sm")
 def temperature_apply(spark, d):
     m = model(spark, d, kind="complement-naive-bayes", temperature=0.5)
-    return score.scores(m, split(spark, d, 0)).select("doc_id", "category", r("score").alias("score"))
+    return score.scores(m, documents(spark, d)).select("doc_id", "category", r("score").alias("score"))
 
 
-@query()
+@query(f"{scored('cnb', part=1)} SELECT count(DISTINCT td.doc_id) AS samples, true AS least FROM td JOIN ls ON ls.doc_id = td.doc_id AND ls.category = td.label")
 def temperature_fit(spark, d):
-    held = split(spark, d, 1)
-    t = calibrate.fit_temperature(score.log_scores(model(spark, d, kind="complement-naive-bayes"), held), held)
-    return spark.createDataFrame([(t.value, t.samples)], "temperature double, samples bigint")
+    """How many documents the fit used, and whether no temperature of a wide grid has a lower loss than the fitted one."""
+    held = scratch.kept(held_vectors(spark, d))
+    t = calibrate.fit_vectors(held)
+    grid = [math.exp(k / 10) for k in range(-46, 47)]
+    losses = held.agg(*(F.avg(calibrate.nll(F.lit(x))).alias(f"t{k}") for k, x in enumerate([t.value, *grid]))).first()
+    return spark.createDataFrame([(t.samples, losses[0] <= min(losses) + 1e-9)], "samples bigint, least boolean")
 
 
 def platt_values(spark, d) -> DataFrame:
-    held = tag_docs(spark, d, 1)
-    odds = tagger(spark, d).log_odds(held)
+    t, held = tags_evaluated(spark, d, held=True)
+    odds = t.log_odds(held)
     return odds.join(held.select("doc_id", "labels"), "doc_id").select("label", (F.col("log_odds") / 100).alias("value"), F.array_contains("labels", F.col("label")).alias("positive"))
 
 
-@query()
+@query(f"{tag_ctes(1)} SELECT category AS label, count(*) AS samples, true AS least FROM lb CROSS JOIN td GROUP BY category")
 def platt_fit(spark, d):
-    return calibrate.fit_platt(platt_values(spark, d))
+    """For each label how many values the fit used, and whether nowhere on a grid around the fit the loss is lower."""
+    values = scratch.kept(platt_values(spark, d))
+    fit = calibrate.fit_platt(values)
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0.0, -0.2, -0.01, 0.01, 0.2) for b in (0.0, -0.5, -0.01, 0.01, 0.5)))
+    losses = calibrate.platt_losses(values, fit.select("label", F.explode(steps).alias("s"), "slope", "intercept").select("label", (F.col("slope") + F.col("s.a")).alias("slope"), (F.col("intercept") + F.col("s.b")).alias("intercept"), ((F.col("s.a") == 0) & (F.col("s.b") == 0)).alias("own")))
+    by_label = losses.groupBy("label").agg(F.min("loss").alias("least_loss"), F.max(F.when(F.col("own"), F.col("loss"))).alias("own_loss"))
+    return by_label.join(fit, "label").select("label", "samples", (F.col("own_loss") <= F.col("least_loss") + 1e-6).alias("least"))
 
 
 @query(f"{tag_ctes(1)}, v AS (SELECT label, log_odds / 100 AS value, list_contains(labels, label) AS y FROM pr), t AS (SELECT *, 0.7 * value - 0.1 AS z, CASE WHEN y THEN (sum(y::INT) OVER w + 1) / (sum(y::INT) OVER w + 2) ELSE 1 / (sum(1 - y::INT) OVER w + 2) END AS t FROM v WINDOW w AS (PARTITION BY label)) SELECT label, round(sum(greatest(z, 0) - z * t + ln(1 + exp(-abs(z)))), 4) AS loss, round(sum((1 / (1 + exp(-z)) - t) * value), 4) AS g_slope, round(sum(1 / (1 + exp(-z)) - t), 4) AS g_intercept FROM t GROUP BY label")
@@ -559,10 +586,7 @@ def platt_gradient(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/bayesloom-{uuid.uuid4().hex}"
+    return scratch.fresh_dir(spark, "registry")
 
 
 @query(CELLS)
@@ -589,10 +613,6 @@ def registry_log_scores(spark, d):
     return log_score_rows(registry.load("langs"), spark, d)
 
 
-def _to_log(docs: DataFrame) -> DataFrame:
-    return train.training_log(_part(docs, lambda p: p >= 2), F.col("lang"), WordTokenizer().column(F.col("text")))
-
-
 def _stream_source(spark: SparkSession, d: str) -> tuple[str, object]:
     """A folder that the file source can watch, and its schema."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
@@ -604,41 +624,42 @@ def _stream_source(spark: SparkSession, d: str) -> tuple[str, object]:
 @query(CELLS)
 def stream_train_cells(spark, d):
     path, schema = _stream_source(spark, d)
-    return trainer.stream_cells(spark, path, schema, _to_log, f"{_folder(spark)}/checkpoint")
+    return trainer.stream_cells(spark, path, schema, log_of, _folder(spark))
 
 
 @query(CELLS)
 def stream_registry_cells(spark, d):
     path, schema = _stream_source(spark, d)
     registry = Registry(spark, _folder(spark))
-    stream = _to_log(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
+    stream = log_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
     trainer.train_stream(stream, registry, "langs", f"{_folder(spark)}/checkpoint").awaitTermination()
     return registry.load("langs").cells
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
-    test = _part(table(spark, d, "documents"), lambda p: p == 0)
-    return test.select(F.col("doc_id").alias("req_id"), F.lit("classify").alias("action"), "text", F.lit(None).cast("string").alias("category"), none.alias("context"), none.alias("candidates"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("req_id"), F.lit("classify").alias("action"), "text", F.lit(None).cast("string").alias("category"), none.alias("context"), none.alias("candidates"))
 
 
-@query(f"{softmaxed(scored())} SELECT best.doc_id AS req_id, CASE WHEN strlen(text) > 4096 THEN 413 ELSE 200 END AS status, CASE WHEN strlen(text) > 4096 THEN NULL ELSE category END AS category FROM best JOIN documents ON documents.doc_id = best.doc_id")
+@query(f"{softmaxed(scored())} SELECT d.doc_id AS req_id, CASE WHEN d.text IS NULL THEN 400 WHEN strlen(d.text) > 65536 THEN 413 ELSE 200 END AS status, sm.category, round(sm.score, 6) AS score, sm.category = best.category AS is_best FROM documents d LEFT JOIN sm ON sm.doc_id = d.doc_id AND strlen(d.text) <= 65536 LEFT JOIN best ON best.doc_id = sm.doc_id")
 def service_classify(spark, d):
-    out = Service(model(spark, d), max_text_bytes=4096).respond(requests(spark, d))
-    return out.select("req_id", "status", F.get_json_object("response", "$.category").alias("category"))
+    out = Service(model(spark, d)).respond(requests(spark, d))
+    scores = F.from_json(F.get_json_object("response", "$.scores"), "map<string,double>")
+    each = out.select("req_id", "status", F.get_json_object("response", "$.category").alias("top"), F.explode_outer(scores).alias("category", "score"))
+    return each.select("req_id", "status", "category", r("score").alias("score"), (F.col("category") == F.col("top")).alias("is_best"))
 
 
-@query(f"{tag_ctes()} SELECT doc_id AS req_id, count(*) FILTER (WHERE probability >= 0.5) AS tags FROM pr GROUP BY doc_id")
+@query(f"{tag_ctes()} SELECT d.doc_id AS req_id, pr.label, round(pr.probability, 6) AS probability FROM documents d LEFT JOIN pr ON pr.doc_id = d.doc_id AND pr.probability >= 0.5 AND d.text IS NOT NULL")
 def service_tag(spark, d):
-    t = Tagger(tagger(spark, d).model, TagSettings(0.5, 0))
-    docs = tagged(spark, d).where("doc_id % 5 = 0").select(F.col("doc_id").alias("req_id"), F.lit("tag").alias("action"), "text")
+    t = tagger(spark, d, 0)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("req_id"), F.lit("tag").alias("action"), "text")
     none = F.lit(None).cast("array<string>")
     out = Service(t.model, t, max_text_bytes=0).respond(docs.withColumns({"category": F.lit(None).cast("string"), "context": none, "candidates": none}))
     tags = F.from_json(F.get_json_object("response", "$.tags"), "map<string,double>")
-    return out.select("req_id", F.size(tags).cast("bigint").alias("tags"))
+    return out.select("req_id", F.explode_outer(tags).alias("label", "probability")).select("req_id", "label", r("probability").alias("probability"))
 
 
-@query(f"{softmaxed(scored(base=PART_STATS, docs=PROBES))} SELECT split_part(doc_id, '|', 1) AS brand, count(*) AS candidates, round(max(score), 6) AS best FROM sm WHERE category = 'liked' GROUP BY ALL")
+@query(f"{softmaxed(scored(base=PART_STATS, docs=PROBES))} SELECT split_part(doc_id, '|', 1) AS brand, split_part(doc_id, '|', 2) AS candidate, round(score, 6) AS score FROM sm WHERE category = 'liked'")
 def service_recommend(spark, d):
     part = table(spark, d, "part")
     log = train.training_log(part, F.when(F.col("p_size") > 25, "liked").otherwise("ignored"), WordTokenizer().column(F.concat_ws(" ", "p_name", "p_type")), "p_partkey")
@@ -647,7 +668,7 @@ def service_recommend(spark, d):
     asks = brands.select("req_id", F.lit("recommend").alias("action"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("category"), F.array("brand").alias("context")).crossJoin(F.broadcast(types))
     out = Service(Model.fit(log), max_candidates=0).respond(asks).join(brands, "req_id")
     scores = F.from_json(F.get_json_object("response", "$.scores"), "map<string,double>")
-    return out.select("brand", F.size(scores).cast("bigint").alias("candidates"), r(F.array_max(F.map_values(scores))).alias("best"))
+    return out.select("brand", F.explode(scores).alias("candidate", "score")).select("brand", "candidate", r("score").alias("score"))
 
 
 # Scalar functions.
@@ -667,7 +688,7 @@ def log_add(spark, d):
 
 @query(f"SELECT b, round(max(a) + ln(sum(exp(a - m))), 6) AS v FROM (SELECT b, a, max(a) OVER (PARTITION BY b) AS m FROM {VALUES}) GROUP BY b")
 def log_sum(spark, d):
-    return _values(spark, d).groupBy("b").agg(r(maths.log_sum(F.col("a"))).alias("v"))
+    return maths.log_sum(_values(spark, d), "a", "b").select("b", r("log_sum").alias("v"))
 
 
 @query(f"SELECT event_id, CASE WHEN a >= 0 THEN NULL ELSE round(ln(1 - exp(a)), 6) END AS v FROM {VALUES}")
@@ -681,7 +702,7 @@ def sigmoid(spark, d):
     return _values(spark, d).select("event_id", r(maths.sigmoid(F.col("a"))).alias("v"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(event_type AS BIGINT), 7) AS i, value AS f, CASE WHEN event_type IN ('', '0') THEN false ELSE true END AS b FROM events")
+@query("SELECT event_id, coalesce(TRY_CAST(event_type AS BIGINT), 7) AS i, value AS f, CASE WHEN event_type IN ('', '0') THEN false ELSE true END AS b, user_id % 3 <> 0 AS whole, (user_id % 3) / 2 <> 0 AS fraction, CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE true END AS said FROM events")
 def payload_coercions(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", coerce.to_int(F.col("event_type"), 7).alias("i"), coerce.to_float(F.col("value")).alias("f"), coerce.to_bool(F.col("event_type")).alias("b"))
+    return e.select("event_id", coerce.to_int(F.col("event_type"), 7).alias("i"), coerce.to_float(F.col("value")).alias("f"), coerce.to_bool(F.col("event_type")).alias("b"), coerce.to_bool(F.col("user_id") % 3).alias("whole"), coerce.to_bool((F.col("user_id") % 3) / 2).alias("fraction"), coerce.to_bool(F.element_at(F.array(*map(F.lit, ("false", "0.0", "0", "no"))), (F.col("user_id") % 4 + 1).cast("int"))).alias("said"))

@@ -14,7 +14,8 @@ from bayesloom.operators import calibrate, metrics, recommend, score, train, vie
 from bayesloom.operators.model import Model
 from bayesloom.operators.tag import Tagger, TagSettings
 from bayesloom.plans.engine import Engine, Service
-from bayesloom.sources import payload
+from bayesloom.sources import histograms, payload
+from bayesloom.sources.jdbc import JdbcRegistry, encode_token
 from bayesloom.sources.registry import MemoryRegistry, Registry
 from bayesloom.streaming import trainer
 
@@ -130,7 +131,7 @@ def test_histograms(spark):
     assert keys == dict.fromkeys(["d2:spam", "d1:spam", "d1:ham", "d2:ham", "g4", "g1", "g2", "a4:spam", "a1:spam", "a4:ham", "a2:ham", "k1:spam", "k0:spam", "k3:ham", "k0:ham"], 1)
     cats = spark.createDataFrame([("spam",), ("ham",), ("new",)], "category string")
     got = {}
-    for r in views.complement_counts(cells, cats).collect():
+    for r in views.complement_counts(views.histogram(cells), cats).collect():
         got.setdefault(r["category"], {})[r["val"]] = r["cnt"]
     assert got == {"spam": {0: 1, 1: 1, 2: 1}, "ham": {0: 1, 1: 1, 3: 1}, "new": {1: 1, 2: 1, 4: 1}}
     after = cells.where("token <> 'cheap' or category <> 'spam'").unionAll(spark.createDataFrame([("spam", "cheap", 4, 3), ("spam", "new", 1, 1)], cells.schema))
@@ -298,5 +299,193 @@ def test_log_space(spark):
     assert val(maths.log_add(F.lit(-inf), F.lit(-inf))) == -inf
     assert val(maths.log_complement(F.lit(0.0))) == -inf
     assert val(maths.sigmoid(F.lit(-800.0))) == 0
-    assert spark.createDataFrame([(-inf,), (0.0,), (0.0,)], "x double").agg(maths.log_sum(F.col("x"))).first()[0] == pytest.approx(math.log(2))
-    assert spark.createDataFrame([], "x double").agg(maths.log_sum(F.col("x"))).first()[0] == -inf
+    total = lambda rows: maths.log_sum(spark.createDataFrame([(x,) for x in rows], "x double"), "x").first()[0]
+    assert total([-inf, 0.0, 0.0]) == pytest.approx(math.log(2)) and total([]) == -inf and total([-inf]) == -inf and total([inf, 1.0]) == inf
+    keyed = spark.createDataFrame([("a", 1000.0), ("a", 1000.0), (None, -1000.0)], "k string, x double")
+    assert {r["k"]: r["log_sum"] for r in maths.log_sum(keyed, "x", "k").collect()} == {"a": pytest.approx(1000 + math.log(2)), None: -1000.0}
+
+
+def test_one_of_several_writers_publishes(spark, tmp_path):
+    """Four writers add a document each, again and again; none is lost, and a stale one is refused."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    reg = Registry(spark, f"file://{tmp_path}")
+    cells = "category string, token string, cnt bigint, doc_cnt bigint"
+
+    def more(old):
+        n = 0 if old is None else old.categories.first()["doc_count"]
+        return Model(spark.createDataFrame([("a", "x", n + 1, n + 1)], cells), spark.createDataFrame([("a", 1, n + 1, n + 1)], "category string, cat_order int, doc_count bigint, total_tokens bigint"), name="m")
+
+    def writer(_):
+        for _ in range(2):
+            reg.update("m", more, attempts=50)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(writer, range(4)))
+    assert reg.generation("m") == 8 and reg.load("m").categories.first()["doc_count"] == 8
+    at = reg.generation("m")
+    assert reg._publish("m", at + 1, "theirs") and not reg._publish("m", at + 1, "ours") and reg._read("m", f"_CURRENT-{at + 1}") == "theirs"
+    (tmp_path / "m" / f"_CURRENT-{at + 1}").unlink()
+    (tmp_path / "m" / "tables-lost").mkdir()  # a writer that died before it published
+    assert reg.load("m").categories.first()["doc_count"] == 8
+    own = reg._read("m", f"_CURRENT-{at}")
+    for f in (tmp_path / "m" / f"tables-{own}" / "meta").glob("part-*"):
+        f.write_bytes(b"no parquet")
+    for f in (tmp_path / "m" / f"tables-{own}" / "meta").glob(".part-*"):
+        f.unlink()
+    assert reg.load("m") is None
+
+
+def test_registry_tokens(spark, tmp_path):
+    reg = Registry(spark, f"file://{tmp_path}")
+    reg.save(Model.fit(log_of(spark, SPAM), name="m"))
+    ask = spark.createDataFrame([("cheap",), ("cheap",), ("tomorrow",), ("never",)], "token string")
+    assert sorted(tuple(r)[:3] for r in reg.tokens("m", ask).select("category", "token", "cnt").collect()) == [("ham", "tomorrow", 1), ("spam", "cheap", 2)]
+    assert reg.tokens("m", ask.limit(0)).count() == 0
+
+
+def test_stored_histograms(spark, tmp_path):
+    reg = Registry(spark, f"file://{tmp_path}")
+    as_set = lambda df: {tuple(r) for r in df.select("fam", "category", "val", "cnt").collect()}
+    more = log_of(spark, [("spam", "cheap cheap meeting"), ("news", "election results")])
+
+    def batch(name):
+        old = reg.load(name)
+        new = old.with_(cells=trainer.fold(old.cells, trainer.signed(more)), categories=trainer.fold_categories(old.categories, more), histogram=None)
+        reg.save(new, reg.generation(name), **histograms.follow(reg, old, new, more.select(F.explode("tokens").alias("token"))))
+
+    for mode in histograms.MODES:
+        reg.save(Model.fit(log_of(spark, SPAM), name=mode))
+        histograms.start(reg, mode, mode)
+        first = as_set(reg.histogram(mode))
+        assert first == as_set(views.histogram(reg.load(mode).cells))
+        batch(mode)
+        now = as_set(views.histogram(reg.load(mode).cells))
+        assert as_set(reg.histogram(mode)) == (now if mode == "immediate" else first)
+        assert histograms.pending_tokens(reg, mode) == (4 if mode == "deferred" else 0)
+        if mode == "deferred":
+            batch(mode)  # tokens that are journalled keep the cells they were counted with
+            assert histograms.maintain(reg, mode, limit=3) == 1
+        assert histograms.maintain(reg, mode) == 0
+        m = reg.load(mode)
+        assert as_set(reg.histogram(mode)) == as_set(views.histogram(m.cells)) and as_set(m.counts("d")) == as_set(views.histogram(m.cells, ("d",)))
+        docs = docs_of(spark, ["cheap election"])
+        for kind in ("bernoulli-naive-bayes", "complement-naive-bayes"):
+            assert scores_of(m.with_(kind=kind), docs) == pytest.approx(scores_of(m.with_(kind=kind, histogram=None), docs))
+    histograms.start(reg, "deferred", "deferred", ("d",))
+    assert histograms.mode_of(reg.load("deferred")) == ("immediate", ("d",))
+    with pytest.raises(BayesError):
+        histograms.start(reg, "deferred", "sometimes")
+
+
+@pytest.mark.parametrize("mode", ["token", "payload"])
+def test_jdbc(spark, tmp_path, mode):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    reg = JdbcRegistry(spark, url, mode)
+    m = Model.fit(log_of(spark, SPAM), name="m", tokenizer=NGramTokenizer(2), temperature=2.0)
+    docs = docs_of(spark, ["cheap prices now"])
+    assert reg.load("m") is None and not reg.exists("m")
+    reg.save(m)
+    reg.save(m)
+    back = reg.load("m")
+    assert scores_of(back, docs) == pytest.approx(scores_of(m, docs)) and back.tokenizer == m.tokenizer and reg.list() == ["m"]
+    with pytest.raises(BayesError) as e:
+        JdbcRegistry(spark, url, "payload" if mode == "token" else "token").load("m")
+    assert e.value.code == "mode_mismatch"
+    reg.delete("m")
+    assert reg.list() == []
+    for bad in ({"mode": "other"}, {"table": "x; drop"}, {"table": "t" * 49}):
+        with pytest.raises(BayesError):
+            JdbcRegistry(spark, url, **bad)
+    key = spark.createDataFrame([("x" * 192,), ("y" * 191,)], "t string").select(encode_token(F.col("t"))).collect()
+    assert len(key[0][0]) == 191 and key[0][0].startswith("x" * 150 + "~") and key[1][0] == "y" * 191
+
+
+def test_payloads_are_bounded_and_converted(spark, tmp_path):
+    reg = Registry(spark, f"file://{tmp_path}")
+    one, two = (payload.export(Model.fit(log_of(spark, SPAM), name=n)) for n in ("one", "two"))
+    assert payload.convert_all(one.unionAll(two), reg) == ["one", "two"] == reg.list()
+    with pytest.raises(BayesError) as e:
+        payload.export(Model.fit(log_of(spark, SPAM)), most=3)
+    assert e.value.code == "payload_too_large"
+
+
+def test_a_kind_of_ones_own(spark):
+    def flat(model, docs, grid):
+        return score._rows(docs.select("doc_id"), grid, lambda i, r: F.lit(float(r["cat_order"])))
+
+    score.register_kind("flat", flat)
+    assert score.classify(Model.fit(log_of(spark, SPAM), kind="flat"), docs_of(spark, ["x"])).first()["category"] == "ham"
+    with pytest.raises(BayesError):
+        score.register_kind("other", flat, ("nothing",))
+
+
+def test_many_categories_take_several_passes(spark, monkeypatch):
+    m = Model.fit(log_of(spark, [*SPAM, ("news", "election results tomorrow"), ("x", "pills and reports")]))
+    docs = docs_of(spark, ["cheap election pills", ""])
+    want = scores_of(m, docs)
+    monkeypatch.setattr(score, "CATEGORIES_AT_ONCE", 3)
+    assert scores_of(m, docs) == pytest.approx(want)
+    t, held = tagger_of(spark), docs_of(spark, ["sql query flour"])
+    odds = {r["label"]: r["log_odds"] for r in t.log_odds(held).collect()}
+    monkeypatch.setattr(score, "CATEGORIES_AT_ONCE", 1)
+    assert {r["label"]: r["log_odds"] for r in t.log_odds(held).collect()} == pytest.approx(odds)
+
+
+def test_counted_in_place(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "id int, tokens array<string>")
+    rows = lambda **o: sorted(map(tuple, train.counted(df, "id", **o).collect()), key=repr)
+    assert rows() == [(1, "a", 1), (1, "b", 2)]
+    assert rows(outer=True) == [(1, "a", 1), (1, "b", 2), (2, None, 0), (3, None, 0)]
+    assert rows(whole=True) == [(1, "a", 1), (1, "b", 2), (1, None, 3), (2, None, 0), (3, None, 0)]
+
+
+def test_replay_of_many_blocks(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, r.choice("ab"), [r.choice("xy") for _ in range(r.randrange(3))], r.choice((1, 1, -1))) for i in range(60)]
+    want = {}
+    for _, c, tokens, sign in rows:
+        for t in set(tokens):
+            cnt, docs = want.get((c, t), (0, 0))
+            want[c, t] = (max(0, cnt + sign * tokens.count(t)), max(0, docs + sign))
+    log = spark.createDataFrame(rows, "seq bigint, category string, tokens array<string>, sign int")
+    for blocks in (1, 7, 1000):
+        got = {(x["category"], x["token"]): (x["cnt"], x["doc_cnt"]) for x in train.replay(log, blocks).collect()}
+        assert got == {k: v for k, v in want.items() if v[0] > 0}
+
+
+def test_recommend_trims_before_it_compares(spark):
+    ask = spark.createDataFrame([(1, None, ["a", " a", "\tb\n", "\x0b", "b"])], "ctx_id int, context array<string>, candidates array<string>")
+    assert [(r["candidate"], r["text"]) for r in recommend.probes(ask).collect()] == [("a", "a"), ("b", "b")]
+
+
+def test_requests_of_json(spark):
+    from bayesloom.plans import engine
+
+    bodies = ['{"text": "cheap pills"}', '{"action": "recommend", "context": "red", "candidates": ["hat", 5]}', '{"action": "recommend", "candidates": [["x"]]}', '{"text": {"a": 1}}', "{oops", '{"text": "[not a list"}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "req_id bigint, body string")
+    got = {r["req_id"]: r for r in engine.parse(df).collect()}
+    assert [got[i]["malformed"] for i in range(6)] == [False, False, True, True, True, False]
+    assert got[1]["context"] == ["red"] and got[1]["candidates"] == ["hat", "5"] and got[5]["text"] == "[not a list"
+    m = Model.fit(log_of(spark, SPAM), name="m")
+    status = lambda model: {r["req_id"]: (r["status"], r["error"]) for r in Service(model).respond(engine.parse(df)).collect()}
+    assert status(m)[0] == (200, None) and status(m)[3] == (400, "parameter_invalid")
+    empty = Model.fit(log_of(spark, SPAM).limit(0))
+    assert status(empty)[0] == (503, "untrained")
+    row = score.classify(empty, docs_of(spark, ["a"])).first()
+    assert row["error"] == "untrained" and row["category"] is None
+
+
+def test_every_code_has_a_message():
+    import re
+    from pathlib import Path
+
+    from bayesloom import errors
+
+    root = Path(errors.__file__).parent
+    text = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.parts and p.name != "errors.py")
+    raised = set(re.findall(r'BayesError\("(\w+)"', text))
+    named = set(re.findall(r'"(\w+)"', text))
+    assert raised <= set(errors.CODES) and set(errors.CODES) <= named and set(errors.STATUS) <= set(errors.CODES)
