@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, text_column
+from .common import checkpointed, chunks, ragged, small_batches, text_column, tidy
 
 RADIUS = 2
 SPLIT = 4096
@@ -62,6 +63,7 @@ def fingerprint(text: str | None, n: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every document; fp is the fingerprint as a signed 64-bit integer."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,36 +71,60 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in text_column(part).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 class BitPlanes:
-    """A set of fingerprints stored by bit: plane i holds bit i of 64 fingerprints in each word."""
+    """A set of fingerprints stored by bit: plane i holds bit i of 64 fingerprints in each word.
+
+    A cell is a word for a query: 64 distances that are counted at once. Planes that split the set most evenly come first,
+    and every eighth plane the cells all of whose lanes are over the radius are abandoned. ``visited`` counts the planes
+    of cells that were read.
+    """
+
+    STEP = 8
 
     def __init__(self, fps: np.ndarray):
-        self.n = len(fps)
+        self.n, self.visited = len(fps), 0
         words = -(-self.n // 64)
         padded = np.zeros(words * 64, np.uint64)
         padded[: self.n] = fps
         bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # lane, bit
         self.planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")  # bit, word
         self.valid = np.packbits(np.arange(words * 64) < self.n, bitorder="little").view("<u8")
-
-    def within(self, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-        """For each query a row of words whose set lanes are at most ``radius`` bits away."""
-        width = (radius + 1).bit_length()
-        sums = [np.zeros((len(queries), len(self.valid)), np.uint64) for _ in range(width)]
-        over = np.zeros_like(sums[0])
-        for i in range(64):
-            flip = (np.uint64(0) - ((queries >> np.uint64(i)) & np.uint64(1)))[:, None]
-            carry = self.planes[i][None, :] ^ flip
+        self.order = np.argsort(np.abs(2 * bits[: self.n].sum(0, dtype=np.int64) - self.n), kind="stable").tolist()
+
+    def within(self, queries: np.ndarray, radius: int = RADIUS, own: np.ndarray | None = None) -> np.ndarray:
+        """For each query a row of words whose set lanes are at most ``radius`` bits away; its ``own`` lane is left out."""
+        words = len(self.valid)
+        out = np.zeros((len(queries), words), np.uint64)
+        wanted = np.tile(self.valid, (len(queries), 1))
+        if own is not None:
+            wanted[np.arange(len(queries)), own >> 6] &= ~(np.uint64(1) << (own & 63).astype(np.uint64))
+        wanted = wanted.ravel()
+        cell = np.flatnonzero(wanted)
+        wanted = wanted[cell]
+        sums = [np.zeros(len(cell), np.uint64) for _ in range((radius + 1).bit_length())]
+        over = np.zeros(len(cell), np.uint64)
+        query, word = np.divmod(cell, words)
+        for step, i in enumerate(self.order, 1):
+            flip = np.uint64(0) - ((queries >> np.uint64(i)) & np.uint64(1))
+            carry = self.planes[i][word] ^ flip[query]
             for s in sums:
                 s ^= carry
                 carry &= ~s
             over |= carry
-            if i % 8 == 7 and i > radius and np.all((over | self._beyond(sums, radius) | ~self.valid) == ~np.uint64(0)):
-                return np.zeros_like(over)
-        return ~(over | self._beyond(sums, radius)) & self.valid
+            self.visited += len(cell)
+            if step % self.STEP == 0:
+                near = wanted & ~(over | self._beyond(sums, radius))
+                stay = np.flatnonzero(near)
+                if not len(stay):
+                    return out
+                if len(stay) < len(cell):
+                    cell, wanted, over, query, word = cell[stay], near[stay], over[stay], query[stay], word[stay]
+                    sums = [s[stay] for s in sums]
+        out.ravel()[cell] = wanted & ~(over | self._beyond(sums, radius))
+        return out
 
     @staticmethod
     def _beyond(sums: list[np.ndarray], radius: int) -> np.ndarray:
@@ -130,7 +156,8 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         while len(front):
             reached = np.zeros_like(unseen)
             for at in range(0, len(front), TILE):
-                reached |= np.bitwise_or.reduce(sliced.within(fps[front[at : at + TILE]], radius), axis=0)
+                tile = front[at : at + TILE]
+                reached |= np.bitwise_or.reduce(sliced.within(fps[tile], radius, tile), axis=0)
             reached &= unseen
             unseen &= ~reached
             front = np.flatnonzero(np.unpackbits(reached.view(np.uint8), bitorder="little"))
@@ -188,7 +215,7 @@ def edges(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
             key = F.shiftleft(F.col("key"), 16).bitwiseOR(F.shiftleft(_block(free[i], 8), 8)).bitwiseOR(_block(free[j], 8))
             again.append(F.when(F.col("t") == t, F.struct(F.lit(6 + 6 * t + u).alias("t"), key.alias("key"))))
     large = sized.where(F.col("size") > split).select("fp", F.explode(F.array_compact(F.array(*again))).alias("d")).select(F.col("d.t").alias("t"), F.col("d.key").alias("key"), "fp")
-    return small.unionAll(large).repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_edges, "a bigint, b bigint").distinct()
+    return small.unionAll(large).repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(tidy(_edges), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -233,103 +260,141 @@ def grouped(fps: DataFrame) -> DataFrame:
 SLOTS, BANDS, ROWS = 256, 16, 3
 #: Within this radius of SimHash a high estimate links two texts; over it the shingle sets decide on every likely pair.
 WIDE = 20
-#: Texts of one bucket that are compared in one task; larger buckets are compared by pairs of such parts.
-TILE_TEXTS = 4096
+#: Texts of one bucket, and bytes of their sets, that are compared in one go; larger buckets are compared by pairs of such parts.
+TILE_TEXTS, TILE_BYTES = 4096, 16 << 20
 _rng = np.random.Generator(np.random.PCG64(7))
-_multipliers = _rng.integers(1, 1 << 63, SLOTS // 2, np.uint64) << np.uint64(1) | np.uint64(1)
+_odd = _rng.integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 
 
-def signature(text: str | None, n: int) -> tuple[int, np.ndarray]:
-    """(SimHash of the set of shingles, its minimum under each of SLOTS hash functions)."""
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, ascending."""
     joined, starts, ends = shingles(text or "", n)
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def signature(text: str | None, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(SimHash of the set of shingles, its minimum under each of BANDS * ROWS hash functions, a byte for each of SLOTS bins).
+
+    A bin holds the hashes of equal first bits, and its byte stands for the least of them; 0 marks an empty bin.
+    """
+    h = shingle_set(text, n)
+    slots = np.zeros(SLOTS, np.uint8)
     if not len(h):
-        return 0, np.zeros(SLOTS, np.uint32)
-    ones, least = np.zeros(64, np.int64), np.full((SLOTS // 2, 2), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 1 << 12):
-        part = h[at : at + (1 << 12)]
+        return 0, np.zeros(BANDS * ROWS, np.uint32), slots
+    ones, least = np.zeros(64, np.int64), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 1 << 11):
+        part = h[at : at + (1 << 11)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        x = part[None, :] * _multipliers[:, None]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        least = np.minimum(least, x.view(np.uint32).reshape(SLOTS // 2, -1, 2).min(1))
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]), least.ravel()
-
-
-def limits(similarity: float, tail: float) -> tuple[int, int]:
-    """(equal slots from which a pair may be similar, equal slots from which it is): at the threshold a pair lies under the
-    first, or over the second, in at most ``tail`` of cases each."""
-    p = similarity + (1 - similarity) / 256  # slots keep 8 bits of a minimum
-    chance = [math.comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k) for k in range(SLOTS + 1)]
-    under = np.cumsum([0, *chance])
-    over = np.cumsum([0, *chance[::-1]])[::-1]
-    return int(np.flatnonzero(under[: SLOTS + 1] <= tail).max()), int(np.flatnonzero(over <= tail).min())
-
-
-def _equal_slots(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """How many slots of each signature equal those of ``one``; eight are counted at once."""
-    lanes = (sigs == one).view(np.uint64).sum(1)
-    return lanes.view(np.uint8).reshape(-1, 8).sum(1, dtype=np.int64)
-
-
-def _similar_links(fps: np.ndarray, sigs: np.ndarray, maybe: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first of each text's component by ``sure`` or more equal slots, pairs between components from ``maybe`` on)."""
-    sliced, root = BitPlanes(fps), np.arange(len(fps))
-    open_pairs = []
-    for q in range(len(fps)):
-        later = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
-        near = np.unpackbits(sliced.within(fps[q : q + 1], WIDE)[0].view(np.uint8), bitorder="little")[later].astype(bool)
-        alike = _equal_slots(sigs[later], sigs[q])
-        linking = near & (alike >= sure)
-        for j in later[linking].tolist():
+        x = part.astype(np.uint32)[None, :] * _odd[0]
+        x ^= x >> np.uint32(15)
+        x *= _odd[1]
+        least = np.minimum(least, x.min(1))
+    bins = (h >> np.uint64(56)).astype(np.int64)
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])
+    slots[bins[first]] = (h[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]), least, slots
+
+
+@lru_cache
+def limits(similarity: float, tail: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each number m of bins that either of two texts fills: (equal bins from which the pair may be similar, equal bins
+    from which it is). At the threshold a pair lies under the first, or over the second, in at most ``tail`` of cases each.
+
+    The least hashes of m bins are a random part of the union, so that the equal ones follow a hypergeometric law; its
+    tails are bounded by those of the binomial law, which are taken here. Where m is too small for a verdict the limits are
+    0 and m + 1, and the shingle sets decide.
+    """
+    p = similarity + (1 - similarity) / 255  # a bin keeps a byte of its least hash
+    low, high = np.zeros(SLOTS + 1, np.int64), np.ones(SLOTS + 1, np.int64)
+    for m in range(1, SLOTS + 1):
+        chance = [math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1)]
+        under = np.cumsum([0, *chance])
+        over = np.cumsum([0, *chance[::-1]])[::-1]
+        low[m], high[m] = np.flatnonzero(under[: m + 1] <= tail).max(), np.flatnonzero(over <= tail).min()
+    return low, high
+
+
+def _equal_bins(sigs: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bins of each signature that equal those of ``one``, bins that either fills); eight are counted at once."""
+    count = lambda mask: mask.view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1, dtype=np.int64)
+    same, empty = count(sigs == one), count((sigs | one) == 0)
+    return same - empty, SLOTS - empty
+
+
+class Sets:
+    """Sets of shingles of one bucket, for exact similarities of one text to many others at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.at = np.cumsum(self.sizes) - self.sizes
+        universe, members = np.unique(np.concatenate(sets), return_inverse=True)
+        self.members, self.mark = members.astype(np.int32), np.zeros(len(universe), bool)
+
+    def similarities(self, q: int, others: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+        own = self.members[self.at[q] : self.at[q] + self.sizes[q]]
+        self.mark[own] = True
+        ends, common = np.cumsum(self.sizes[others]), []
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(at_once, ends[-1] + at_once, at_once)), len(others)])
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            part = others[s:e]
+            hit = np.concatenate([[0], np.cumsum(self.mark[self.members[ragged(self.at[part], self.sizes[part])]])])
+            upto = np.cumsum(self.sizes[part])
+            common.append(hit[upto] - hit[upto - self.sizes[part]])
+        self.mark[own] = False
+        n = np.concatenate(common)
+        union = self.sizes[q] + self.sizes[others] - n
+        return np.where(union > 0, n / np.maximum(union, 1), 1.0)  # texts without words are alike
+
+
+def _similar_links(fps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], part: np.ndarray, similarity: float, tail: float) -> np.ndarray:
+    """For each text of a tile the place of the first of its component. Texts of two parts are compared across the parts.
+
+    The estimates come first; whom they leave open, and no link has joined yet, the sets of shingles decide on.
+    """
+    n, (maybe, sure) = len(fps), limits(similarity, tail)
+    sliced, root, exact = BitPlanes(fps), np.arange(n), None
+    across = part.min() != part.max()
+
+    def join(q: int, others: np.ndarray) -> None:
+        for j in others.tolist():
             if root[j] != root[q]:
                 one, two = sorted((root[j], root[q]))
                 root[root == two] = one
-        between = later[(alike >= maybe) & ~linking]
-        open_pairs.append(np.stack([np.full(len(between), q), between], 1))
-    pairs = np.concatenate(open_pairs)
-    return root, pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
-
 
-def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, j) of ``pairs(a, b)`` of rows of ``texts(row, text)``: the exact similarity of their sets of shingles."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    schema = pa.schema([("row", pa.int64()), ("hashes", pa.binary())])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            out = []
-            for t in text_column(part).to_pylist():
-                joined, starts, ends = shingles(t, shingle)
-                out.append(np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)], np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], schema=schema)
-
-    sets = checkpointed(texts.join(nodes, "row").select("row", "text").dropDuplicates(["row"]).mapInArrow(hashed, "row bigint, hashes binary"))
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(n / max(1, len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, j double")
+    for q in range(n - 1):
+        if q % TILE == 0:
+            tile = np.arange(q, min(q + TILE, n))
+            near = np.unpackbits(sliced.within(fps[tile], WIDE, tile).view(np.uint8), axis=1, bitorder="little")
+        later = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
+        if across:
+            later = later[part[later] != part[q]]
+        if not len(later):
+            continue
+        alike, filled = _equal_bins(sigs[later], sigs[q])
+        linking = (near[q % TILE][later] > 0) & (alike >= sure[filled])
+        join(q, later[linking])
+        left = later[(alike >= maybe[filled]) & ~linking]
+        left = left[root[left] != root[q]]
+        if len(left):
+            exact = exact or Sets(sets)
+            join(q, left[exact.similarities(q, left) >= similarity])
+    return root
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tail: float = 1e-5) -> DataFrame:
     """(row, component) of each distinct text, row = xxhash64(text): components of texts of that similarity.
 
-    Texts meet in buckets of equal minima (16 bands of 3: two texts of similarity 0.8 miss each other once in 100,000),
-    are compared there by their 256-slot signatures, which estimate the Jaccard similarity of the shingle sets with a
-    deviation of 0.025, and by bit-sliced SimHash of the sets. The estimate decides alone only where at most ``tail`` of the
-    pairs at the threshold get so low or so high a one (about 4.4 deviations either side), and links only within the wide
-    radius of SimHash; of all other pairs the shingle sets themselves decide. A pair of similarity 0.8 is missed about twice
-    in 100,000 (bands and estimate), one just below is linked once in 100,000 at most.
+    Texts meet in buckets of equal minima (16 bands of 3: two texts of similarity 0.8 miss each other once in 100,000);
+    of buckets that hold the same texts one is compared. There the texts' 256 bins estimate the Jaccard similarity of the
+    shingle sets with a deviation of at most 0.025, beside a bit-sliced SimHash of the sets. The estimate decides alone only
+    where at most ``tail`` of the pairs at the threshold get so low or so high a one (about 4.4 deviations either side),
+    and links only within the wide radius of SimHash; of all other pairs the shingle sets themselves decide. A pair of
+    similarity 0.8 is missed about twice in 100,000 (bands and estimate), one just below is linked once in 100,000 at most.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64("text").alias("row"), "text")
     schema = pa.schema([("row", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -337,45 +402,50 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tail: fl
         for part in chunks(batches):
             got = [signature(t, shingle) for t in text_column(part).to_pylist()]
             fps = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            least = np.array([g[1] for g in got], np.uint32).reshape(-1, SLOTS)
-            bands = [[xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - (1 << 63) for b in range(BANDS)] for row in least]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([r.astype(np.uint8).tobytes() for r in least], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            bands = [[xxhash.xxh64_intdigest(g[1][ROWS * b : ROWS * (b + 1)].tobytes(), b) - (1 << 63) for b in range(BANDS)] for g in got]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([g[2].tobytes() for g in got], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    signed = checkpointed(texts.mapInArrow(sign, "row bigint, fp bigint, sig binary, bands array<bigint>").dropDuplicates(["row"]))
+    signed = checkpointed(texts.mapInArrow(tidy(sign), "row bigint, fp bigint, sig binary, bands array<bigint>").dropDuplicates(["row"]))
     dealt = signed.select("row", F.explode("bands").alias("band"))
-    sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    some = dealt.join(sizes, "band")
-    parts = F.ceil(F.col("size") / TILE_TEXTS).cast("int")
-    own = F.pmod(F.xxhash64("row", F.lit(3)), parts).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.struct(F.least(t, own).alias("i"), F.greatest(t, own).alias("j")))
-    met = some.select("row", "band", F.explode(tiles).alias("t")).select("row", "band", "t.i", "t.j").join(signed.select("row", "fp", "sig"), "row")
-    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+    content = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"c{k}") for k in (0, 1)]
+    sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size"), *content).where("size > 1")
+    some = checkpointed(dealt.join(sizes.groupBy("size", "c0", "c1").agg(F.min("band").alias("band")).select("band", "size"), "band"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            sets = pa.array([shingle_set(t, shingle).tobytes() for t in text_column(part).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["row", "members"])
+
+    nodes = some.select("row").distinct()
+    sets = checkpointed(texts.join(nodes, "row").dropDuplicates(["row"]).mapInArrow(tidy(hashed), "row bigint, members binary"))
+    known = signed.select("row", "fp", "sig").join(sets, "row")
+    parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("size") / TILE_TEXTS, F.col("bytes") / TILE_BYTES))).cast("int")
+    weights = some.join(sets.select("row", F.octet_length("members").alias("n")), "row").groupBy("band").agg(F.sum("n").alias("bytes"))
+    own = F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("i"), F.greatest(t, F.col("own")).alias("j")))
+    placed = some.join(weights, "band").withColumn("parts", parts).withColumn("own", own)
+    met = placed.select("row", "band", "own", F.explode(tiles).alias("t")).select("row", "band", "own", "t.i", "t.j").join(known, "row")
+    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch | None:
-            if len(rows) < 2:
-                return None
-            rows = sorted(set(rows))
-            ids = np.array([r[0] for r in rows], np.int64)
-            root, pairs = _similar_links(np.array([r[1] for r in rows], np.int64).view(np.uint64), np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, SLOTS), *limits(similarity, tail))
-            keep = root != np.arange(len(ids))
-            a, b = np.concatenate([ids[keep], ids[pairs[:, 0]]]), np.concatenate([ids[root[keep]], ids[pairs[:, 1]]])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < keep.sum())], schema=edge_schema)
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                ids, part = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+                fps, sigs = np.array([r[2] for r in rows], np.int64).view(np.uint64), np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SLOTS)
+                root = _similar_links(fps, sigs, [np.frombuffer(r[4], np.uint64) for r in rows], part, similarity, tail)
+                keep = root != np.arange(len(ids))
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], schema=edge_schema)
 
         rows, last = [], None
         for batch in batches:
-            for band, i, j, row, fp, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, i, j) != last:
-                    if (out := done(rows)) is not None:
-                        yield out
+                    yield from done(rows)
                     rows, last = [], (band, i, j)
-                rows.append((row, fp, sig))
-        if (out := done(rows)) is not None:
-            yield out
-
-    found = met.select("band", "i", "j", "row", "fp", "sig").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(link, "a bigint, b bigint, sure boolean")
-    found = checkpointed(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")))
-    exact = jaccard(found.where(~F.col("sure")).select("a", "b"), texts, shingle).where(F.col("j") >= similarity)
-    links = found.where("sure").select("a", "b").unionAll(exact.select("a", "b"))
-    roots = components(links)
+                rows.append(tuple(row))
+        yield from done(rows)
+
+    laid = met.select("band", "i", "j", "row", "own", "fp", "sig", "members").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    roots = components(laid.mapInArrow(tidy(link), "a bigint, b bigint"))
     return signed.select("row").join(roots, signed["row"] == roots["node"], "left").select("row", F.coalesce("root", "row").alias("component"))
