@@ -6,11 +6,11 @@ and their hashes are computed for all documents of the batch at once.
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Documents are worked on in pieces of about so many bytes of text, whatever the batch or the partition holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,6 +43,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """An object that this worker process keeps between tasks, such as an encoder."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str = ""):
+    """``run`` for mapInArrow, with a worker's memory kept small: what other operators have left in a reused process goes
+    first (all but ``holds``), and freed memory is given back when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [x for x in _held if x != holds]:
+            del _held[name]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches between Spark and Python by bytes, unless the session has its own bound: long texts make large rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps that nothing refers to any more.
 
@@ -50,6 +86,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind as long as ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, chunks, flat, mix, text_column
+from .common import LETTER, Rolling, chunks, flat, mix, small_batches, text_column, tidy, unused
 
 #: Fixed masks. Every stretch of 13 or more words, 80% equal, holds a window that none of its substitutions hurts.
 MASKS = ("11101111", "11010010111", "111110011", "1100100010111", "1110101001001", "1101111001")
@@ -204,6 +204,7 @@ def overlaps(part: pa.RecordBatch, seeds: Seeds, min_words: int, identity: float
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each (document, item) that overlap: where, how long, and how many words are equal."""
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), ((F.length(F.coalesce("text", F.lit(""))) / 2).cast("bigint") + 1).alias("size"))
     total = items.agg(F.sum("size")).first()[0] or 0
@@ -219,12 +220,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
             for part in chunks(batches):
                 yield overlaps(part, shared.value, min_words, identity)
 
-        parts.append(given.mapInArrow(run, SCHEMA))
+        parts.append(given.mapInArrow(tidy(run), SCHEMA))
     return reduce(DataFrame.unionAll, parts)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that overlap with an item; rows with a null id stay only if their text is clean."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    bad = contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("bad"), "left_anti")
+    (name,) = unused(docs, "bad")
+    bad = contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(name), "left_anti")

@@ -1,9 +1,10 @@
 """Which names occur more than once, asked for packed arrays of names instead of rows.
 
-A task sends, for each piece of text, its names (48 bits of a 64-bit hash, or all 64 where the answer is a verdict) to
-buckets by name, each with the 40-bit key of its document. A bucket answers each document with those of its names that occur at least twice anywhere. A name that
-occurs twice within a piece is answered at once, and only one of its places is sent on, so that a name that a third of
-all documents hold comes to its bucket once a piece, not once a document. The number of buckets follows the input, so
+A task puts some hundred thousand names of its texts together (48 bits of a 64-bit hash, or all 64 where the answer is a
+verdict) and sends them to buckets by name, each with the 40-bit key of its document. A bucket answers each document with
+those of its names that occur at least twice anywhere. A name that occurs twice among those put together is answered at
+once, and only one of its places is sent on, so that a name that a third of all documents hold comes to its bucket once
+for each such lot, not once a document. The number of buckets follows the input, so
 a bucket's size does not. Keys and names are hashes: a document may be told a name too many, never one too few, and
 callers look names up in their own document's list of names.
 """
@@ -17,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 KEY_MASK = (1 << 40) - 1
 #: Names that one bucket gets, about.
 BUCKET_NAMES = 1_000_000
+#: Names that a task puts together before it deals them to buckets.
+SEND_NAMES = 500_000
 PACKED = "bucket int, local boolean, payload binary"
 _packed = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("payload", pa.binary())])
 _answers = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
@@ -61,7 +66,7 @@ def _unpack(data: bytes, size: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys, unsix(data[at : at + size * n], size), np.unpackbits(np.frombuffer(data, np.uint8, -1, at + size * n))[:n].astype(bool)
 
 
-def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray | None = None, mode: str = "twice", size: int = 6) -> Iterator[pa.RecordBatch]:
+def sent(keys: np.ndarray, names: np.ndarray, asked: np.ndarray | None, buckets: int, mode: str = "twice", size: int = 6) -> Iterator[pa.RecordBatch]:
     """The rows that one piece of text sends: (document key, name) of each place; ``asked`` marks places for two modes.
 
     twice: every place learns whether its name occurs twice. answer: the same, but only asked places are told.
@@ -95,6 +100,25 @@ def sent(keys: np.ndarray, names: np.ndarray, buckets: int, asked: np.ndarray |
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _packed, strict=True)], schema=_packed)
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]], buckets: int, mode: str = "twice", size: int = 6) -> Iterator[pa.RecordBatch]:
+    """``sent`` for (keys, names, asked) of small pieces of text, put together until they are worth a row a bucket."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for part in parts:
+        kept.append(tuple(x for x in part if x is not None))
+        n += len(part[1])
+        if n >= SEND_NAMES:
+            yield from sent(*_joined(kept), buckets, mode, size)
+            kept, n = [], 0
+    if n:
+        yield from sent(*_joined(kept), buckets, mode, size)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    keys, names, *asked = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return keys, names, asked[0] if asked else None
+
+
 def _answered(keys: np.ndarray, names: np.ndarray, shards: int, size: int) -> pa.RecordBatch:
     """Answers packed by shard of the documents' keys."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
@@ -175,9 +199,9 @@ def bucket_count(names: float) -> int:
 def shared_names(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int, mode: str = "twice", size: int = 6) -> DataFrame:
     """(dkey, told): for each document key lists of the names that it is told of. ``send`` yields ``sent`` rows of the mode and size."""
     n = min(buckets, 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.mapInArrow(send, PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(lambda batches: _tell(batches, mode, buckets, size), "shard int, payload binary")
-    merged = answers.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _merge(batches, size), "dkey bigint, names binary")
+    dealt = rows.mapInArrow(tidy(send), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
+    answers = dealt.mapInArrow(tidy(lambda batches: _tell(batches, mode, buckets, size)), "shard int, payload binary")
+    merged = answers.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(tidy(lambda batches: _merge(batches, size)), "dkey bigint, names binary")
     return merged.select("dkey", F.array("names").alias("told"))
 
 
@@ -245,6 +269,6 @@ def _tell_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def first_holders(rows: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int) -> DataFrame:
     """(doc, told): for each document lists of (6-byte names, 8-byte first document) of its names that others hold too."""
     n = min(buckets, 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.mapInArrow(send, FIRSTS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    told = dealt.mapInArrow(_tell_first, "doc bigint, names binary, owners binary")
+    dealt = rows.mapInArrow(tidy(send), FIRSTS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    told = dealt.mapInArrow(tidy(_tell_first), "doc bigint, names binary, owners binary")
     return told.groupBy("doc").agg(F.collect_list(F.struct("names", "owners")).alias("told"))

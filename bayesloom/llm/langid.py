@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_column
+from .common import chunks, small_batches, text_column, tidy
 
 UNKNOWN = "und"
 _tables: dict[str, np.ndarray] = {}
@@ -163,6 +163,7 @@ def temperature(s: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, max_docs: int = 4000, bits: int = 15, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> Model:
     """Fit on a bounded sample of ``docs(doc_id, text, lang)``: the ``max_docs`` labelled rows of smallest hashed id."""
+    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", F.length("text"))
     chosen = docs.where("lang is not null and text is not null").select("lang", "text", order.alias("h"))
     bound = chosen.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
@@ -182,23 +183,24 @@ def train(docs: DataFrame, max_docs: int = 4000, bits: int = 15, alpha: float =
         m = fit([(r["lang"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], bits, alpha, beta, l1, l2, epochs)
         yield pa.RecordBatch.from_pylist([{"langs": m.langs, "w": zlib.compress(m.weights.tobytes(), 1), "bias": m.bias.tolist(), "t": m.temperature}], pa.schema([("langs", pa.list_(pa.string())), ("w", pa.binary()), ("bias", pa.list_(pa.float64())), ("t", pa.float64())]))
 
-    sample = chosen.where(F.col("h") <= F.lit(bound)).mapInArrow(rows, "lang string, h bigint, slots binary, shares binary")
-    found = sample.repartition(1).mapInArrow(learn, "langs array<string>, w binary, bias array<double>, t double").first()
+    sample = chosen.where(F.col("h") <= F.lit(bound)).mapInArrow(tidy(rows), "lang string, h bigint, slots binary, shares binary")
+    found = sample.repartition(1).mapInArrow(tidy(learn), "langs array<string>, w binary, bias array<double>, t double").first()
     return Model(list(found["langs"]), np.frombuffer(zlib.decompress(bytes(found["w"])), np.float32).reshape(1 << bits, -1), np.array(found["bias"]), found["t"], bits)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score of the whole text."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language and score of the whole text under ``names``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), "text")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    given = docs.select(*(F.col(f"`{c}`").alias(f"k_{c}") for c in keep), "text")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             lang, score = shared.value.predict(text_column(part).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)
 
 
 def held_out(column: str = "doc_id"):

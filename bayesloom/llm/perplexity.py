@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, mix, text_column
+from .common import checkpointed, chunks, mix, small_batches, text_column, tidy
 
 ORDER, BITS = 5, 12
 START, END = 2, 3
@@ -53,6 +53,7 @@ def grams(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def counts(docs: DataFrame) -> DataFrame:
     """(gram, n) over all texts."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def counts(docs: DataFrame) -> DataFrame:
             codes, n = np.unique(grams(*symbols(text_column(part).to_pylist()))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -187,6 +188,7 @@ def block_of(pair, blocks: int):
 
 def scores(docs: DataFrame, tables: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The columns ``keep`` with n_grams and perplexity of every row."""
+    small_batches(docs.sparkSession)
     rows = tables.count()
     blocks = max(1, -(-rows // block_rows))
     kind = F.col("kind")
@@ -204,7 +206,7 @@ def scores(docs: DataFrame, tables: DataFrame, keep: tuple[str, ...] = ("doc_id"
                 ln_p, n = shared.value.sums(text_column(part).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ln_p), pa.array(n.astype(np.int64))], names=[*keep, "ln_p", "n_grams"])
 
-        return given.mapInArrow(run, schema)
+        return given.mapInArrow(tidy(run), schema)
 
     if not rows:
         return docs.select(*keep, F.lit(None).cast("double").alias("perplexity"), (F.char_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint").alias("n_grams"))

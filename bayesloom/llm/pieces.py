@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from .common import chunks, flat, ragged, text_column
+from .common import chunks, flat, held, ragged, small_batches, text_column, tidy
 from .wordcache import Memory, WordEncoder, encode_words
 
 MARK = "▁"
@@ -182,17 +182,13 @@ class PieceEncoder(WordEncoder):
         return raw, ends
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def piece_encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return held(path, lambda: PieceEncoder(path))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) of every document's whole text."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +196,12 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             ids, at = piece_encoder(model).encode(text_column(part))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run, model), "doc_id bigint, ids array<int>")
 
 
 def decoded(tokens: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids) rows; a null list gives an empty text."""
+    small_batches(tokens.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +212,7 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
             data = raw.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([data[s:e].decode("utf-8", "replace") for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())], schema=schema)
 
-    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(run, "doc_id bigint, text string")
+    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(tidy(run, model), "doc_id bigint, text string")
 
 
 def compare(docs: DataFrame, model: str, parity: bool = True) -> DataFrame:
@@ -224,6 +221,7 @@ def compare(docs: DataFrame, model: str, parity: bool = True) -> DataFrame:
     ``decoded_ok`` says that decoding gives the text back; ``same_ids`` that the sentencepiece library gives the same ids
     (null unless ``parity``).
     """
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_ok", pa.bool_()), ("same_ids", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,4 +242,4 @@ def compare(docs: DataFrame, model: str, parity: bool = True) -> DataFrame:
             ok = [back[s:e] == t.encode("utf-8", "surrogatepass") for t, s, e in zip(plain, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(data[4 * s : 4 * e]) for s, e in spans], pa.int64()), pa.array(ok, pa.bool_()), pa.array(same, pa.bool_())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_ok boolean, same_ids boolean")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run, model), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_ok boolean, same_ids boolean")

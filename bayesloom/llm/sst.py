@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, filesystem, fresh_dir, text_column
+from .common import checkpointed, chunks, filesystem, fresh_dir, small_batches, text_column, tidy
 from .wordcache import encoder
 
 MAGIC = b"LOOMSST1"
@@ -186,6 +186,7 @@ def write_shards(docs: DataFrame, vocabulary: str, uri: str, end_id: int | None
     Each attempt of a task writes a file of its own, and the manifest, kept in the shared folder, names the file of the
     attempt that counted; a lost executor costs its running tasks only.
     """
+    small_batches(docs.sparkSession)
     fs, folder = filesystem(uri)
     fs.create_dir(folder, recursive=True)
 
@@ -211,7 +212,7 @@ def write_shards(docs: DataFrame, vocabulary: str, uri: str, end_id: int | None
 
     ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return checkpointed(ordered.mapInArrow(write, MANIFEST))
+    return checkpointed(ordered.mapInArrow(tidy(write, vocabulary), MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -237,7 +238,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartition(n, "shard").mapInArrow(read, "doc_id bigint, start bigint, ids array<int>")
+    return placed.repartition(n, "shard").mapInArrow(tidy(read), "doc_id bigint, start bigint, ids array<int>")
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def digests(read: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], schema=schema)
 
-    return read.mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read.mapInArrow(tidy(digest), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_shards(docs: DataFrame, vocabulary: str, uri: str | None = None, end_id: int | None = 2) -> DataFrame:

@@ -29,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, checkpointed, chunks, flat, release, text_column, word_spans
-from .exchange import KEY_MASK, bucket_count, first_holders, sent, sent_first, shared_names, short, told_names, unsix
+from .common import LETTER, Rolling, checkpointed, chunks, flat, release, small_batches, text_column, tidy, word_spans
+from .exchange import KEY_MASK, bucket_count, first_holders, gathered, sent_first, shared_names, short, told_names, unsix
 from .suffixes import _ints, _runs, pieces, positions
 
 WINDOW = 50
@@ -150,19 +150,23 @@ class Text:
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    return rows.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit("row"))})
+    return rows.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("row"), "text")})
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, n_removed, kept) of each row of ``keyed(docs)`` that loses words, once for equal rows."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors, wide = bucket_count(total / 128), bucket_count(total / 64)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            doc, _, names = Text(*flat(text_column(part))).anchors(window)
-            yield from sent(part.column(1).to_numpy().view(np.uint64)[doc], names, anchors)
+        def names() -> Iterator[tuple]:
+            for part in chunks(batches):
+                doc, _, found = Text(*flat(text_column(part))).anchors(window)
+                yield part.column(1).to_numpy().view(np.uint64)[doc], found, None
+
+        yield from gathered(names(), anchors)
 
     first = shared_names(rows.select("text", "k1"), send_anchors, anchors)
     same = rows.groupBy("k2", F.xxhash64("text").alias("k3")).agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -193,7 +197,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     told = first.join(gone, "dkey", "left")  # small rows, so that the texts are moved once
     joined = rows.join(told, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == told["dkey"])
     joined = joined.where(~F.coalesce(F.array_contains("gone", F.struct(rows["k1"].alias("k1"), rows["k2"].alias("k2"))), F.lit(False)))
-    held = checkpointed(joined.select("text", "k1", "k2", "doc", "told").mapInArrow(locate, "k1 bigint, k2 bigint, doc bigint, z binary, at binary"))
+    held = checkpointed(joined.select("text", "k1", "k2", "doc", "told").mapInArrow(tidy(locate), "k1 bigint, k2 bigint, doc bigint, z binary, at binary"))
     del first, gone, told, joined
     release(docs.sparkSession)
 
@@ -234,7 +238,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(run_schema)], schema=run_schema)
 
     cuts = held.join(holders, "doc").select("k1", "k2", "doc", "z", "at", "told")
-    runs = checkpointed(cuts.mapInArrow(cut, "role int, owner bigint, k1 bigint, k2 bigint, start bigint, c1 bigint, c2 bigint, words binary"))
+    runs = checkpointed(cuts.mapInArrow(tidy(cut), "role int, owner bigint, k1 bigint, k2 bigint, start bigint, c1 bigint, c2 bigint, words binary"))
     hit_schema = pa.schema([("owner", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("found", pa.binary())])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +267,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(hit_schema)], schema=hit_schema)
 
     distinct = runs.select("owner", "role", "c1", "c2", "words").dropDuplicates(["owner", "role", "c1", "c2"])
-    matched = checkpointed(distinct.repartition("owner").sortWithinPartitions("owner", "role").mapInArrow(match, "owner bigint, c1 bigint, c2 bigint, found binary"))
+    matched = checkpointed(distinct.repartition("owner").sortWithinPartitions("owner", "role").mapInArrow(tidy(match), "owner bigint, c1 bigint, c2 bigint, found binary"))
     confirmed = runs.where("role = 1").select("k1", "k2", "owner", "c1", "c2", "start").join(matched, ["owner", "c1", "c2"])
     by_row = confirmed.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "found")).alias("runs"))
     result = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -282,7 +286,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append((int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], schema=result)
 
-    partly = held.join(by_row, ["k1", "k2"]).select("k1", "k2", "z", "runs").mapInArrow(remove, "k1 bigint, k2 bigint, n_removed bigint, kept binary").dropDuplicates(["k1", "k2"])
+    partly = held.join(by_row, ["k1", "k2"]).select("k1", "k2", "z", "runs").mapInArrow(tidy(remove), "k1 bigint, k2 bigint, n_removed bigint, kept binary").dropDuplicates(["k1", "k2"])
     wholly = copies.select("k1", "k2", F.lit(None).cast("bigint").alias("n_removed"), F.lit(b"").alias("kept"))
     return partly.unionByName(wholly)
 
@@ -296,7 +300,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             words = [t.encode("utf-8", "surrogatepass").split() for t in text_column(part).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())], schema=schema)
 
-    every = keyed(docs).select("doc_id", "k1", "k2", "text").mapInArrow(count, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, whole string")
+    every = keyed(docs).select("doc_id", "k1", "k2", "text").mapInArrow(tidy(count), "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, whole string")
     found = repeats(docs, window).select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("sha"), F.lit(True).alias("hit"))
     gone = F.when(F.col("hit") & ((F.col("n_words") >= window) | F.col("n_removed").isNotNull()), F.coalesce("n_removed", "n_words")).otherwise(F.lit(0).cast("bigint"))
     return every.join(found, ["k1", "k2"], "left").select("doc_id", "n_words", gone.alias("n_removed"), F.when(gone > 0, F.col("sha")).otherwise(F.col("whole")).alias("kept_sha256"))

@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, checkpointed, chunks, flat, ragged, release, text_column
-from .exchange import KEY_MASK, bucket_count, sent, shared_names, short, told_names
+from .common import LETTER, Rolling, checkpointed, chunks, flat, ragged, release, small_batches, text_column, tidy, unused
+from .exchange import KEY_MASK, bucket_count, gathered, shared_names, short, told_names
 
 LENGTH = 400
 #: Bytes of the names that verdicts rest on (steps 2 and 4); candidates are found by 6 (steps 1 and 3).
@@ -76,7 +76,7 @@ class Piece:
         return self.rolling.spans(start, start + size)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes], Piece]]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes], Piece]]:
     """Rows with a zstd-compressed text column, some MB of text at a time: (rows, texts, the texts laid end to end)."""
     undo = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -106,7 +106,7 @@ def _ints(x: np.ndarray) -> bytes:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and two hashes that stand for the row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit("row"))})
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("row"), "text")})
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -114,6 +114,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``spans`` are the maximal removed runs as (start, end) pairs of 64-bit integers, ``kept`` the other bytes.
     """
+    small_batches(docs.sparkSession)
     rows = keyed(docs).where(F.octet_length("text") >= length)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     v, residues = difference_cover(length)
@@ -121,11 +122,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     many = bucket_count(total * len(residues) / v)
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            piece = Piece(*flat(text_column(part)))
-            doc, at = piece.samples(length)
-            keys = part.column(1).to_numpy().view(np.uint64)
-            yield from sent(keys[doc], piece.names(doc, at, tuple_bytes), many)
+        def names() -> Iterator[tuple]:
+            for part in chunks(batches):
+                piece = Piece(*flat(text_column(part)))
+                doc, at = piece.samples(length)
+                yield part.column(1).to_numpy().view(np.uint64)[doc], piece.names(doc, at, tuple_bytes), None
+
+        yield from gathered(names(), many)
 
     first = checkpointed(shared_names(rows.select("text", "k1"), send_samples, many))
     release(docs.sparkSession)
@@ -152,17 +155,20 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     by_key = lambda told, df: df.join(told, df["k1"].bitwiseAND(F.lit(KEY_MASK)) == told["dkey"], "left")
     joined = rows.join(first, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == first["dkey"]).select("text", "k1", "k2", "told")
-    held = checkpointed(joined.mapInArrow(locate, "k1 bigint, k2 bigint, z binary, at binary"))
+    held = checkpointed(joined.mapInArrow(tidy(locate), "k1 bigint, k2 bigint, z binary, at binary"))
     del first, joined
     release(docs.sparkSession)
     left = held.agg(F.sum(F.octet_length("at")) / 8).first()[0] or 0
     some = bucket_count(left)
 
     def send_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, piece in pieces(batches, "z"):
-            doc, at = places(part.column(2))
-            fits = at + long_bytes <= piece.sizes[doc]
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc[fits]], piece.names(doc[fits], at[fits], long_bytes), some, size=VERDICT)
+        def names() -> Iterator[tuple]:
+            for part, _, piece in pieces(batches, "z"):
+                doc, at = places(part.column(2))
+                fits = at + long_bytes <= piece.sizes[doc]
+                yield part.column(0).to_numpy().view(np.uint64)[doc[fits]], piece.names(doc[fits], at[fits], long_bytes), None
+
+        yield from gathered(names(), some, size=VERDICT)
 
     second = shared_names(held.select("k1", "z", "at"), send_long, some, size=VERDICT)
     sure = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("z", pa.binary()), ("at", pa.binary()), ("sure", pa.binary()), ("open", pa.binary())])
@@ -189,25 +195,31 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 asked.append(_ints(_runs(maybe & ~good)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(known, pa.binary()), pa.array(asked, pa.binary())], schema=sure)
 
-    settled = checkpointed(by_key(second, held).select("k1", "k2", "z", "at", "told").mapInArrow(settle, "k1 bigint, k2 bigint, z binary, at binary, sure binary, open binary"))
+    settled = checkpointed(by_key(second, held).select("k1", "k2", "z", "at", "told").mapInArrow(tidy(settle), "k1 bigint, k2 bigint, z binary, at binary, sure binary, open binary"))
 
     del second
     release(docs.sparkSession)
 
     def send_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, piece in pieces(batches, "z"):
-            doc, at = places(part.column(2))
-            opened = np.zeros(len(piece.rolling.sums) + 1, np.int64)
-            row, own = positions(part.column(3))
-            opened[piece.offsets[row] + own + 1] = 1
-            opened = np.cumsum(opened)
-            here = piece.offsets[doc] + at
-            near = opened[here + 1] > opened[np.maximum(here - v + 1, piece.offsets[doc])]
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, tuple_bytes), some, near, "heard")
+        def names() -> Iterator[tuple]:
+            for part, _, piece in pieces(batches, "z"):
+                doc, at = places(part.column(2))
+                opened = np.zeros(len(piece.rolling.sums) + 1, np.int32)
+                row, own = positions(part.column(3))
+                opened[piece.offsets[row] + own + 1] = 1
+                opened = np.cumsum(opened, dtype=np.int32)
+                here = piece.offsets[doc] + at
+                near = opened[here + 1] > opened[np.maximum(here - v + 1, piece.offsets[doc])]
+                yield part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, tuple_bytes), near
+
+        yield from gathered(names(), some, "heard")
 
     partners = shared_names(settled.select("k1", "z", "at", "open"), send_asked, some, "heard")
 
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(open_names(batches), many, "answer", VERDICT)
+
+    def open_names(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part, _, piece in pieces(batches, "z"):
             doc, at = places(part.column(2))
             names = short(piece.names(doc, at, tuple_bytes))
@@ -228,7 +240,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 found.append(wanted)
                 asks.append(asking[wanted])
             doc, at = np.concatenate(rows), np.concatenate(found)
-            yield from sent(part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), many, np.concatenate(asks), "answer", VERDICT)
+            yield part.column(0).to_numpy().view(np.uint64)[doc], piece.names(doc, at, length), np.concatenate(asks)
 
     third = checkpointed(shared_names(by_key(partners, settled).select("k1", "z", "at", "sure", "open", "told"), send_open, many, "answer", VERDICT))
     del partners
@@ -255,7 +267,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             take = pa.array([o[0] for o in out], pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *(pa.array([o[c] for o in out], result.field(c + 1).type) for c in (1, 2, 3, 4))], schema=result)
 
-    final = by_key(third, settled).select("k1", "k2", "z", "sure", "open", "told").mapInArrow(remove, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
+    final = by_key(third, settled).select("k1", "k2", "z", "sure", "open", "told").mapInArrow(tidy(remove), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
     return final.dropDuplicates(["k1", "k2"])
 
 
@@ -284,10 +296,10 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings taken out of ``text`` (characters that a cut goes through go too)."""
-    found = repeats(docs, length).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept")
+    k1, k2, kept, new = unused(docs, "k1", "k2", "kept", "new")
+    found = repeats(docs, length).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(kept))
     text = F.coalesce(docs["text"], F.lit(""))
-    mine = (F.xxhash64(docs["doc_id"].cast("bigint"), text) == F.col("_k1")) & (F.xxhash64(text, F.lit("row")) == F.col("_k2"))
-    clean = F.regexp_replace(F.make_valid_utf8(F.col("kept")), "�", "")
-    names = docs.columns
-    joined = docs.join(found, mine, "left").withColumn("_text", F.when(F.col("kept").isNotNull(), clean).otherwise(docs["text"]))
-    return joined.select(*(F.col("_text").alias("text") if c == "text" else docs[c] for c in names))
+    mine = (F.xxhash64(docs["doc_id"].cast("bigint"), text) == F.col(k1)) & (F.xxhash64(F.lit("row"), text) == F.col(k2))
+    clean = F.regexp_replace(F.make_valid_utf8(F.col(kept)), "\ufffd", "")
+    joined = docs.join(found, mine, "left").withColumn(new, F.when(F.col(kept).isNotNull(), clean).otherwise(docs["text"]))
+    return joined.select(*(F.col(new).alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns))

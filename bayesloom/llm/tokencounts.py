@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import chunks, flat, text_column
+from .common import chunks, flat, held, small_batches, text_column, tidy
 from .wordcache import Memory, WordEncoder, byte_letters, encode_words
 
 RULES = ("most", "start", "split")
@@ -116,9 +116,6 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int
     return out
 
 
-_encoders: dict[str, SpanEncoder] = {}
-
-
 def lines(text: Column) -> Column:
     """A text's lines as sections, each with its line break."""
     return F.transform(
@@ -139,14 +136,14 @@ def section_counts(docs: DataFrame, vocabulary: str, sections: Column, rule: str
     """(doc_id, section, name, start, end, n_tokens, doc_tokens): a row for each element (name, start, end) of ``sections``."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("name", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _encoders:
-            _encoders[vocabulary] = SpanEncoder(vocabulary)
+        coder = held(vocabulary, lambda: SpanEncoder(vocabulary))
         for part in chunks(batches, 1 << 20):
             pa.default_memory_pool().release_unused()
-            _, starts, ends, at = _encoders[vocabulary].spans(text_column(part))
+            _, starts, ends, at = coder.spans(text_column(part))
             out: list[list] = [[] for _ in schema]
             for k, (doc_id, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                 wanted = wanted or []
@@ -158,4 +155,4 @@ def section_counts(docs: DataFrame, vocabulary: str, sections: Column, rule: str
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.withColumn("sections", sections).mapInArrow(run, "doc_id bigint, section int, name string, start bigint, end bigint, n_tokens double, doc_tokens bigint")
+    return given.withColumn("sections", sections).mapInArrow(tidy(run, vocabulary), "doc_id bigint, section int, name string, start bigint, end bigint, n_tokens double, doc_tokens bigint")

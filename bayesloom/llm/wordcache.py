@@ -17,7 +17,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import Rolling, flat, ragged, word_spans
+from .common import Rolling, flat, held, ragged, word_spans
 
 
 def byte_letters() -> dict[int, int]:
@@ -204,11 +204,6 @@ class WordEncoder:
         return ids, np.concatenate([[0], np.cumsum(counts)])[before]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The encoder of this process for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(path, lambda: WordEncoder(path))

@@ -155,8 +155,17 @@ def test_bit_planes():
     fps = r.integers(0, 1 << 63, 200, np.uint64)
     fps[100:] = fps[:100] ^ (np.uint64(1) << r.integers(0, 64, 100, np.uint64))
     for radius in (0, 1, 2, 3, 20, 31):
-        got = np.unpackbits(simhash.BitPlanes(fps).within(fps[:7], radius).view(np.uint8), axis=1, bitorder="little")[:, :200]
-        assert got.tolist() == [[int(bin(int(a ^ b)).count("1") <= radius) for b in fps] for a in fps[:7]]
+        for own in (None, np.arange(7)):
+            got = np.unpackbits(simhash.BitPlanes(fps).within(fps[:7], radius, own).view(np.uint8), axis=1, bitorder="little")[:, :200]
+            assert got.tolist() == [[int(bin(int(a ^ b)).count("1") <= radius and (own is None or i != k)) for k, b in enumerate(fps)] for i, a in enumerate(fps[:7])]
+
+
+def test_bit_planes_abandon_far_blocks():
+    """A query that is itself in the planes keeps no block alive: far blocks are read to a third of their planes at most."""
+    fps = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, 2000, np.uint64)
+    planes = simhash.BitPlanes(fps)
+    assert not planes.within(fps[:256], 2, np.arange(256)).any()
+    assert planes.visited < 256 * 32 * 64 / 3
 
 
 def test_simhash_query(spark):
@@ -311,25 +320,82 @@ def test_similar_repeated_lines(spark):
     assert len(set(got)) == 12
 
 
-def test_similar_over_the_radius(monkeypatch):
-    """Pairs of many equal minima stay open for the exact comparison whatever their SimHashes say."""
-    sigs = np.zeros((3, simhash.SLOTS), np.uint8)
-    sigs[2, :200] = 1
-    root, pairs = simhash._similar_links(np.array([0, 2**64 - 1, 0], np.uint64), sigs, 188, 223)
-    assert root.tolist() == [0, 1, 2] and pairs.tolist() == [[0, 1]]
+def links_by_estimate(fps, sigs, sets):
+    return simhash._similar_links(np.array(fps, np.uint64), sigs, [np.array(x, np.uint64) for x in sets], np.zeros(len(fps), int), 0.8, 1e-5).tolist()
+
+
+def test_similar_over_the_radius():
+    """Pairs of many equal bins are settled by their sets whatever their SimHashes say, far ones not at all."""
+    sigs = np.ones((3, simhash.SLOTS), np.uint8)
+    sigs[2, :200] = 2
+    same = [range(10), range(9), range(10)]
+    assert links_by_estimate([0, 2**64 - 1, 0], sigs, same) == [0, 0, 2]
+    assert links_by_estimate([0, 2**64 - 1, 0], sigs, [range(10), range(7), range(10)]) == [0, 1, 2]
 
 
 def test_similar_limits():
-    """The estimate alone drops, or links, a pair at the threshold once in 100,000 at most; nearer pairs stay open."""
-    maybe, sure = simhash.limits(0.8, 1e-5)
-    p = 0.8 + 0.2 / 256
-    tail = lambda ks: sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in ks)
-    assert tail(range(maybe)) <= 1e-5 < tail(range(maybe + 1)) and tail(range(sure, 257)) <= 1e-5 < tail(range(sure - 1, 257))
-    for equal, still in ((maybe - 1, 0), (maybe, 1), (187, 1), (224, 1), (sure - 1, 1), (sure, 0)):
-        sigs = np.zeros((2, simhash.SLOTS), np.uint8)
-        sigs[1, equal:] = 1
-        root, pairs = simhash._similar_links(np.array([5, 7], np.uint64), sigs, maybe, sure)
-        assert len(pairs) == still and (root[1] == 0) == (equal >= sure)
+    """The estimate alone drops, or links, a pair at the threshold once in 100,000 at most; of nearer pairs the sets decide."""
+    low, high = simhash.limits(0.8, 1e-5)
+    p = 0.8 + 0.2 / 255
+    for m in (3, 20, 100, 256):
+        maybe, sure = int(low[m]), int(high[m])
+        tail = lambda ks, m=m: sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in ks)
+        assert tail(range(maybe)) <= 1e-5 < tail(range(maybe + 1))
+        assert tail(range(sure, m + 1)) <= 1e-5 and (sure > m or tail(range(sure - 1, m + 1)) > 1e-5)
+        for equal, asked in ((maybe - 1, False), (maybe, True), (sure - 1, True), (sure, False)):
+            if 0 <= equal <= m:
+                sigs = np.zeros((2, simhash.SLOTS), np.uint8)
+                sigs[:, :m] = 1
+                sigs[1, equal:m] = 2
+                for sets in ([[1], [1]], [[1], [2]]):  # alike or not, which counts only if the sets are asked
+                    assert links_by_estimate([5, 7], sigs, sets) == [0, 0 if (sets[0] == sets[1] if asked else equal >= sure) else 1]
+
+
+def test_exact_similarities_in_slices():
+    r = random.Random(1)
+    sets = [np.array(sorted(r.sample(range(60), r.randrange(40))), np.uint64) for _ in range(30)] + [np.zeros(0, np.uint64)] * 2
+    for size in (1, 50, 10**6):
+        for q in (0, 7, 31):
+            others = np.array([k for k in range(32) if k != q])
+            want = [len(set(sets[q]) & set(sets[k])) / len(set(sets[q]) | set(sets[k])) if len(set(sets[q]) | set(sets[k])) else 1.0 for k in others]
+            assert simhash.Sets(sets).similarities(q, others, size).tolist() == want
+
+
+def similar_by_definition(texts, n=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] | sets[j])
+        if not both or len(sets[i] & sets[j]) / both >= least:
+            root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_similar_against_all_pairs(spark, tile, monkeypatch):
+    """Texts of 1 to 900 words with 0 to 12 changed words: components of all pairs by definition, in one tile or several."""
+    monkeypatch.setattr(simhash, "TILE_TEXTS", tile)
+    r = random.Random(4)
+    texts = [*(t for t in ODD if t is not None)]
+    for k in range(40):
+        base = prose(k, r.choice((1, 3, 6, 20, 60, 150, 400, 900))).split()
+        for _ in range(4):
+            own = base[:]
+            for _ in range(r.randrange(13)):
+                own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    got, want = parts_by(spark, texts), similar_by_definition(texts)
+    as_sets = lambda parts: {frozenset(i for i, x in enumerate(parts) if x == p) for p in parts}
+    assert as_sets(got) == as_sets(want)
 
 
 @pytest.mark.parametrize(("n", "wrong"), [(n, n // 5) for n in (*range(1, 22), 25)])
@@ -409,7 +475,7 @@ def test_verdicts_tell_names_of_equal_first_bits_apart(mode):
     keys, names = np.array([1, 2, 3, 4], np.uint64), np.array([7 << 60 | 5 << 16 | 1, 7 << 60 | 5 << 16 | 2, 9 << 59 | 1, 9 << 59 | 1], np.uint64)
     told = {}
     for size in (6, suffixes.VERDICT):
-        sent = [b for k in range(4) for b in exchange.sent(keys[k : k + 1], names[k : k + 1], 1, np.ones(1, bool), mode, size)]
+        sent = [b for k in range(4) for b in exchange.sent(keys[k : k + 1], names[k : k + 1], np.ones(1, bool), 1, mode, size)]
         answers = exchange._tell(iter(sent), mode, 1, size)
         told[size] = {k: exchange.told_names([n], size).tolist() for b in exchange._merge(answers, size) for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
     assert set(told[6]) == {1, 2, 3, 4}
@@ -482,7 +548,8 @@ def test_pipeline_stages(spark):
     half[::4] = ["other"] * len(half[::4])
     passage = prose(33, 90)
     texts = [base, base, " ".join(near), " ".join(half), f"{prose(41, 80)} {passage}", f"{passage} {prose(42, 80)}", f"{prose(43, 60)} {item}", None, "12 34", prose(44, 50)]
-    docs = docs_of(spark, texts).select(*(c.split()[0] for c in SCHEMA.split(", ")))
+    clash = ("lang_pred", "score", "kept", "bad", "k1", "k2", "new", "row", "component", "told")
+    docs = docs_of(spark, texts).select(*(c.split()[0] for c in SCHEMA.split(", "))).withColumns({c: F.lit(c) for c in clash})
     bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
     ids = lambda df: sorted(r["doc_id"] for r in df.collect())
     spoken = corpus_pipeline.language_id(spark, docs, SF)
@@ -491,5 +558,6 @@ def test_pipeline_stages(spark):
     assert ids(single) == [0, 3, 4, 5, 6, 9] and single.columns == docs.columns
     cut = {r["doc_id"]: r for r in corpus_pipeline.suffix_dedup(spark, single, SF).collect()}
     assert passage[5:-5] not in cut[4]["text"] + cut[5]["text"] and cut[9]["text"] == texts[9] and cut[4]["n_chars"] == len(cut[4]["text"])
-    assert ids(decontaminate.decontaminate(single, bench)) == [0, 3, 4, 5, 9]
+    clean = decontaminate.decontaminate(single, bench)
+    assert ids(clean) == [0, 3, 4, 5, 9] and clean.columns == docs.columns and clean.first()["kept"] == "kept"
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.run(spark, SF).count() > 50
