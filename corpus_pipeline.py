@@ -25,17 +25,19 @@ MIN_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    said = langid.predict(docs, model, keep=tuple(dict.fromkeys([*docs.columns, "text"])))
-    return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    lang, sure = common.unused(docs, "lang_pred", "score")
+    said = langid.predict(docs, model, keep=tuple(docs.columns), names=(lang, sure))
+    return said.where((F.col(lang) != langid.UNKNOWN) & (F.col(sure) >= MIN_SCORE)).drop(lang, sure)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = common.checkpointed(simhash.similar(docs))
     ids = docs.select(F.xxhash64("text").alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("own"))
     first = F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own"))
-    kept = ids.join(groups, "row").groupBy("component").agg(first.alias("kept")).select("kept")
-    chosen = docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("kept"))
-    return chosen.dropDuplicates(["kept"]).drop("kept")
+    (name,) = common.unused(docs, "kept")
+    kept = ids.join(groups, "row").groupBy("component").agg(first.alias(name)).select(name)
+    chosen = docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(name))
+    return chosen.dropDuplicates([name]).drop(name)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
