@@ -1,7 +1,8 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Counting: each task counts the distinct 5-grams of its pieces of trusted text (12 bits a character: those below U+0F00
-by themselves, others by their last 8 bits), and the counts are summed by n-gram over all of it. The lower orders'
+Counting: the characters of trusted text are counted first; the 4,000 most frequent are symbols of their own, all others
+share 64 by their code. Each task then counts the distinct 5-grams of its pieces of trusted text (12 bits a symbol), and
+the counts are summed by n-gram over all of it. The lower orders'
 continuation counts, the contexts' totals and the probabilities are joins of these count tables by context and suffix.
 Scoring: the tables are dealt by the two characters before the predicted one into blocks of at most ``block_rows`` rows,
 so that a position finds all it needs of orders 3 to 5 in one block; a block is broadcast, the documents pass by it, and
@@ -9,7 +10,7 @@ a document's sums over the blocks are added. A model of one block takes one pass
 Threshold: a text is kept if its perplexity lies between two quantiles of trusted texts of its language.
 
 Nulls: a null text is empty, and an empty text's only prediction is its end; a null language is a language of its own; a
-null id is kept but never trusted. Languages without trusted text take the thresholds of all trusted text; without any
+null id is kept but never trusted. Equal perplexities fall on the same side of a threshold, which itself is kept. Languages without trusted text take the thresholds of all trusted text; without any
 trusted text perplexity is null and every text is kept. Repeated rows are kept. Empty table: no rows. Other columns are ignored.
 """
 
@@ -23,19 +24,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, mix, small_batches, text_column, tidy
+from .common import checkpointed, chunks, mix, ragged, small_batches, text_column, tidy
 
 ORDER, BITS = 5, 12
-START, END = 2, 3
+START, END = 0, 1
+#: Symbols that rare characters share, and where those of single characters begin.
+SHARED, OWN = 64, 66
 #: Rows of tables in one block, and ids of trusted texts that may be broadcast.
 BLOCK_ROWS, MAX_IDS = 2_000_000, 2_000_000
+#: Languages whose thresholds may be broadcast.
+MAX_LANGS = 10_000
 
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(12-bit symbols of all texts, each between four starts and an end; n + 1 offsets)."""
-    padded = ["\x02\x02\x02\x02" + t.lower() + "\x03" for t in texts]
-    data = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(data < 0xF00, data, 0xF00 | (data & 0xFF)).astype(np.int64), np.concatenate([[0], np.cumsum([len(t) for t in padded], dtype=np.int64)])
+def alphabet(docs: DataFrame) -> np.ndarray:
+    """The symbol of every code point, from the counts of the lower-cased characters of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            data = np.frombuffer("".join(text_column(part).to_pylist()).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes, n = np.unique(data, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    small_batches(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(tidy(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    found = [r["code"] for r in counted.orderBy(F.desc("n"), "code").limit((1 << BITS) - OWN).collect()]
+    table = (mix(np.arange(0x110000, dtype=np.uint64)) % np.uint64(SHARED) + np.uint64(2)).astype(np.uint16)
+    table[found] = OWN + np.arange(len(found))
+    return table
+
+
+def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all lower-cased texts, each between four starts and an end; n + 1 offsets)."""
+    lowered = [t.lower() for t in texts]
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+    at = np.concatenate([[0], np.cumsum(sizes + ORDER)])
+    out = np.full(int(at[-1]), START, np.int64)
+    out[ragged(at[:-1] + ORDER - 1, sizes)] = table[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    out[at[1:] - 1] = END
+    return out, at
 
 
 def grams(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,14 +77,15 @@ def grams(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], at - np.arange(len(at)) * (ORDER - 1)
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(gram, n) over all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # two bytes a code point
     small_batches(docs.sparkSession)
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 8 << 20):
-            codes, n = np.unique(grams(*symbols(text_column(part).to_pylist()))[0], return_counts=True)
+        for part in chunks(batches, 4 << 20):
+            codes, n = np.unique(grams(*symbols(text_column(part).to_pylist(), shared.value))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], schema=schema)
 
     return docs.select("text").mapInArrow(tidy(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -81,9 +108,9 @@ def _low(c: str, chars: int) -> Column:
     return F.col(c).bitwiseAND(F.lit((1 << BITS * chars) - 1))
 
 
-def model(docs: DataFrame) -> DataFrame:
+def model(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(kind, key, value) rows: kind k is ln p of seen k-grams, kind -k is ln of the back-off weight of their contexts."""
-    tables = {ORDER: checkpointed(counts(docs))}
+    tables = {ORDER: checkpointed(counts(docs, table))}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = tables[k + 1].groupBy(_low("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     size = tables[1].count() + 1  # and one that was never seen
@@ -144,7 +171,8 @@ class Table:
 class Scorer:
     """One block of the model."""
 
-    def __init__(self, rows: pa.Table, block: int, blocks: int):
+    def __init__(self, rows: pa.Table, block: int, blocks: int, table: np.ndarray):
+        self.table = table
         kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "key", "value"))
         self.block, self.blocks = block, blocks
         self.tables = {k: Table(key[kind == k], value[kind == k].astype(np.float32)) for k in range(-ORDER, ORDER + 1) if k not in (0, -1)}
@@ -169,7 +197,7 @@ class Scorer:
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of ln p over this block's predictions, all predictions) of each text."""
-        codes, at = grams(*symbols(texts))
+        codes, at = grams(*symbols(texts, self.table))
         if self.blocks == 1:
             p = self.log_p(codes)
         else:
@@ -186,7 +214,7 @@ def block_of(pair, blocks: int):
     return F.shiftright(pair * 40503, 4) % blocks
 
 
-def scores(docs: DataFrame, tables: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scores(docs: DataFrame, tables: DataFrame, table: np.ndarray, keep: tuple[str, ...] = ("doc_id", "lang"), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The columns ``keep`` with n_grams and perplexity of every row."""
     small_batches(docs.sparkSession)
     rows = tables.count()
@@ -199,7 +227,7 @@ def scores(docs: DataFrame, tables: DataFrame, keep: tuple[str, ...] = ("doc_id"
 
     def one(block: int) -> DataFrame:
         own = dealt.where(F.col("block").isin(-1, block)).select("kind", "key", "value").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(Scorer(own, block, blocks))
+        shared = docs.sparkSession.sparkContext.broadcast(Scorer(own, block, blocks, table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches, 1 << 20):
@@ -233,12 +261,14 @@ def trusted(docs: DataFrame, labels: DataFrame, max_ids: int = MAX_IDS) -> DataF
 def classify(docs: DataFrame, labels: DataFrame, low: float = 0.0, high: float = 0.995, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, keep) of every document."""
     rows = trusted(docs.select("doc_id", "text", "lang"), labels)
-    scored = checkpointed(scores(rows, model(rows.where("trusted")), ("doc_id", "lang", "trusted"), block_rows))
+    table = alphabet(rows.where("trusted"))
+    scored = checkpointed(scores(rows, model(rows.where("trusted"), table), table, ("doc_id", "lang", "trusted"), block_rows))
     bounds = lambda d: d.agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))
     good = scored.where("trusted and perplexity is not null")
     every = bounds(good).withColumnRenamed("q", "q_all")
-    by_lang = bounds(good.groupBy(F.coalesce("lang", F.lit("")).alias("of"))).withColumnRenamed("q", "q_lang")
-    joined = scored.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("of"), "left").crossJoin(F.broadcast(every))
+    by_lang = checkpointed(bounds(good.groupBy(F.col("lang").alias("of"))).withColumnRenamed("q", "q_lang"))
+    few = F.broadcast(by_lang) if by_lang.count() <= MAX_LANGS else by_lang  # else a language is a key of the join
+    joined = scored.join(few, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(every))
     q = F.coalesce("q_lang", "q_all")
     keep = F.coalesce((F.col("perplexity") >= q[0]) & (F.col("perplexity") <= q[1]), F.lit(True))
     return joined.select("doc_id", "lang", "n_grams", "perplexity", keep.alias("keep"))
