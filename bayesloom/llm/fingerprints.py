@@ -16,6 +16,8 @@ Two texts without paragraphs are alike (1.0). A table of one row is its own next
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ BREAKS = r"\\n+|(?<=[.!?])[ \\t]+"
 BITS, TRIES = 3, (3, 4, 5, 7)
 #: Digests that a small sketch gets, about.
 LOAD = 8
-RANGE_BYTES = 4 << 20
+#: Text of a range, about, the number of quantiles that end one, and into how many parts one may be split.
+RANGE_BYTES, RANGES, SPLIT = 1 << 20, 4096, 16
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -88,24 +91,39 @@ def likeness(difference: Column, a: str, b: str) -> Column:
     return F.when(both == 0, 1.0).otherwise((both - difference) / (both + difference))
 
 
+def literals(values) -> Column:
+    return F.array(*(F.lit(v).cast("bigint") for v in values))
+
+
+def place(bounds: list[int], x: Column) -> Column:
+    """How many of the ascending bounds are below ``x``, looked up in two steps."""
+    step = math.isqrt(len(bounds)) + 1
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < x))
+    group = F.greatest(below(literals(g[0] for g in groups)) - 1, F.lit(0))
+    return group * step + below(F.get(F.array(*map(literals, groups)), group))
+
+
 def in_order(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, Window]:
     """(rows by ranges of the order, the order within a range): each range also holds its successor's first row, as a guest.
 
-    Ranges come from at most 256 quantiles of the id, each cut into at most 256 equal parts, so that the table of their
-    first rows, which is broadcast, has 65,536 rows at most.
+    Ranges end at up to 4,096 quantiles of the id, so that clustered ids make narrow ones; an id that is a quantile twice is
+    split by the hash of the text, as null ids are; beyond that many ranges each is cut into at most 16 equal parts. The
+    table of their first rows, which is broadcast, has 131,088 rows at most.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(256, max(1, -(-total // range_bytes)))
-    deep = min(256, max(1, -(-total // (n * range_bytes))))
-    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(int(n) + 1)], 20000)).first()[0]
-    bounds = sorted(set(found or [0]))
-    edges = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    at = F.size(F.filter(edges, lambda b: b < F.col("doc_id")))
-    low, high = F.coalesce(F.get(edges, F.col("at") - 1), F.col("doc_id")), F.coalesce(F.get(edges, F.col("at")), F.col("doc_id"))
+    n = int(min(RANGES, max(1, -(-total // range_bytes))))
+    deep = int(min(SPLIT, max(1, -(-total // (n * range_bytes)))))
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(n + 1)], 20000)).first()[0] or [0]
+    bounds, heavy = sorted(set(found)), sorted({a for a, b in zip(found[:-1], found[1:], strict=True) if a == b})
+    every = literals(bounds)
+    low, high = (F.coalesce(F.get(every, F.col("at") + k), F.col("doc_id")) for k in (-1, 0))
     part = F.least(F.lit(deep - 1), ((F.col("doc_id") - low) * F.lit(float(deep)) / F.greatest(high - low, F.lit(1))).cast("int"))
-    known = F.col("at").cast("bigint") * deep + F.greatest(F.lit(0), part) + 16
-    ranged = rows.withColumn("at", at).withColumn("range", F.when(F.col("doc_id").isNull(), F.shiftright("h", 60) + 8).otherwise(known)).drop("at")
+    by_hash = F.shiftright("h", 60) + SPLIT // 2
+    inner = F.when(F.col("doc_id").isin(heavy), deep + by_hash).otherwise(F.greatest(F.lit(0), part)) if heavy else F.greatest(F.lit(0), part)
+    known = F.col("at").cast("bigint") * (deep + SPLIT) + inner + SPLIT
+    ranged = rows.withColumn("at", place(bounds, F.col("doc_id"))).withColumn("range", F.when(F.col("doc_id").isNull(), by_hash).otherwise(known).cast("bigint")).drop("at")
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "h")
     firsts = ranged.groupBy("range").agg(F.max(key).alias("first"))
     over = Window.orderBy("range")
