@@ -3,8 +3,8 @@
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text. A seed is a fixed mask over
 consecutive words: only positions marked 1 enter its hash, so a substituted word under a 0 doesn't hide a hit. Every seed
 of every document is looked up among the benchmark's. Around a hit both word sequences are laid side by side, and the
-longest stretch with at least ``identity`` equal words is taken; it counts if it has ``min_words`` words, or all words
-of a shorter item. No overlap that counts is without a hit: ``complete`` proves it for MASKS at any length, other limits
+longest stretch between two equal words with at least ``identity`` equal words is taken, the first of several; it counts
+if it has ``min_words`` words, or all words of a shorter item. No overlap that counts is without a hit: ``complete`` proves it for MASKS at any length, other limits
 get lighter seeds, and items of fewer than ``min_words`` words get the masks of ``short_masks`` at their length.
 
 The benchmark's words and seeds are broadcast in blocks of at most ``block_words`` words; each block is one pass over
@@ -162,24 +162,18 @@ class Seeds:
 
 
 def longest(equal: np.ndarray, identity: float) -> tuple[int, int]:
-    """(start, end) of the longest stretch of which at least ``identity`` is true."""
+    """(start, end) of the longest stretch that begins and ends with true and of which at least ``identity`` is true; the
+    first of several, (0, 0) of none."""
+    if not equal.any():
+        return 0, 0
     walk = np.concatenate([[0], np.cumsum(np.round((equal - identity) * 1000).astype(np.int64))])
-    low, high = np.minimum.accumulate(walk), np.maximum.accumulate(walk[::-1])[::-1]
-    i = j = best = 0
-    at = (0, 0)
-    while i < len(walk) and j < len(walk):
-        if high[j] >= low[i]:
-            if j - i > best:
-                best, at = j - i, (i, j)
-            j += 1
-        else:
-            i += 1
-    s, e = at
-    while s < e and not equal[s]:
-        s += 1
-    while e > s and not equal[e - 1]:
-        e -= 1
-    return s, e
+    far = np.iinfo(np.int64).max // 4
+    low = np.minimum.accumulate(np.where(np.append(equal, False), walk, far))  # least sum before a start up to here
+    high = np.maximum.accumulate(np.where(np.concatenate([[False], equal]), walk, -far)[::-1])[::-1]  # greatest at an end from here on
+    reach = np.searchsorted(-high, -low, "right") - 1
+    sizes = reach - np.arange(len(reach))
+    start = int(sizes.argmax())
+    return (start, int(reach[start])) if sizes[start] > 0 else (0, 0)
 
 
 SCHEMA = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint, item_words bigint"
