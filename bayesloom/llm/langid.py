@@ -10,7 +10,8 @@ The fit uses at most ``max_docs`` labelled documents of at most 2**bits slots ea
 of the id. It runs in one task; the model (2**bits x languages floats) is all that the driver and executors hold.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0; a null label is not trained on; a null id is kept.
-No labelled row at all: every text is ``und``. Repeated rows count as often as they come. Empty table: no rows.
+No labelled row at all: every text is ``und``. Equal scores go to the first language by name. Repeated rows count as often
+as they come. Texts of any length are whole: work goes by pieces of texts, and one long text is a piece by itself. Empty table: no rows.
 """
 
 from __future__ import annotations

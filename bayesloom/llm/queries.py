@@ -96,4 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_shards": op5_token_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can express; the tests compare the others with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_repeated_words": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT r, o, i, array_to_string(list_slice(w, i, i + 49), ' ') AS t FROM (SELECT r, o, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+bad AS (SELECT r, i, i AS start FROM (SELECT r, o, i, min(o) OVER (PARTITION BY t) AS least FROM h) WHERE least < o),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (SELECT r, i, word, max(start) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words LEFT JOIN bad USING (r, i)),
+kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+}

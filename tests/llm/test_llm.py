@@ -62,6 +62,29 @@ def test_language_id(spark):
     assert (w.weights == 0).sum() >= 13 * 2  # L1 keeps unseen slots at zero
 
 
+def test_language_scores_by_definition():
+    """A text's scores are the means of its n-grams' weights, n-gram by n-gram; ties go to the first language."""
+    r = np.random.Generator(np.random.PCG64(1))
+    m = langid.Model(["a", "b"], r.normal(size=(1 << 10, 2)).astype(np.float32), np.array([0.1, -0.1]), 2.0, 10)
+    texts = ["The cat", "x", "", "Ünïcode 日本", "12 %", "aaaa aaaa"]
+
+    def slot(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ ord(c)) * ((0x01000193 + 0x9E3779B0) & 0xFFFFFFFF)) & 0xFFFFFFFF
+            h ^= h >> 15
+        return h >> 22
+
+    got, spoken = m.scores(texts)
+    for t, row, ok in zip(texts, got, spoken, strict=True):
+        padded = f" {t.lower()} "
+        grams = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+        assert row == pytest.approx(np.mean([m.weights[slot(g)] for g in grams], axis=0) + m.bias, abs=1e-5) and ok == any(c.isalpha() for c in t)
+        assert langid.features([t], 10)[0][1].sum() == pytest.approx(1)
+    even = langid.Model(["a", "b"], np.zeros((4, 2), np.float32), np.zeros(2), 1.0, 2)
+    assert even.predict(["xy"])[0] == ["a"] and even.predict(["xy"])[1][0] == 0.5
+
+
 def kneser_ney(texts):
     """ln p of a 5-gram of characters by definition."""
     grams = Counter()
@@ -104,10 +127,25 @@ def test_perplexity(spark):
             want = np.exp(-np.mean([np.log(p(s[j : j + 5])) for j in range(len(s) - 4)]))
             assert got[i]["perplexity"] == pytest.approx(want, rel=1e-4) and got[i]["n_grams"] == len(t or "") + 1
     assert not got[4]["keep"] and got[0]["keep"]
+    twice = perplexity.classify(docs.unionAll(docs.where("doc_id in (0, 5)")), labels, block_rows=40).collect()  # repeated rows
+    assert len(twice) == 10 and len({r["perplexity"] for r in twice if r["doc_id"] == 0}) == 1
+    nulls = perplexity.classify(docs_of(spark, ["abc", "abd", "xyz"], [0, 1, None], [None, "", None]), labels).collect()
+    assert len(nulls) == 3 and perplexity.classify(docs.limit(0), labels).count() == 0
     none = perplexity.classify(docs, labels.limit(0)).collect()
     assert len(none) == 8 and all(r["keep"] and r["perplexity"] is None for r in none)
 
 
+def test_perplexity_symbols(spark, monkeypatch):
+    """Characters of any script have symbols of their own, as long as there are symbols; rare ones share some."""
+    texts = ["đầy đủ", "日本語と中文", "한국어", "\x02\x03"]
+    table = perplexity.alphabet(docs_of(spark, texts))
+    own = {ord(c) for t in texts for c in t}
+    assert len(set(table[sorted(own)].tolist())) == len(own) and table[sorted(own)].min() >= perplexity.OWN
+    data, at = perplexity.symbols(["日a", ""], table)
+    assert data[:4].tolist() == [0] * 4 and data[4] == table[ord("日")] and data[6] == 1 and at.tolist() == [0, 7, 12]
+    assert 2 <= table[ord("z")] < perplexity.OWN and table.max() < 1 << perplexity.BITS
+
+
 def simhash_by_definition(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -198,6 +236,27 @@ def test_fingerprints(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_fingerprints_ranges(spark, monkeypatch):
+    """The next text is found over many ranges: clustered, repeated and null ids, in any number of parts."""
+    r = random.Random(8)
+    ids = [*range(20), *(10**15 + k for k in range(20)), *[7] * 25, *[None] * 9, -5, 2**62]
+    texts = [f"One {r.random()}. Two {i}." for i in range(len(ids))]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(rows, key=lambda x: (x["doc_id"] is None, -(x["doc_id"] or 0), -x["h"]))
+    want = Counter()
+    for a, b in zip(order, [*order[1:], order[0]], strict=True):
+        t, cut = a["text"], len(a["text"]) // 3
+        want[hashlib.sha256((t[: len(t) - cut] + b["text"][:cut]).encode()).hexdigest()] += 1
+    for size, ranges in ((10, 4096), (200, 4), (1 << 20, 4096)):
+        monkeypatch.setattr(fingerprints, "RANGES", ranges)
+        monkeypatch.setattr(fingerprints.in_order, "__defaults__", (size,))
+        got = fingerprints.fingerprints(docs_of(spark, texts, ids)).select("edited_sha256").collect()
+        assert Counter(x[0] for x in got) == want
+    bounds = sorted(r.sample(range(1000), 57))
+    for x in spark.range(1000).select("id", fingerprints.place(bounds, F.col("id")).alias("at")).collect():
+        assert x["at"] == sum(b < x["id"] for b in bounds)
+
+
 def test_sst_file():
     out = io.BytesIO()
     w = sst.Writer(out, 2)
@@ -294,6 +353,62 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {n, n + 1, n + 3, n + 5}
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.longest(np.array([1, 0, 0, 1, 1, 1, 1, 0, 1, 1, 0, 0], bool), 0.8) == (3, 10)
+    nulls = docs_of(spark, [item, item, None], [None, 4, 4])
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in decontaminate.contaminated(nulls.unionAll(nulls), bench).collect()) == [(False, 4)] * 2 + [(True, None)] * 2
+    assert decontaminate.contaminated(docs_of(spark, texts).limit(0), bench).count() == 0
+
+
+def longest_by_definition(equal, identity):
+    n, found = len(equal), (0, 0)
+    for s in range(n):
+        for e in range(s + 1, n + 1):
+            if equal[s] and equal[e - 1] and 1000 * sum(equal[s:e]) >= round(identity * 1000) * (e - s) and e - s > found[1] - found[0]:
+                found = (s, e)
+    return found
+
+
+def test_longest_stretch():
+    r = random.Random(9)
+    for _ in range(400):
+        equal = [r.random() < 0.75 for _ in range(r.randrange(1, 45))]
+        assert decontaminate.longest(np.array(equal), 0.8) == longest_by_definition(equal, 0.8)
+    assert decontaminate.longest(np.zeros(0, bool), 0.8) == (0, 0)
+
+
+def overlaps_by_definition(texts, items, least, identity):
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    out = {}
+    for d, t in enumerate(texts):
+        for i, x in items:
+            a, b = words(t), words(x)
+            for shift in range(-len(a) + 1, len(b)):
+                lo, hi = max(0, shift), min(len(b), len(a) + shift)
+                s, e = longest_by_definition([a[k - shift] == b[k] for k in range(lo, hi)], identity)
+                if e > s and e - s >= min(least, len(b)):
+                    n = sum(a[k - shift] == b[k] for k in range(lo + s, lo + e))
+                    row = (e - s, n, -(lo - shift + s))
+                    out[d, i] = max(out.get((d, i), row), row)
+    return out
+
+
+def test_decontamination_against_all_alignments(spark):
+    """Every stretch that counts is found, also beside a longer one that doesn't; a naive aligner gives the same rows."""
+    r = random.Random(10)
+    items = [(k, " ".join(f"w{r.randrange(12)}" if k % 2 else f"q{k}x{j}" for j in range(n))) for k, n in enumerate((4, 9, 13, 20, 31, 60))]
+    texts = []
+    for k in range(60):
+        own = r.choice(items)[1].split()
+        s = r.randrange(len(own))
+        part = own[s : s + r.randrange(1, len(own) + 1)]
+        for _ in range(r.randrange(6)):
+            part[r.randrange(len(part))] = f"z{r.randrange(99)}"
+        texts.append(" ".join([*(f"u{r.randrange(9)}" for _ in range(r.randrange(6))), *part, *(f"w{r.randrange(12)}" for _ in range(r.randrange(9)))]))
+    long = items[5][1].split()
+    texts.append(" ".join([*(w if j not in (4, 9) else "zz" for j, w in enumerate(long[:13])), *["yy"] * 17, *long[30:42], *["yy"] * 18]))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["n_words"], x["n_equal"], -x["start_word"]) for x in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    want = overlaps_by_definition(texts, items, 13, 0.8)
+    assert got == want and (60, 5) in want
 
 
 def layouts(n, wrong):
@@ -527,6 +642,17 @@ def test_repeated_words_nulls_and_ties(spark):
     assert sorted((r["doc_id"] is not None, r["n_removed"]) for r in got) == [(False, 30), (False, 30), (True, 0), (True, 0)]
 
 
+def test_repeated_words_sql(spark):
+    import duckdb
+
+    docs = f"create view documents as select * from '{SF}/documents.parquet'"
+    con = duckdb.connect()
+    con.execute(docs)
+    want = con.sql(queries.ORACLE_SQL["op10_repeated_words"]).fetchall()
+    got = queries.op10_repeated_words(spark, SF).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and any(r["n_removed"] for r in got)
+
+
 def test_automaton():
     r = random.Random(2)
     for _ in range(50):
