@@ -7,19 +7,22 @@ they measure: by id modulo 5, 0 is the test part, 1 is held out for the fit, 2 t
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import coerce, maths
+from .functions import coerce, maths, tokenizers
 from .functions.tokenizers import ChainTokenizer, NGramTokenizer, RegexTokenizer, WordTokenizer
 from .operators import calibrate, metrics, recommend, score, train, views
 from .operators.model import Model
 from .operators.tag import Tagger, TagSettings
-from .plans.engine import Service
-from .sources import payload, scratch
+from .plans.engine import Engine, Service, parse
+from .sources import histograms, payload, scratch
+from .sources.jdbc import JdbcRegistry, encode_token
 from .sources.registry import Registry
 from .streaming import trainer
 
@@ -671,6 +674,170 @@ def service_recommend(spark, d):
     return out.select("brand", F.explode(scores).alias("candidate", "score")).select("brand", "candidate", r("score").alias("score"))
 
 
+# More of storage, streams and requests.
+
+
+def part_model(spark, d, **settings) -> Model:
+    part = table(spark, d, "part")
+    return Model.fit(train.training_log(part, F.when(F.col("p_size") > 25, "liked").otherwise("ignored"), WordTokenizer().column(F.concat_ws(" ", "p_name", "p_type")), "p_partkey"), **settings)
+
+
+PART_CELLS = f"{PART_STATS} SELECT category, token, cnt, doc_cnt FROM cells"
+
+
+@query(f"{BASE}, asked AS (SELECT DISTINCT unnest({WORDS}) AS token FROM benchmark) SELECT category, token, cnt, doc_cnt FROM cells JOIN asked USING (token)")
+def registry_tokens(spark, d):
+    registry = Registry(spark, _folder(spark))
+    registry.save(model(spark, d, name="langs"))
+    return registry.tokens("langs", table(spark, d, "benchmark").select(F.explode(WordTokenizer().column(F.col("text"))).alias("token")))
+
+
+@query("SELECT unnest(['first', 'second']) AS name, unnest([2, 1]) AS generation, unnest(['multinomial-naive-bayes', 'complement-naive-bayes']) AS kind, unnest([0.5, 1.0]) AS alpha")
+def registry_list(spark, d):
+    registry = Registry(spark, _folder(spark))
+    m = part_model(spark, d)
+    registry.save(m.with_(name="first"))
+    registry.save(m.with_(name="first", alpha=0.5))
+    registry.save(m.with_(name="second", kind="complement-naive-bayes"))
+    registry.save(m.with_(name="third"))
+    registry.delete("third")
+    found = [(n, registry.generation(n), registry.load(n).kind, registry.load(n).alpha) for n in registry.list()]
+    return spark.createDataFrame(found, "name string, generation int, kind string, alpha double")
+
+
+def _followed(spark, d, mode: str) -> DataFrame:
+    """The stored counts after half of the documents were trained in a batch."""
+    registry, log = Registry(spark, _folder(spark)), scratch.kept(train_log(spark, d))
+    registry.save(Model.fit(log.where("seq % 2 = 0"), name="langs"))
+    histograms.start(registry, "langs", mode)
+    batch, old = log.where("seq % 2 = 1"), registry.load("langs")
+    new = old.with_(cells=trainer.fold(old.cells, trainer.signed(batch)), categories=trainer.fold_categories(old.categories, batch), histogram=None)
+    registry.save(new, registry.generation("langs"), **histograms.follow(registry, old, new, batch.select(F.explode("tokens").alias("token"))))
+    while histograms.maintain(registry, "langs", limit=50_000):
+        pass
+    return registry.histogram("langs")
+
+
+def _follow(mode: str):
+    def build(spark, d):
+        return _followed(spark, d, mode)
+
+    CATALOG[f"histogram_{mode}"] = Query(build, f"{BASE} {' UNION ALL '.join(HIST.values())}")
+
+
+for _mode in histograms.MODES:
+    _follow(_mode)
+
+
+@query(PART_CELLS)
+def jdbc_cells(spark, d):
+    registry = JdbcRegistry(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true")
+    registry.save(part_model(spark, d, name="parts"))
+    return registry.load("parts").cells
+
+
+@query(PART_CELLS)
+def jdbc_payload_cells(spark, d):
+    registry = JdbcRegistry(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "payload")
+    registry.save(part_model(spark, d, name="parts"))
+    return registry.load("parts").cells
+
+
+@query(f"{PART_STATS} SELECT name, category, token, cnt, doc_cnt FROM cells CROSS JOIN (SELECT unnest(['one', 'two']) AS name)")
+def convert_all(spark, d):
+    registry, m = Registry(spark, _folder(spark)), part_model(spark, d)
+    names = payload.convert_all(payload.export(m.with_(name="one")).unionAll(payload.export(m.with_(name="two"))), registry)
+    return reduce(DataFrame.unionByName, [registry.load(n).cells.withColumn("name", F.lit(n)) for n in names])
+
+
+@query("SELECT p_partkey AS id, CASE WHEN length(t) > 191 THEN substring(t, 1, 150) || '~' || sha1(t) ELSE t END AS key FROM (SELECT p_partkey, repeat(p_name, CAST(p_size AS INTEGER)) AS t FROM part)")
+def token_keys(spark, d):
+    part = table(spark, d, "part")
+    return part.select(F.col("p_partkey").alias("id"), encode_token(F.repeat("p_name", F.col("p_size").cast("int"))).alias("key"))
+
+
+@query(f"WITH {LESS} {FOLD} SELECT category, token, cnt, doc_cnt FROM cells")
+def stream_withdrawn_cells(spark, d):
+    """A stream of training documents and of their withdrawals."""
+    path, signed = f"{_folder(spark)}/log", signed_log(spark, d)
+    signed.write.parquet(path)
+    return trainer.stream_cells(spark, path, signed.schema, lambda log: log, _folder(spark))
+
+
+@query(CELLS)
+def replayed_overdrawn_cells(spark, d):
+    """Withdrawals that come before what they withdraw take nothing."""
+    log = train_log(spark, d)
+    return train.replay(log.unionByName(log.where("seq % 5 = 2").withColumn("sign", F.lit(-1)).withColumn("seq", F.col("seq") - 10**12)))
+
+
+@query(f"{tag_ctes().replace(TAG_STATS, TAG_STATS.replace('USING (doc_id))', 'USING (doc_id) WHERE doc_id % 5 <> 2)'))} SELECT doc_id, label, round(log_odds, 4) AS log_odds FROM pr")
+def untagged_log_odds(spark, d):
+    """Tags of a fifth of the documents are trained and withdrawn."""
+    log = Tagger.log(tagged(spark, d), F.col("labels"), WordTokenizer().column(F.col("text")))
+    less = log.where("seq % 5 = 2").withColumns({"sign": F.lit(-1), "seq": F.col("seq") + 10**12})
+    return Tagger.fit(log.unionByName(less)).log_odds(documents(spark, d)).select("doc_id", "label", r("log_odds", 4).alias("log_odds"))
+
+
+@query(f"{tag_ctes(probability='1 / (1 + exp(-(0.01 * log_odds - 0.25)))')} SELECT doc_id, label, round(probability, 6) AS probability FROM pr")
+def tag_platt_apply(spark, d):
+    t = tagger(spark, d)
+    fitted = spark.createDataFrame([("quality", 0.01, -0.25), ("toxic", 0.01, -0.25)], "label string, slope double, intercept double")
+    return Tagger(t.model, t.settings, fitted).probabilities(documents(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
+
+
+@query(f"{scored('cnb', part=1)} SELECT count(*) AS samples, true AS installed FROM td")
+def calibrated_model(spark, d):
+    m, held = evaluated(spark, d, held=True, kind="complement-naive-bayes")
+    fitted = calibrate.calibrate(m, held, held)
+    again = calibrate.fit_temperature(score.log_scores(m, held), held)
+    same = abs(fitted.temperature / again.value - 1) < 1e-3 and fitted.is_calibrated and not m.is_calibrated
+    return spark.createDataFrame([(fitted.temperature_samples, same)], "samples bigint, installed boolean")
+
+
+@query(unnested("doc_id", WORDS, "documents"))
+def tokens_sql(spark, d):
+    """The tokenizer as a SQL function."""
+    tokenizers.register_sql(spark)
+    name = f"documents_{uuid.uuid4().hex}"
+    table(spark, d, "documents").createOrReplaceTempView(name)
+    return tokens_of(spark.sql(f"SELECT doc_id, bayes_words(text) AS tokens FROM {name}"), "doc_id", F.col("tokens"))
+
+
+@query(unnested("item_id", f"list_concat(w, {char_sql(3, False)})", BENCH))
+def tokens_restored(spark, d):
+    """A tokenizer that went through its exported state."""
+    back = tokenizers.restore(tokenizers.export(ChainTokenizer([WordTokenizer(), NGramTokenizer(3, pad=False)])))
+    return tokens_of(table(spark, d, "benchmark"), "item_id", back.column(F.col("text")))
+
+
+ITEMS = f"SELECT item_id AS doc_id, {WORDS} AS tokens FROM benchmark"
+
+
+@query(f"SELECT 'cnb' AS model, * FROM ({softmaxed(scored('cnb', docs=ITEMS))} SELECT doc_id, category, round(score, 6) AS score FROM sm) UNION ALL SELECT 'mnb', * FROM ({softmaxed(scored(docs=ITEMS))} SELECT doc_id, category, round(score, 6) AS score FROM sm)")
+def engine_score_all(spark, d):
+    """Every model of a registry scores the same documents."""
+    registry, m = Registry(spark, _folder(spark)), model(spark, d)
+    registry.save(m.with_(name="mnb"))
+    registry.save(m.with_(name="cnb", kind="complement-naive-bayes"))
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return Engine(spark, registry).load_all().score_all(docs).select("model", "doc_id", "category", r("score").alias("score"))
+
+
+@query("SELECT doc_id AS req_id, CASE doc_id % 6 WHEN 0 THEN 200 ELSE 400 END AS status, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'parameter_invalid' WHEN 2 THEN 'action_unknown' WHEN 3 THEN 'candidates_empty' WHEN 4 THEN 'candidates_blank' ELSE 'parameter_invalid' END AS error FROM documents")
+def service_errors(spark, d):
+    """JSON requests, most of them faulty."""
+    bodies = ['{"text": "one two"}', '{"text": {"a": 1}}', '{"action": "delete", "text": "x"}', '{"action": "recommend", "candidates": []}', '{"action": "recommend", "candidates": " "}', '{"action": "recommend", "candidates": [["x"]]}']
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("doc_id") % 6 + 1).cast("int"))
+    asks = parse(table(spark, d, "documents").select(F.col("doc_id").alias("req_id"), body.alias("body")))
+    return Service(part_model(spark, d)).respond(asks).select("req_id", "status", "error")
+
+
+@query("SELECT doc_id, 'untrained' AS error, CAST(NULL AS VARCHAR) AS category FROM documents")
+def classify_untrained(spark, d):
+    return score.classify(Model.fit(train_log(spark, d).limit(0)), documents(spark, d)).select("doc_id", "error", "category")
+
+
 # Scalar functions.
 
 
