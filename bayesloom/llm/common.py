@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import fresh_dir, shared_dir  # noqa: F401  operators take them from here
+
 #: Documents are worked on in pieces of about so many bytes of text, whatever the batch or the partition holds.
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python.
@@ -26,17 +26,6 @@ WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='bayesloom-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder until nothing refers to it."""
     shared_dir(df.sparkSession)
@@ -98,10 +87,6 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def filesystem(uri: str):
     """(file system, path) for a folder or file that any executor can reach."""
     from pyarrow import fs

@@ -11,7 +11,8 @@ The benchmark's words and seeds are broadcast in blocks of at most ``block_words
 the documents, so the broadcast is bounded whatever the benchmark holds.
 
 Nulls: a null text has no words and gives no row; a null id is kept. Repeated documents or items each give their rows.
-Empty table on either side: no rows. Other columns are ignored.
+Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table on either side: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -232,6 +232,20 @@ def sent_first(docs: np.ndarray, names: np.ndarray, buckets: int) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _firsts, strict=True)], schema=_firsts)
 
 
+def gathered_first(parts: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``sent_first`` for (docs, names) of small pieces of text, put together until they are worth a row a bucket."""
+    docs, names, n = [], [], 0
+    for own, found in parts:
+        docs.append(own)
+        names.append(found)
+        n += len(found)
+        if n >= SEND_NAMES:
+            yield from sent_first(np.concatenate(docs), np.concatenate(names), buckets)
+            docs, names, n = [], [], 0
+    if n:
+        yield from sent_first(np.concatenate(docs), np.concatenate(names), buckets)
+
+
 def _tell_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told(parts: list[bytes]) -> pa.RecordBatch | None:
         if not parts:

@@ -11,7 +11,7 @@ as they need, and each small sketch that can't be peeled is retried with twice t
 arrays within a row: there is no explosion, and one exchange, by ranges of the order that says which text is next.
 
 Nulls: a null text is empty; a null id comes last, in the order of the text's hash. Repeated ids follow that order too.
-Two texts without paragraphs are alike (1.0). A table of one row is its own next. Empty table: no rows. Other columns are ignored.
+Two texts without paragraphs are alike (1.0). A table of one row is its own next. Texts of any length are whole. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

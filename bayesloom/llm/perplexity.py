@@ -11,7 +11,8 @@ Threshold: a text is kept if its perplexity lies between two quantiles of truste
 
 Nulls: a null text is empty, and an empty text's only prediction is its end; a null language is a language of its own; a
 null id is kept but never trusted. Equal perplexities fall on the same side of a threshold, which itself is kept. Languages without trusted text take the thresholds of all trusted text; without any
-trusted text perplexity is null and every text is kept. Repeated rows are kept. Empty table: no rows. Other columns are ignored.
+trusted text perplexity is null and every text is kept. Repeated rows are kept. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ distinct segments of a batch are encoded in batches by the library's threads, an
 fit (runs of blanks, blanks at an end, markers) run through the whole tokenizer. ``compare`` encodes with the
 sentencepiece library too and says for each text whether the ids are the same.
 
-Nulls: a null text is empty and has no ids; a null id is kept, as are repeated rows. Empty table: no rows. Other columns are ignored.
+Nulls: a null text is empty and has no ids; a null id is kept, as are repeated rows. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

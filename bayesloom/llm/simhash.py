@@ -11,7 +11,8 @@
 4. Components: large-star and small-star rounds join the buckets' edges; each round is written to the shared folder.
 
 Nulls: a null text has no words, so its fingerprint is zero, as that of an empty text; a null id is kept, and never names
-a component unless all its members' ids are null. Repeated rows are kept. Empty table: no rows. Other columns are ignored.
+a component unless all its members' ids are null. Repeated rows are kept. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

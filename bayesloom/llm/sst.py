@@ -11,7 +11,8 @@ File layout (little endian)
     footer  u64 bloom offset, u64 bloom bytes, u32 hashes, u64 index offset, u32 blocks, u64 entries, u64 ids, u32 width, magic
 
 Nulls: a null document id sorts before all others, a null text is an empty one. Repeated ids are kept, in the order of
-the ids' hash of text, each with its ordinal. An empty table gives no shard. Other columns are ignored.
+the ids' hash of text, each with its ordinal. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. An empty table gives no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -241,6 +242,37 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return placed.repartition(n, "shard").mapInArrow(tidy(read), "doc_id bigint, start bigint, ids array<int>")
 
 
+def find(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents of ``ids(doc_id)``: each id goes to the shards whose range holds it, and is found there
+    by the Bloom filter, a binary search in the index and one block. The manifest (a row a shard) is broadcast."""
+    first, last = F.col("first_id"), F.col("last_id")
+    null = (first.isNull(), last.isNull())  # null ids come first of all
+    inside = F.when(F.col("doc_id").isNull(), null[0]).otherwise((null[0] | (first <= F.col("doc_id"))) & ~null[1] & (F.col("doc_id") <= last))
+    asked = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(F.broadcast(manifest.select("path", "first_id", "last_id")), inside)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, last, file = None, None, None
+        for batch in batches:
+            found = ([], [])
+            for doc_id, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != last:
+                    if file is not None:
+                        file.close()
+                    fs, name = filesystem(path)
+                    file, last = fs.open_input_file(name), path
+                    shard = Shard(file)
+                for own in shard.get(doc_id):
+                    found[0].append(doc_id)
+                    found[1].append(own.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(found, schema, strict=True)], schema=schema)
+        if file is not None:
+            file.close()
+
+    dealt = asked.select("doc_id", "path").repartition("path").sortWithinPartitions("path", "doc_id")
+    return dealt.mapInArrow(tidy(look), "doc_id bigint, ids array<int>")
+
+
 def digests(read: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of read documents."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])

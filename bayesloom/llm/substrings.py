@@ -15,7 +15,8 @@ An automaton is handed to the task that holds its document's runs instead of bei
 together grow with the corpus; a task holds one block's automaton at a time.
 
 Nulls: a null text has no words; a null id counts as larger than any other, and null ids never take words from each
-other. Rows with equal ids never take words from each other. Empty table: no rows. Other columns are ignored.
+other. Rows with equal ids never take words from each other. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LETTER, Rolling, checkpointed, chunks, flat, release, small_batches, text_column, tidy, word_spans
-from .exchange import KEY_MASK, bucket_count, first_holders, gathered, sent_first, shared_names, short, told_names, unsix
+from .exchange import KEY_MASK, bucket_count, first_holders, gathered, gathered_first, shared_names, short, told_names, unsix
 from .suffixes import _ints, _runs, pieces, positions
 
 WINDOW = 50
@@ -202,10 +203,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     release(docs.sparkSession)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts, piece in pieces(batches, "z"):
-            text = Text(np.frombuffer(b"".join(texts), np.uint8), piece.offsets)
-            doc, at = positions(part.column(2))
-            yield from sent_first(part.column(0).to_numpy()[doc], text.windows(doc, at, window), wide)
+        def names() -> Iterator[tuple]:
+            for part, texts, piece in pieces(batches, "z"):
+                text = Text(np.frombuffer(b"".join(texts), np.uint8), piece.offsets)
+                doc, at = positions(part.column(2))
+                yield part.column(0).to_numpy()[doc], text.windows(doc, at, window)
+
+        yield from gathered_first(names(), wide)
 
     holders = first_holders(held.select("doc", "z", "at"), send_windows, wide)
     run_schema = pa.schema([("role", pa.int32()), ("owner", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.binary())])

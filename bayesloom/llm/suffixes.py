@@ -18,7 +18,8 @@ neighbours in either order, and only equality is asked for. A full suffix array
 not fit a few times the input on disk; the samples of step 1 take half a byte for each byte of text.
 
 Nulls: a null text is empty; a null id is kept. Texts shorter than ``length`` are unchanged. Repeated rows repeat each
-other, so that each loses whatever is long enough. Matches never cross documents. Empty table: no rows. Other columns are ignored.
+other, so that each loses whatever is long enough. Matches never cross documents. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

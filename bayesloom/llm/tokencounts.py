@@ -12,7 +12,8 @@ boundary goes by the rule:
 Characters of no section count under no section; overlapping sections each count their tokens.
 
 Nulls: a null text is empty, a null list of sections is none, a section with a null bound or of no length gets 0. Each
-section of each row gives a row. Repeated rows are kept; null ids are kept. Empty table: no rows. Other columns are ignored.
+section of each row gives a row. Repeated rows are kept; null ids are kept. Texts of any length are
+worked on whole: one longer than a piece of work is a piece by itself. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

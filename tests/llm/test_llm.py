@@ -289,6 +289,51 @@ def test_sst_query(spark):
     assert sst.token_shards(docs_of(spark, ["a"]).limit(0), path).count() == 0
 
 
+def test_sst_look_up(spark):
+    path = queries.vocabulary("word_bpe_49k.json")
+    ids = [*range(0, 300, 3), None, 30, 30]
+    texts = [f"number {i} of {len(ids)}" for i in range(len(ids))]
+    manifest = sst.write_shards(docs_of(spark, texts, ids), path, common.fresh_dir(spark, "sst"))
+    asked = spark.createDataFrame([(i,) for i in (0, 30, 31, 297, None, 5000, 30)], "doc_id bigint")
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in sst.find(manifest, asked).collect())
+    full = wordcache.encoder(path).full
+    assert got == Counter((i, tuple(full.encode(t, add_special_tokens=False).ids)) for i, t in zip(ids, texts, strict=True) if i in (0, 30, 297, None))
+    assert sst.find(manifest, asked.limit(0)).count() == 0
+
+
+def test_long_texts(spark):
+    """Two equal texts of 2.5 MB and a short one: longer than any piece of work, and whole in every result."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(4000)}" for _ in range(400_000)]
+    text = ". ".join(" ".join(words[k : k + 40]) for k in range(0, len(words), 40))
+    docs = docs_of(spark, [text, text, "short one"])
+    n = len(text)
+    assert n > 2 * common.CHUNK_BYTES
+    rows = lambda df: {x["doc_id"]: x for x in df.collect()}
+    assert len(rows(langid.identify(docs))) == 3
+    quality = rows(perplexity.classify(docs, spark.createDataFrame([(2, 1, 0)], "doc_id bigint, quality int, toxic int")))
+    assert quality[0]["n_grams"] == n + 1
+    prints = rows(simhash.near_duplicates(docs))
+    assert prints[0]["fingerprint"] == f"{simhash_by_definition(text):016x}" and prints[1]["component_id"] == 0
+    assert len(set(parts_by(spark, [text, text[:-3], "short one"]))) == 2
+    sketch = rows(fingerprints.fingerprints(docs))
+    assert sketch[0]["n_chars"] == n and sketch[1]["near_next"] == 1.0
+    path = queries.vocabulary("word_bpe_49k.json")
+    want = [*wordcache.encoder(path).full.encode(text, add_special_tokens=False).ids, 2]
+    shards = rows(sst.digests(sst.token_shards(docs, path)))
+    assert shards[1]["start"] == len(want) == shards[0]["n_tokens"] and shards[0]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+    encoded = rows(pieces.compare(docs, queries.vocabulary("piece_bpe_32k.model")))
+    assert encoded[0]["same_ids"] and encoded[0]["decoded_ok"]
+    counted = [x for x in tokencounts.section_counts(docs, queries.vocabulary("byte_bpe_50k.json"), tokencounts.thirds(F.col("text"))).collect() if x["doc_id"] == 0]
+    assert sum(x["n_tokens"] for x in counted) == counted[0]["doc_tokens"] and counted[2]["end"] == n
+    bench = spark.createDataFrame([(0, " ".join(words[200_000:200_030]))], "item_id bigint, text string")
+    assert {x["doc_id"] for x in decontaminate.contaminated(docs, bench).collect()} == {0, 1}
+    cut = rows(suffixes.removal_digests(docs))
+    assert [cut[i]["n_removed"] for i in (0, 1, 2)] == [n, n, 0] and cut[0]["n_spans"] == 1
+    gone = rows(substrings.removal_digests(docs))
+    assert [gone[i]["n_removed"] for i in (0, 1, 2)] == [0, len(text.split()), 0]
+
+
 def test_word_memory_is_bounded():
     import pyarrow as pa
 
