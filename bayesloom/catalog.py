@@ -53,6 +53,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def log_of(docs: DataFrame) -> DataFrame:
+    docs = docs if docs.isStreaming else scratch.spread(docs)
     return train.training_log(docs.where(F.col("lang").isNotNull()), F.col("lang"), WordTokenizer().column(F.col("text")))
 
 
@@ -65,13 +66,13 @@ def model(spark: SparkSession, d: str, **settings) -> Model:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
+    return scratch.spread(table(spark, d, "documents")).select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"))
 
 
 def evaluated(spark: SparkSession, d: str, held: bool = False, **settings) -> tuple[Model, DataFrame]:
     """A model of the training part, and the test part (or that held out for fitting) with its labels."""
     learned, aside, test = train.train_test(table(spark, d, "documents"))
-    kept = (aside if held else test).where(F.col("lang").isNotNull())
+    kept = scratch.spread(aside if held else test).where(F.col("lang").isNotNull())
     return Model.fit(log_of(learned), **settings), kept.select("doc_id", WordTokenizer().column(F.col("text")).alias("tokens"), F.col("lang").alias("label"))
 
 
@@ -411,7 +412,7 @@ pr AS (SELECT *, {probability} AS probability FROM lo)"""
 
 def tagged(spark, d) -> DataFrame:
     labels = F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("labels", labels)
+    return scratch.spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id").withColumn("labels", labels)
 
 
 def tagger_of(docs: DataFrame, most: int = 1) -> Tagger:

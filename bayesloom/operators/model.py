@@ -37,6 +37,7 @@ class Model:
     temperature_samples: int = 0
     extra: dict = field(default_factory=dict)
     histogram: DataFrame | None = None  # counts of counts (fam, category, val, cnt) that were stored with the model
+    wide: DataFrame | None = None  # ``views.wide``, once it was asked for
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -58,7 +59,13 @@ class Model:
         return Model(train.cells_of(folded), train.categories_of(folded), **settings)
 
     def with_(self, **settings) -> Model:
-        return replace(self, **settings)
+        return replace(self, **({"wide": None} if {"cells", "categories"} & set(settings) else {}) | settings)
+
+    def words(self) -> DataFrame:
+        """(token, df, g, cells): one row a token; written once and read by all that scores."""
+        if self.wide is None:
+            self.wide = scratch.kept(views.wide(self.cells))
+        return self.wide
 
     def counts(self, *families: str) -> DataFrame:
         """The counts of counts of some families: the stored ones if the model has them all, else counted."""
@@ -81,7 +88,7 @@ class Model:
         return self.temperature is not None
 
     def scalars(self) -> DataFrame:
-        return views.scalars(self.cells, self.categories)
+        return views.scalars(self.words(), self.categories)
 
     def grid(self) -> DataFrame:
         """The categories with the scalars beside them: a few rows, one a category."""

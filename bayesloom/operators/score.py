@@ -43,10 +43,14 @@ def prior(row: Row) -> Column:
 
 
 def by_token(model: Model, grid: list[Row], count: str, weight: Callable[[Row, Column], Column]) -> DataFrame:
-    """(token, df, g, w0, w1, ...): one row a token with a weight for each category of the grid."""
-    own = [F.coalesce(F.sum(F.when(F.col("category") == r["category"], F.col(count))), F.lit(0)).alias(f"c{i}") for i, r in enumerate(grid)]
-    pivoted = model.cells.groupBy("token").agg(F.sum("doc_cnt").alias("df"), F.sum("cnt").alias("g"), *own).where("df > 0")
-    return pivoted.select("token", *(weight(r, F.col(f"c{i}")).cast("double").alias(f"w{i}") for i, r in enumerate(grid)))
+    """(token, w0, w1, ...): one row a token with a weight for each category of the grid."""
+    return pivoted(model.words(), [r["category"] for r in grid], count).select("token", *(weight(r, F.col(f"c{i}")).cast("double").alias(f"w{i}") for i, r in enumerate(grid)))
+
+
+def pivoted(words: DataFrame, categories: list[str], count: str, *more: str) -> DataFrame:
+    """(token, df, g, more..., c0, c1, ...): the counts of some categories as columns of a token's row, 0 where it has none."""
+    by = words.select("token", "df", "g", *more, F.map_from_entries(F.transform("cells", lambda c: F.struct(c["category"], c[count]))).alias("by"))
+    return by.select("token", "df", "g", *more, *(F.coalesce(F.col("by")[c], F.lit(0)).alias(f"c{i}") for i, c in enumerate(categories)))
 
 
 def _tf(model: Model) -> Callable[[Column], Column]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BayesError
 from ..functions.maths import idf, sigmoid, term_factor
-from . import score, views
+from . import score
 from .model import Model
 
 BACKGROUND = "*"
@@ -62,7 +62,7 @@ class Tagger:
 
     def grid(self) -> list[Row]:
         """The labels in order, a row each, with the background's counts and the vocabulary's size beside them."""
-        size = views.vocabulary(self.model.cells).agg(F.count(F.lit(1)).alias("v"))
+        size = self.model.words().agg(F.count(F.lit(1)).alias("v"))
         rest = self.model.categories.where(F.col("category") == self.settings.background).select(F.col("doc_count").alias("n"), F.col("total_tokens").alias("t_all"))
         return sorted(self.labels().crossJoin(rest).crossJoin(size).collect(), key=lambda r: r["cat_order"])
 
@@ -73,10 +73,10 @@ class Tagger:
         return reduce(lambda a, b: a.join(b.withColumnRenamed("odds", "more"), "doc_id").select("doc_id", F.concat("odds", "more").alias("odds")), parts)
 
     def _part(self, docs: DataFrame, grid: list[Row]) -> DataFrame:
-        a, tfidf, cells = self.model.alpha, self.model.use_tfidf, self.model.cells
-        under = lambda c, x: F.coalesce(F.sum(F.when(F.col("category") == c, F.col(x))), F.lit(0))
-        every = [under(self.settings.background, "cnt").alias("all"), under(self.settings.background, "doc_cnt").alias("df")]
-        pivoted = cells.groupBy("token").agg(*every, *(under(r["category"], "cnt").alias(f"c{i}") for i, r in enumerate(grid))).where("df > 0")
+        a, tfidf, back = self.model.alpha, self.model.use_tfidf, self.settings.background
+        words = self.model.words().withColumn("back", F.get(F.filter("cells", lambda c: c["category"] == back), F.lit(0))).where("back.doc_cnt > 0")
+        words = words.withColumns({"df": F.col("back.doc_cnt"), "all": F.col("back.cnt")})
+        counts = score.pivoted(words, [r["category"] for r in grid], "cnt", "all")
 
         def weight(i: int, r: Row) -> Column:
             below, below_rest = r["total_tokens"] + a * r["v"], max(r["t_all"] - r["total_tokens"], 0) + a * r["v"]
@@ -86,7 +86,7 @@ class Tagger:
             ratio = F.log((cnt + a) / below) - F.log((F.greatest(F.col("all") - cnt, F.lit(0)) + a) / below_rest)
             return ratio * idf(F.lit(r["n"]), F.col("df")) if tfidf else ratio
 
-        weights = pivoted.select("token", *(weight(i, r).cast("double").alias(f"w{i}") for i, r in enumerate(grid)))
+        weights = counts.select("token", *(weight(i, r).cast("double").alias(f"w{i}") for i, r in enumerate(grid)))
         sums = score.weighted_sums(docs, weights, len(grid), term_factor if tfidf else lambda f: f.cast("double"))
         start = [math.log((r["doc_count"] + 1) / (max(r["n"] - r["doc_count"], 0) + 1)) for r in grid]
         made = (F.struct(F.lit(r["category"]).alias("label"), F.lit(r["cat_order"]).alias("label_order"), (F.lit(start[i]) + F.col("sums")[i]).alias("log_odds")) for i, r in enumerate(grid))

@@ -13,9 +13,15 @@ def vocabulary(cells: DataFrame) -> DataFrame:
     return cells.groupBy("token").agg(F.sum("doc_cnt").alias("df"), F.sum("cnt").alias("g")).where("df > 0")
 
 
-def scalars(cells: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row: documents, vocabulary size and tokens of the model."""
-    size = vocabulary(cells).agg(F.count(F.lit(1)).alias("v"))
+def wide(cells: DataFrame) -> DataFrame:
+    """(token, df, g, cells): one row for each token of the vocabulary, with the (category, cnt, doc_cnt) that it has."""
+    own = F.collect_list(F.struct("category", "cnt", "doc_cnt")).alias("cells")  # one for each category
+    return cells.groupBy("token").agg(F.sum("doc_cnt").alias("df"), F.sum("cnt").alias("g"), own).where("df > 0")
+
+
+def scalars(words: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row: documents, vocabulary size and tokens of the model; ``words`` has a row a token."""
+    size = words.agg(F.count(F.lit(1)).alias("v"))
     return categories.agg(F.coalesce(F.sum("doc_count"), F.lit(0)).cast("bigint").alias("n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("g_total")).crossJoin(size)
 
 

@@ -25,6 +25,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few, large splits (a file of few row groups, say) dealt to all cores before texts are cut into tokens; tables
+    that have a split for each core already stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once; what reads it sees its size and prunes its columns. The files stay until they are deleted."""
     path = fresh_dir(df.sparkSession, "kept")
