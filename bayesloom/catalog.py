@@ -787,6 +787,31 @@ def tag_platt_apply(spark, d):
     return Tagger(t.model, t.settings, fitted).probabilities(documents(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
 
 
+@query(f"{tag_ctes(probability='1 / (1 + exp(-(0.02 * log_odds + 0.5)))')} SELECT doc_id, label, round(probability, 6) AS probability FROM pr WHERE probability >= 0.25")
+def tagger_saved(spark, d):
+    """A tagger with its settings and calibration, through the registry."""
+    registry, t = Registry(spark, _folder(spark)), tagger(spark, d)
+    fitted = spark.createDataFrame([("quality", 0.02, 0.5, 9), ("toxic", 0.02, 0.5, 9)], "label string, slope double, intercept double, samples bigint")
+    registry.save_tagger(Tagger(t.model, TagSettings(0.25, 0), fitted), "tags")
+    return registry.load_tagger("tags").tag(documents(spark, d)).select("doc_id", "label", r("probability").alias("probability"))
+
+
+@query("SELECT lang AS category, count(*) AS documents FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def category_names(spark, d):
+    return train.category_names(train_log(spark, d))
+
+
+@query("SELECT doc_id AS seq, lang AS category FROM documents WHERE lang = 'fr'")
+def category_documents(spark, d):
+    return train.category_documents(train_log(spark, d), "fr").select("seq", "category")
+
+
+@query(f"{BASE} {' UNION ALL '.join(HIST.values())}")
+def histogram_expanded(spark, d):
+    """All families as flat text keys, and back."""
+    return views.expand(views.flatten(views.histogram(train.cells(train_log(spark, d)))))
+
+
 @query(f"{scored('cnb', part=1)} SELECT count(*) AS samples, true AS installed FROM td")
 def calibrated_model(spark, d):
     m, held = evaluated(spark, d, held=True, kind="complement-naive-bayes")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BayesError
@@ -146,6 +146,18 @@ def platt_gradient(values: DataFrame, slope: float, intercept: float) -> DataFra
     return rows.groupBy("label").agg(F.sum(loss).alias("loss"), F.sum((sigmoid(F.col("z")) - F.col("t")) * F.col("value")).alias("g_slope"), F.sum(sigmoid(F.col("z")) - F.col("t")).alias("g_intercept"))
 
 
+def export_platt(fitted: DataFrame) -> dict[str, dict]:
+    """A fit's parameters by label (a row a label), as plain values."""
+    return {r["label"]: {"slope": r["slope"], "intercept": r["intercept"], "samples": r["samples"]} for r in fitted.collect()}
+
+
+def restore_platt(spark: SparkSession, state: dict[str, dict]) -> DataFrame:
+    """The fit of ``export_platt``'s values; labels whose parameters aren't finite numbers are left out."""
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
+    rows = [(label, float(p["slope"]), float(p["intercept"]), int(p.get("samples", 0))) for label, p in state.items() if number(p.get("slope")) and number(p.get("intercept"))]
+    return spark.createDataFrame(rows, "label string, slope double, intercept double, samples bigint")
+
+
 def apply_platt(value: Column, slope: float, intercept: float) -> Column:
     if not (math.isfinite(slope) and math.isfinite(intercept)):
         raise BayesError("calibration_invalid", (slope, intercept))

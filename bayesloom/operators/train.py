@@ -22,6 +22,16 @@ def train_test(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return docs.where(part >= 2), docs.where(part == 1), docs.where(part == 0)
 
 
+def category_documents(log: DataFrame, category: str) -> DataFrame:
+    """The rows of one category, in order of training; an unknown category has none."""
+    return log.where(F.col("category") == category).orderBy("seq")
+
+
+def category_names(log: DataFrame) -> DataFrame:
+    """(category, documents): every category of a log with its rows, in order of first training."""
+    return log.groupBy("category").agg(F.count(F.lit(1)).alias("documents"), F.min("seq").alias("first")).orderBy("first", "category").select("category", "documents")
+
+
 def require_rows(log: DataFrame) -> DataFrame:
     if log.isEmpty():
         raise BayesError("training_empty")

@@ -70,6 +70,16 @@ def encode_key(fam: str = "fam", val: str = "val", category: str = "category"):
     return F.concat(F.col(fam), F.col(val).cast("string"), F.when(F.col(category) == "", "").otherwise(F.concat(F.lit(":"), F.col(category))))
 
 
+def flatten(hist: DataFrame) -> DataFrame:
+    """(key, cnt) rows of a histogram, under flat text keys."""
+    return hist.select(encode_key().alias("key"), "cnt")
+
+
+def expand(flat: DataFrame) -> DataFrame:
+    """(fam, category, val, cnt) of flat rows; keys that aren't histogram cells and negative counts are left out."""
+    return flat.select(decode_key().alias("k"), "cnt").where("k is not null and cnt >= 0").select("k.*", "cnt")
+
+
 def decode_key(key: str = "key"):
     part = lambda i: F.regexp_extract(key, r"^([dgak])(\d+)(?::(.*))?$", i)
     return F.when(part(1) != "", F.struct(part(1).alias("fam"), part(3).alias("category"), part(2).cast("bigint").alias("val")))

@@ -23,13 +23,17 @@ from pyspark.sql import functions as F
 
 from ..errors import BayesError
 from ..functions import tokenizers
+from ..operators import calibrate
 from ..operators.model import FORMAT_VERSION, Model
+from ..operators.tag import Tagger, TagSettings
 from . import scratch
 
 #: The explicit schemas of a model's tables.
 CELLS = "category string, token string, cnt bigint, doc_cnt bigint"
 CATEGORIES = "category string, cat_order int, doc_count bigint, total_tokens bigint"
-META = "kind string, name string, format_version int, alpha double, use_tfidf boolean, spam_category string, tokenizer struct<class:string,config:string>, temperature double, temperature_samples bigint, extra string, generation bigint, updated_at timestamp"
+META = "kind string, name string, format_version int, layout_version int, alpha double, use_tfidf boolean, spam_category string, tokenizer struct<class:string,config:string>, temperature double, temperature_samples bigint, extra string, generation bigint, updated_at timestamp"
+#: The layout of the tables, beside the format of what they say.
+LAYOUT_VERSION = 1
 HISTOGRAM = "fam string, category string, val bigint, cnt bigint"
 
 
@@ -131,7 +135,7 @@ class Registry:
         for table, rows in tables.items():
             rows.write.parquet(f"{base}/{table}")
         state = tokenizers.export(model.tokenizer)
-        row = (model.kind, name, FORMAT_VERSION, float(model.alpha), model.use_tfidf, model.spam_category, (state["class"], state["config"]), model.temperature, model.temperature_samples, json.dumps(model.extra), new)
+        row = (model.kind, name, FORMAT_VERSION, LAYOUT_VERSION, float(model.alpha), model.use_tfidf, model.spam_category, (state["class"], state["config"]), model.temperature, model.temperature_samples, json.dumps(model.extra), new)
         meta = self.spark.createDataFrame([row], META.rsplit(", ", 1)[0])
         meta.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.parquet(f"{base}/meta")
         if not self._publish(name, new, own):
@@ -176,13 +180,30 @@ class Registry:
             return None
         if meta is None:
             return None
-        if (meta["format_version"] or 1) > FORMAT_VERSION:
-            raise BayesError("format_newer", meta["format_version"])
+        for written, own in ((meta["format_version"], FORMAT_VERSION), (meta["layout_version"], LAYOUT_VERSION)):
+            if (written or 1) > own:
+                raise BayesError("format_newer", written)
         alpha = meta["alpha"] if meta["alpha"] and meta["alpha"] > 0 else 1.0
         model = Model(self._table(name, "cells", CELLS), self._table(name, "categories", CATEGORIES), meta["kind"], name, alpha, meta["use_tfidf"], meta["spam_category"], tokenizers.restore(meta["tokenizer"].asDict()), meta["temperature"], meta["temperature_samples"] or 0, json.loads(meta["extra"] or "{}"))
         model.histogram = self.histogram(name)
         return model.as_kind(kind) if kind else model
 
+    def save_tagger(self, tagger: Tagger, name: str, expected: int | None = None) -> int:
+        """Save a tagger's model with its settings and each label's calibration."""
+        s = tagger.settings
+        state = {"threshold": s.threshold, "max_tags": s.max_tags, "background": s.background, "platt": calibrate.export_platt(tagger.calibration) if tagger.calibration is not None else None}
+        return self.save(tagger.model.with_(name=name, extra=tagger.model.extra | {"tagger": state}), expected)
+
+    def load_tagger(self, name: str) -> Tagger | None:
+        """The tagger saved under a name; a model that was saved without one has the settings of a new tagger."""
+        model = self.load(name)
+        if model is None:
+            return None
+        state = model.extra.get("tagger") or {}
+        platt = state.get("platt")
+        settings = TagSettings(**{k: state[k] for k in ("threshold", "max_tags", "background") if k in state})
+        return Tagger(model, settings, calibrate.restore_platt(self.spark, platt) if platt is not None else None)
+
     def exists(self, name: str) -> bool:
         return self.generation(name) > 0
 

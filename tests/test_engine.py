@@ -401,6 +401,21 @@ def test_jdbc(spark, tmp_path, mode):
     assert len(key[0][0]) == 191 and key[0][0].startswith("x" * 150 + "~") and key[1][0] == "y" * 191
 
 
+def test_saved_taggers(spark, tmp_path):
+    reg = Registry(spark, f"file://{tmp_path}")
+    t = tagger_of(spark, threshold=0.3, max_tags=2)
+    reg.save_tagger(t, "plain")
+    fitted = spark.createDataFrame([("php", 2.0, -0.5, 7), ("security", 1.0, 0.0, 3)], "label string, slope double, intercept double, samples bigint")
+    reg.save_tagger(Tagger(t.model, t.settings, fitted), "fitted")
+    docs = docs_of(spark, ["escape the parameters of every sql query"])
+    plain, back = reg.load_tagger("plain"), reg.load_tagger("fitted")
+    assert plain.settings == t.settings == back.settings and plain.calibration is None and reg.load_tagger("none") is None
+    key = lambda x: {r["label"]: r["probability"] for r in x.probabilities(docs).collect()}
+    assert key(plain) == pytest.approx(key(t)) and key(back) == pytest.approx(key(Tagger(t.model, t.settings, fitted)))
+    assert calibrate.export_platt(back.calibration)["php"] == {"slope": 2.0, "intercept": -0.5, "samples": 7}
+    assert calibrate.restore_platt(spark, {"a": {"slope": float("nan"), "intercept": 0}, "b": {"slope": "1"}, "c": {"slope": 1, "intercept": 0}}).count() == 1
+
+
 def test_payloads_are_bounded_and_converted(spark, tmp_path):
     reg = Registry(spark, f"file://{tmp_path}")
     one, two = (payload.export(Model.fit(log_of(spark, SPAM), name=n)) for n in ("one", "two"))
