@@ -635,8 +635,10 @@ def stream_train_cells(spark, d):
 def stream_registry_cells(spark, d):
     path, schema = _stream_source(spark, d)
     registry = Registry(spark, _folder(spark))
-    stream = log_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
-    trainer.train_stream(stream, registry, "langs", f"{_folder(spark)}/checkpoint").awaitTermination()
+    stream = log_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    folder = _folder(spark)
+    trainer.train_stream(stream, registry, "langs", folder, every=2).awaitTermination()
+    trainer.publish(registry, "langs", folder)
     return registry.load("langs").cells
 
 

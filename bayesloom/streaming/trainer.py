@@ -19,13 +19,21 @@ def fold(cells: DataFrame, delta: DataFrame) -> DataFrame:
     return both.groupBy("category", "token").agg(F.sum("cnt").alias("cnt"), F.sum("doc_cnt").alias("doc_cnt")).where("cnt > 0")
 
 
+def category_sums(log: DataFrame) -> DataFrame:
+    """(category, doc_count, total_tokens, first): what a batch adds to each category."""
+    return log.groupBy("category").agg(F.sum("sign").cast("bigint").alias("doc_count"), F.sum(F.size("tokens") * F.col("sign")).cast("bigint").alias("total_tokens"), F.min("seq").alias("first"))
+
+
 def fold_categories(old: DataFrame, log: DataFrame) -> DataFrame:
     """Categories after a micro-batch; new ones come behind the known ones, in order of ``seq``."""
+    return merged(old, category_sums(log))
+
+
+def merged(old: DataFrame, sums: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    new = log.groupBy("category").agg(F.sum("sign").cast("bigint").alias("doc_count"), F.sum(F.size("tokens") * F.col("sign")).cast("bigint").alias("total_tokens"), F.min("seq").alias("first"))
-    joined = old.select("category", "cat_order", F.col("doc_count").alias("d0"), F.col("total_tokens").alias("t0")).join(new, "category", "full")
-    order = Window.orderBy(F.col("cat_order").isNull(), "cat_order", "first", "category")
+    joined = old.select("category", "cat_order", F.col("doc_count").alias("d0"), F.col("total_tokens").alias("t0")).join(sums, "category", "full")
+    order = Window.orderBy(F.col("cat_order").isNull(), "cat_order", "first", "category")  # one row a category
     zero = F.lit(0)
     summed = joined.select("category", "cat_order", "first", (F.coalesce("d0", zero) + F.coalesce("doc_count", zero)).alias("doc_count"), F.greatest(F.coalesce("t0", zero) + F.coalesce("total_tokens", zero), zero).cast("bigint").alias("total_tokens"))
     return summed.where("doc_count > 0").select("category", F.row_number().over(order).alias("cat_order"), "doc_count", "total_tokens")
@@ -36,26 +44,44 @@ def signed(log: DataFrame) -> DataFrame:
     return train.deltas(log).groupBy("category", "token").agg(F.sum("n").alias("cnt"), F.sum("docs").alias("doc_cnt"))
 
 
-def train_stream(log: DataFrame, registry: Registry, name: str, checkpoint: str, **settings) -> StreamingQuery:
-    """Fold every micro-batch into the next generation of ``name``. A batch that was published before is skipped.
+#: What a micro-batch leaves: ``train.fold`` of its rows.
+FOLDED = "category string, token string, cnt bigint, doc_cnt bigint, first bigint, batch bigint"
 
-    The last published batch travels with the model, so a restart neither loses nor repeats one.
-    """
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        old, at = registry.load(name), registry.generation(name)
-        if old is not None and old.extra.get("batch", -1) >= batch_id:
-            return
-        tables = {}
-        if old is None:
-            model = Model.fit(batch, name=name, **settings)
-        else:
-            log = scratch.kept(batch)
-            model = old.with_(cells=scratch.kept(fold(old.cells, signed(log))), categories=fold_categories(old.categories, log), histogram=None)
-            tables = histograms.follow(registry, old, model, log.select(F.explode("tokens").alias("token")))
-        registry.save(model.with_(extra=model.extra | {"batch": batch_id}), at, **tables)
+def train_stream(log: DataFrame, registry: Registry, name: str, checkpoint: str, every: int = 16, **settings) -> StreamingQuery:
+    """Train ``name`` from a stream of the training log: a micro-batch writes its signed sums under the checkpoint, and every
+    so many batches ``publish`` folds what is new into the next generation, so that the cells aren't rewritten each time.
+    Call ``publish`` when the stream has stopped, for the rest. A batch that runs again replaces its own sums."""
 
-    return log.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        train.fold(batch).write.mode("overwrite").parquet(f"{checkpoint}/sums/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            publish(registry, name, checkpoint, **settings)
+
+    return log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish(registry: Registry, name: str, checkpoint: str, **settings) -> int:
+    """Fold the sums of batches that aren't in the current generation into the next one; the generation that holds them all.
+
+    The last batch folded travels with the model, so a restart neither loses nor repeats one.
+    """
+    at, old = registry.generation(name), registry.load(name)
+    done = old.extra.get("batch", -1) if old is not None else -1
+    sums = registry.spark.read.schema(FOLDED).parquet(f"{checkpoint}/sums").where(F.col("batch") > done)
+    last = sums.agg(F.max("batch")).first()[0]
+    if last is None:
+        return at
+    summed = sums.groupBy("category", "token").agg(F.sum("cnt").alias("cnt"), F.sum("doc_cnt").alias("doc_cnt"), F.min("first").alias("first"))
+    folded, tables = scratch.kept(summed), {}
+    if old is None:
+        model = Model.of(folded, name=name, **settings)
+    else:
+        tokens = folded.where("token is not null")
+        more = folded.where("token is null").select("category", F.col("doc_cnt").alias("doc_count"), F.col("cnt").alias("total_tokens"), "first")
+        model = old.with_(cells=scratch.kept(fold(old.cells, tokens.select("category", "token", "cnt", "doc_cnt"))), categories=merged(old.categories, more), histogram=None)
+        tables = histograms.follow(registry, old, model, tokens.select("token"))
+    return registry.save(model.with_(extra=model.extra | {"batch": last}), at, **tables)
 
 
 def cells_stream(log: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -261,7 +261,9 @@ def test_stream_into_registry(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
     reg = Registry(spark, f"file://{tmp_path}/models")
     for _ in range(2):  # the second run has nothing new to do
-        trainer.train_stream(stream, reg, "m", f"{tmp_path}/cp").awaitTermination()
+        trainer.train_stream(stream, reg, "m", f"{tmp_path}/cp", every=2).awaitTermination()
+        assert reg.generation("m") in (1, 2)  # two batches are published, one is left
+        assert trainer.publish(reg, "m", f"{tmp_path}/cp") == 2
     key = lambda df: sorted(map(tuple, df.select("category", "token", "cnt", "doc_cnt").collect()))
     assert key(reg.load("m").cells) == key(train.cells(rows))
     docs = docs_of(spark, ["cheap prices now"])
