@@ -1,7 +1,7 @@
 """Removal of long repeated byte strings by difference-cover suffix sampling.
 
-A suffix array over difference-cover samples, cut off at the length that matters. With the period v = 273 the cover has
-17 residues, so that for any two positions there is one shift below v that takes both into the sample. Then:
+A suffix array over difference-cover samples, cut off at the length that matters. For 400 bytes the period is v = 273 and
+the cover has 17 residues (133 and 12 from 200 bytes on), so that for any two positions there is one shift below v that takes both into the sample. Then:
 
 1. Sort sampled tuples: at each sampled position the tuple of the next ``length - v + 1`` bytes is named by its hash,
    and names are brought together by bucket in sorted order. Equal neighbours are repeated tuples; a sampled suffix
@@ -38,14 +38,15 @@ from .exchange import KEY_MASK, bucket_count, gathered, shared_names, short, tol
 LENGTH = 400
 #: Bytes of the names that verdicts rest on (steps 2 and 4); candidates are found by 6 (steps 1 and 3).
 VERDICT = 8
-#: Period of the cover for long strings, and the residues whose orbits under doubling make it up.
-PERIOD, SEEDS = 273, (1, 91, 117)
+#: Perfect covers: from this length on a period, a multiplier, and the residues whose orbits under it make the cover up.
+COVERS = {400: (273, 2, (1, 91, 117)), 200: (133, 11, (1, 8, 9, 69))}
 
 
 def difference_cover(length: int) -> tuple[int, np.ndarray]:
     """(v, residues): every difference modulo v is one of two residues; v is at most two thirds of ``length`` or so."""
-    if length >= LENGTH:
-        return PERIOD, np.array(sorted({s * (1 << k) % PERIOD for s in SEEDS for k in range(12)}))
+    for least, (v, factor, seeds) in COVERS.items():
+        if length >= least:
+            return v, np.array(sorted({s * factor**k % v for s in seeds for k in range(12)}))
     v = max(1, 2 * length // 3)
     step = int(np.ceil(np.sqrt(v)))
     return v, np.array(sorted({*range(min(step, v)), *(k * step % v for k in range(step + 1))}))

@@ -40,9 +40,10 @@ ODD = [None, "", " ", "\n\n", "x", "ÄÖ ß é", "a\u0000b", "same text here", "
 
 
 def test_difference_cover_and_ragged():
-    for n in (1, 2, 3, 10, 57, 399, 400, 1000):
+    for n in (1, 2, 3, 10, 57, 199, 200, 250, 399, 400, 1000):
         v, r = suffixes.difference_cover(n)
         assert v <= n and {(a - b) % v for a in r for b in r} == set(range(v))
+    assert [len(suffixes.difference_cover(n)[1]) for n in (200, 400)] == [12, 17]
     assert common.ragged(np.array([5, 0, 9]), np.array([2, 0, 1])).tolist() == [5, 6, 9]
     x = np.arange(20, dtype=np.uint64)
     h = common.Rolling(np.concatenate([x, x]))
@@ -620,7 +621,7 @@ def variants(seed, n, words):
     return out
 
 
-@pytest.mark.parametrize(("length", "words"), [(20, 40), (57, 60), (400, 300)])
+@pytest.mark.parametrize(("length", "words"), [(20, 40), (57, 60), (250, 200), (400, 300)])
 def test_repeated_bytes(spark, length, words, monkeypatch):
     texts = [*ODD, *variants(length, 40, words), "ab" * 300, "ab" * 300 + "c"]
     monkeypatch.setattr(exchange, "BUCKET_NAMES", 500)
