@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, chunks, flat, mix, small_batches, text_column, tidy, unused
+from .common import LETTER, Rolling, chunks, flat, mix, ragged, small_batches, text_column, tidy, unused
 
 #: Fixed masks. Every stretch of 13 or more words, 80% equal, holds a window that none of its substitutions hurts.
 MASKS = ("11101111", "11010010111", "111110011", "1100100010111", "1110101001001", "1101111001")
@@ -144,7 +144,7 @@ class Seeds:
             bits[h >> np.uint64(44)] = True
             self.tables.append((mask, h[order], at[order], bits))
 
-    def hits(self, docs: Words) -> np.ndarray:
+    def hits(self, docs: Words, at_once: int = 1 << 20) -> np.ndarray:
         """Distinct (text, item, item position minus text position) of all hits."""
         found = [np.zeros((0, 3), np.int64)]
         text = np.repeat(np.arange(len(docs.before) - 1), np.diff(docs.before))
@@ -153,12 +153,15 @@ class Seeds:
             some = bits[h >> np.uint64(44)]
             h, place = h[some], place[some]
             left, right = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            n = right - left
-            where = np.repeat(place, n)
-            other = at[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            item = self.item[other]
-            shift = (other - self.words.before[item]) - (where - docs.before[text[where]])
-            found.append(np.unique(np.stack([text[where], item, shift], 1), axis=0))
+            upto = np.cumsum(right - left)
+            cuts = np.unique([0, *np.searchsorted(upto, np.arange(at_once, (upto[-1] if len(upto) else 0) + at_once, at_once)), len(upto)])
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):  # a word said over and over meets itself many times
+                n = (right - left)[s:e]
+                where = np.repeat(place[s:e], n)
+                other = at[ragged(left[s:e], n)]
+                item = self.item[other]
+                shift = (other - self.words.before[item]) - (where - docs.before[text[where]])
+                found.append(np.unique(np.stack([text[where], item, shift], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
 

@@ -145,6 +145,7 @@ class Shard:
         self.bloom = file.read(bloom_len)
         file.seek(index_at)
         self.index = [ENTRY.unpack(file.read(ENTRY.size)) for _ in range(blocks)]
+        self.firsts = [x[0] for x in self.index]
 
     def _block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, at, length, entries = self.index[k]
@@ -169,7 +170,7 @@ class Shard:
         key = key_of(doc_id)
         if any(not self.bloom[i >> 3] >> (i & 7) & 1 for i in _bloom_at(key, 8 * len(self.bloom))):
             return []
-        k = max(0, bisect_right([x[0] for x in self.index], key) - 1)
+        k = max(0, bisect_right(self.firsts, key) - 1)
         found = []
         while k < len(self.index) and self.index[k][0][:9] <= key[:9]:
             found += [ids for other, ids in self._block(k) if other[:9] == key[:9]]

@@ -101,6 +101,9 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int
         out[k] += max(0, min(stop, last) - max(whole, first))
         for t in {*range(first, min(whole, last)), *range(max(stop, first), last)}:
             cut.setdefault(t, []).append(k)
+    if cut and rule == "most":  # the farthest end of all sections that begin up to a place
+        begins, order = np.array([s for s, _ in sections]), np.argsort([s for s, _ in sections], kind="stable")
+        begins, reach = begins[order], np.maximum.accumulate(np.array([e for _, e in sections])[order])
     for t, touched in cut.items():
         a, b = int(starts[t]), int(ends[t])
         shares = {k: min(b, sections[k][1]) - max(a, sections[k][0]) for k in touched}
@@ -111,9 +114,9 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int
             for k in touched:
                 out[k] += sections[k][0] <= a < sections[k][1]
         else:
-            whole_holder = any(s <= a and b <= e for s, e in sections)
+            before = int(np.searchsorted(begins, a, "right"))
             best = max(shares, key=lambda k: (shares[k], -sections[k][0], -k))
-            out[best] += not whole_holder
+            out[best] += not (before and reach[before - 1] >= b)  # a section that holds all of it has counted it
     return out
 
 

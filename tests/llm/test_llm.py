@@ -413,6 +413,36 @@ def longest_by_definition(equal, identity):
     return found
 
 
+def test_hits_in_slices():
+    import pyarrow as pa
+
+    seeds = decontaminate.Seeds([0, 1], [" ".join(["same"] * 40), prose(2, 30)])
+    docs = decontaminate.Words.of(pa.array(["same " * 60, prose(2, 30), "", "same " * 15], pa.large_string()))
+    whole = seeds.hits(docs)
+    assert len(whole) > 100 and seeds.hits(docs, 7).tolist() == whole.tolist()
+
+
+def test_allocation_of_overlapping_sections():
+    """Each rule against a look at every token and section."""
+    r = random.Random(12)
+    for _ in range(60):
+        ends = np.cumsum([r.randrange(1, 5) for _ in range(20)])
+        starts = np.concatenate([[0], ends[:-1]])
+        sections = [tuple(sorted((r.randrange(ends[-1]), r.randrange(ends[-1] + 1)))) for _ in range(r.randrange(6))]
+        for rule in tokencounts.RULES:
+            want = [0.0] * len(sections)
+            for a, b in zip(starts, ends, strict=True):
+                inside = [k for k, (s, e) in enumerate(sections) if s <= a and b <= e and e > s]
+                shares = {k: min(b, e) - max(a, s) for k, (s, e) in enumerate(sections) if min(b, e) > max(a, s) and k not in inside}
+                for k in inside:
+                    want[k] += 1
+                for k, n in shares.items():
+                    want[k] += n / (b - a) if rule == "split" else (sections[k][0] <= a < sections[k][1]) if rule == "start" else 0
+                if rule == "most" and shares and not inside:
+                    want[max(shares, key=lambda k: (shares[k], -sections[k][0], -k))] += 1
+            assert tokencounts.allocate(starts, ends, sections, rule).tolist() == pytest.approx(want)
+
+
 def test_longest_stretch():
     r = random.Random(9)
     for _ in range(400):
