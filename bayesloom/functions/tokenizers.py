@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, is_dataclass
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -173,6 +173,13 @@ class CustomTokenizer:
 REGISTRY: dict[str, type] = {"word": WordTokenizer, "regex": RegexTokenizer, "ngram": NGramTokenizer, "chain": ChainTokenizer}
 
 
+def register(name: str, kind: type) -> None:
+    """Add a class of tokenizers, a dataclass with ``column(text)``, that models may be saved with."""
+    if not name or not is_dataclass(kind) or not callable(getattr(kind, "column", None)) or REGISTRY.get(name, kind) is not kind:
+        raise BayesError("tokenizer_unknown", name)
+    REGISTRY[name] = kind
+
+
 def export(tokenizer) -> dict:
     """{class, config} of a registered tokenizer."""
     name = next((k for k, v in REGISTRY.items() if type(tokenizer) is v), None)

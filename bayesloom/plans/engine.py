@@ -12,7 +12,7 @@ from ..operators import recommend as rec
 from ..operators import score
 from ..operators.model import Model
 from ..operators.tag import Tagger
-from ..sources.registry import Registry
+from ..sources.registry import Storage
 
 REQUEST = "req_id bigint, action string, text string, category string, context array<string>, candidates array<string>"
 
@@ -22,7 +22,7 @@ class Engine:
     """Models by name; the first one asked for, or ``default``, answers unnamed requests."""
 
     spark: SparkSession
-    registry: Registry | None = None
+    registry: Storage | None = None
     default: str | None = None
     models: dict[str, Model] = field(default_factory=dict)
 

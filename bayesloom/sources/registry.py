@@ -1,6 +1,6 @@
 """Models as versioned Parquet tables: each save writes tables of its own and then publishes them under the next number.
 
-Layout under the root: ``name/tables-ID/{cells,categories,meta,...}``, a folder for each save, and ``name/_CURRENT-N``, a
+Layout under the root: ``name/tables-ID/{cells,categories,words,meta,...}``, a folder for each save, and ``name/_CURRENT-N``, a
 small file with the ID of generation N. The file appears whole or not at all, and only once: of several writers that
 built on the same generation one publishes, the others are refused and may try again (``update``). Readers take the
 highest N, so they see one generation whole, whatever a lost writer has left behind.
@@ -15,6 +15,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BayesError
 from ..functions import tokenizers
-from ..operators import calibrate
+from ..operators import calibrate, views
 from ..operators.model import FORMAT_VERSION, Model
 from ..operators.tag import Tagger, TagSettings
 from . import scratch
@@ -34,6 +35,7 @@ CATEGORIES = "category string, cat_order int, doc_count bigint, total_tokens big
 META = "kind string, name string, format_version int, layout_version int, alpha double, use_tfidf boolean, spam_category string, tokenizer struct<class:string,config:string>, temperature double, temperature_samples bigint, extra string, generation bigint, updated_at timestamp"
 #: The layout of the tables, beside the format of what they say.
 LAYOUT_VERSION = 1
+WORDS = "token string, df bigint, g bigint, cells array<struct<category:string,cnt:bigint,doc_cnt:bigint>>"
 HISTOGRAM = "fam string, category string, val bigint, cnt bigint"
 
 
@@ -45,6 +47,20 @@ def check_name(name: str | None) -> str:
     return name
 
 
+class Storage(Protocol):
+    """What keeps models by name: ``MemoryRegistry``, ``Registry`` and ``JdbcRegistry`` do, and others may."""
+
+    def save(self, model: Model) -> object: ...
+
+    def load(self, name: str) -> Model | None: ...
+
+    def exists(self, name: str) -> bool: ...
+
+    def delete(self, name: str) -> None: ...
+
+    def list(self) -> list[str]: ...
+
+
 @dataclass
 class MemoryRegistry:
     """Models of this process, by name."""
@@ -132,6 +148,8 @@ class Registry:
         cells = model.cells.select("category", "token", "cnt", "doc_cnt")
         cells.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{base}/cells")
         model.categories.write.parquet(f"{base}/categories")
+        words = model.wide if model.wide is not None else views.wide(cells)  # what scoring reads: no vocabulary is counted again
+        words.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{base}/words")
         for table, rows in tables.items():
             rows.write.parquet(f"{base}/{table}")
         state = tokenizers.export(model.tokenizer)
@@ -186,6 +204,7 @@ class Registry:
         alpha = meta["alpha"] if meta["alpha"] and meta["alpha"] > 0 else 1.0
         model = Model(self._table(name, "cells", CELLS), self._table(name, "categories", CATEGORIES), meta["kind"], name, alpha, meta["use_tfidf"], meta["spam_category"], tokenizers.restore(meta["tokenizer"].asDict()), meta["temperature"], meta["temperature_samples"] or 0, json.loads(meta["extra"] or "{}"))
         model.histogram = self.histogram(name)
+        model.wide = self._table(name, "words", WORDS) if self.has_table(name, "words") else None
         return model.as_kind(kind) if kind else model
 
     def save_tagger(self, tagger: Tagger, name: str, expected: int | None = None) -> int:

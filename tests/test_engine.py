@@ -73,6 +73,28 @@ def test_tokenizers(spark):
     assert spark.sql("select bayes_words('Ab c de')").first()[0] == ["ab", "de"]
 
 
+def test_a_tokenizer_of_ones_own(spark, tmp_path):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Lines:
+        mark: str = "\n"
+
+        def column(self, text):
+            return F.split(text, self.mark)
+
+    tokenizers.register("lines", Lines)
+    reg = Registry(spark, f"file://{tmp_path}")
+    reg.save(Model.fit(log_of(spark, SPAM), name="m", tokenizer=Lines(";")))
+    back = reg.load("m")
+    assert back.tokenizer == Lines(";") and tokens(spark, back.tokenizer, "a;b") == ["a", "b"]
+    plan = back.words()._jdf.queryExecution().executedPlan().toString()
+    assert all("/words/" in f for f in back.words().inputFiles()) and "Exchange" not in plan  # stored a row a token: nothing is counted again
+    for bad in (("word", Lines), ("x", dict), ("", Lines)):
+        with pytest.raises(BayesError):
+            tokenizers.register(*bad)
+
+
 def test_multinomial_number(spark):
     m = Model.fit(log_of(spark, [("spam", ["a", "a", "b"]), ("ham", ["b", "c"])]), use_tfidf=False)
     got = scores_of(m, docs_of(spark, [["a"]]))
