@@ -3,7 +3,7 @@
 A task puts some hundred thousand names of its texts together (48 bits of a 64-bit hash, or all 64 where the answer is a
 verdict) and sends them to buckets by name, each with the 40-bit key of its document. A bucket answers each document with
 those of its names that occur at least twice anywhere. A name that occurs twice among those put together is answered at
-once, and only one of its places is sent on, so that a name that a third of all documents hold comes to its bucket once
+once, and sent on once without a document, so that a name that a third of all documents hold comes to its bucket once
 for each such lot, not once a document. The number of buckets follows the input, so
 a bucket's size does not. Keys and names are hashes: a document may be told a name too many, never one too few, and
 callers look names up in their own document's list of names.
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 KEY_MASK = (1 << 40) - 1
+#: Stands for the documents of one lot that were told of a name at once; nobody is told under it.
+ALL_TOLD = 1 << 40
 #: Names that one bucket gets, about.
 BUCKET_NAMES = 1_000_000
 #: Names that a task puts together before it deals them to buckets.
-SEND_NAMES = 500_000
+SEND_NAMES = 250_000
 PACKED = "bucket int, local boolean, payload binary"
 _packed = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("payload", pa.binary())])
 _answers = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
@@ -90,7 +92,7 @@ def sent(keys: np.ndarray, names: np.ndarray, asked: np.ndarray | None, buckets:
         if again.any():
             pairs = np.unique(np.stack([keys[again], names[again]], 1), axis=0)
             rows.append((int(pairs[0, 0]) % buckets, True, _pack(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool), size)))
-        names, keys, mark = names[first], keys[first], (many if mode == "twice" else mark[first] & ~many)
+        names, keys, mark = names[first], np.where(many, np.uint64(ALL_TOLD), keys[first]), (many if mode == "twice" else mark[first] & ~many)
     bucket = _bucket(names, buckets, size)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
@@ -144,8 +146,7 @@ def _tell(batches: Iterator[pa.RecordBatch], mode: str, shards: int, width: int)
             several = np.bincount(run) > 1
             told_runs = {"twice": several | marked, "answer": several, "heard": marked}[mode]
             chosen = order[told_runs[run]]
-            if mode == "answer":
-                chosen = chosen[multi[chosen]]
+            chosen = chosen[multi[chosen]] if mode == "answer" else chosen[keys[chosen] != ALL_TOLD]
             found.append((keys[chosen], names[chosen]))
         keys, names = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
         if len(keys):

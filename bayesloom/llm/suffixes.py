@@ -105,6 +105,19 @@ def _ints(x: np.ndarray) -> bytes:
     return x.astype("<i8").tobytes()
 
 
+def pack(at: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Ascending positions of one text, as compressed steps: what is kept and shuffled is a byte or two for each."""
+    return squeeze.compress(np.diff(at, prepend=0).astype("<i4").tobytes())
+
+
+def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of cells of ``pack``."""
+    undo = zstandard.ZstdDecompressor()
+    cells = [np.cumsum(np.frombuffer(undo.decompress(c), "<i4"), dtype=np.int64) for c in column.to_pylist()]
+    n = np.fromiter(map(len, cells), np.int64, len(cells))
+    return np.repeat(np.arange(len(cells)), n), np.concatenate([*cells, np.zeros(0, np.int64)])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and two hashes that stand for the row."""
     text = F.coalesce("text", F.lit(""))
@@ -134,7 +147,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     first = checkpointed(shared_names(rows.select("text", "k1"), send_samples, many))
     release(docs.sparkSession)
-    packed = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("z", pa.binary()), ("at", pa.binary())])
+    packed = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("z", pa.binary()), ("at", pa.binary()), ("n", pa.int64())])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -151,22 +164,22 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 own = slice(cuts[k], cuts[k + 1])
                 found = at[own][np.isin(names[own], told_names(told[k]))]
                 if len(found):
-                    out.append((k, squeeze.compress(raw[offsets[k] : offsets[k + 1]].tobytes()), _ints(found)))
+                    out.append((k, squeeze.compress(raw[offsets[k] : offsets[k + 1]].tobytes()), pack(found, squeeze), len(found)))
             take = pa.array([o[0] for o in out], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], schema=packed)
+            yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.int64())], schema=packed)
 
     by_key = lambda told, df: df.join(told, df["k1"].bitwiseAND(F.lit(KEY_MASK)) == told["dkey"], "left")
     joined = rows.join(first, rows["k1"].bitwiseAND(F.lit(KEY_MASK)) == first["dkey"]).select("text", "k1", "k2", "told")
-    held = checkpointed(joined.mapInArrow(tidy(locate), "k1 bigint, k2 bigint, z binary, at binary"))
+    held = checkpointed(joined.mapInArrow(tidy(locate), "k1 bigint, k2 bigint, z binary, at binary, n bigint"))
     del first, joined
     release(docs.sparkSession)
-    left = held.agg(F.sum(F.octet_length("at")) / 8).first()[0] or 0
+    left = held.agg(F.sum("n")).first()[0] or 0
     some = bucket_count(left)
 
     def send_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def names() -> Iterator[tuple]:
             for part, _, piece in pieces(batches, "z"):
-                doc, at = places(part.column(2))
+                doc, at = unpack(part.column(2))
                 fits = at + long_bytes <= piece.sizes[doc]
                 yield part.column(0).to_numpy().view(np.uint64)[doc[fits]], piece.names(doc[fits], at[fits], long_bytes), None
 
@@ -177,7 +190,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, piece in pieces(batches, "z"):
-            doc, at = places(part.column(3))
+            doc, at = unpack(part.column(3))
             fits = at + long_bytes <= piece.sizes[doc]
             names = short(piece.names(doc, np.where(fits, at, 0), np.where(fits, long_bytes, 0)), VERDICT)
             cuts, told = np.searchsorted(doc, np.arange(part.num_rows + 1)), part.column(4).to_pylist()
@@ -199,13 +212,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     settled = checkpointed(by_key(second, held).select("k1", "k2", "z", "at", "told").mapInArrow(tidy(settle), "k1 bigint, k2 bigint, z binary, at binary, sure binary, open binary"))
 
-    del second
+    del second, held
     release(docs.sparkSession)
 
     def send_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def names() -> Iterator[tuple]:
             for part, _, piece in pieces(batches, "z"):
-                doc, at = places(part.column(2))
+                doc, at = unpack(part.column(2))
                 opened = np.zeros(len(piece.rolling.sums) + 1, np.int32)
                 row, own = positions(part.column(3))
                 opened[piece.offsets[row] + own + 1] = 1
@@ -223,7 +236,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def open_names(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part, _, piece in pieces(batches, "z"):
-            doc, at = places(part.column(2))
+            doc, at = unpack(part.column(2))
             names = short(piece.names(doc, at, tuple_bytes))
             cuts, told = np.searchsorted(doc, np.arange(part.num_rows + 1)), part.column(5).to_pylist()
             settled_at, open_at = part.column(3).to_pylist(), part.column(4).to_pylist()
